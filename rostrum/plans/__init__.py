@@ -1 +1,11 @@
+"""Query plans over the given tables, and the ordered building blocks they share."""
 
+from __future__ import annotations
+
+import importlib
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    for area in ("speech",):
+        importlib.import_module(f"rostrum.plans.{area}_queries")

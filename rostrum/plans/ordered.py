@@ -1,11 +1,12 @@
 """Ordered work inside a key that may hold a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Everything here
-cuts the ordered rows of a key into blocks first. Rows are windowed per
-``(key, block)``; only one summary row per block is windowed per key, and what it
-carries is joined back on ``(key, block)``. With blocks of ``BLOCK_ROWS`` rows, the
-summary of a key is smaller than the key by that factor, and no task ever sorts more
-than one block.
+A window partitioned by a key alone puts the whole key into one task. That is the best
+plan while every key is small, so each operator first looks whether some key has more
+than ``LONG_KEY_ROWS`` rows (a count over the key column, combined before its shuffle).
+If so, the ordered rows of the keys are cut into blocks: rows are windowed per
+``(key, block)``, one summary row per block is windowed per key, and what it carries is
+joined back on ``(key, block)``. No task then sorts more than a block, and the summary of
+a key is smaller than the key by the size of a block. Both plans give the same result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,24 @@ from rostrum.session import materialize
 
 # A position column that is unique within its key gives blocks of at most this many rows.
 BLOCK_ROWS = 1 << 16
+# Up to this many rows of a key are sorted by one task (a sort that may spill).
+LONG_KEY_ROWS = 1 << 21
+
+_known_long: dict[tuple, bool] = {}
+
+
+def has_long_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some key has more than ``LONG_KEY_ROWS`` rows.
+
+    Remembered per plan: the answer picks between two plans with equal results, so an
+    outdated answer costs time, never rows.
+    """
+    spark = df.sparkSession
+    mark = (spark.sparkContext.applicationId, df.semanticHash(), tuple(keys), LONG_KEY_ROWS)
+    if mark not in _known_long:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+        _known_long[mark] = sizes.where(F.col("_c") > LONG_KEY_ROWS).limit(1).count() > 0
+    return _known_long[mark]
 
 _AGGS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {
@@ -54,19 +73,35 @@ def ordered_scan(
     number: str | None = None,
     per_key: DataFrame | None = None,
     descending: bool = False,
+    long: bool | None = None,
 ) -> DataFrame:
-    """Window work over ``keys`` in ``order``, carried out block by block.
+    """Window work over ``keys`` in ``order``; block by block if a key is long.
 
     ``lags``/``leads`` give the previous/next row's value with a default at the ends,
     ``running`` an inclusive running aggregate, ``totals`` the aggregate of the whole
     key, ``number`` a 0-based row number. ``per_key`` attaches one row of attributes
     per key through the block summary, so a hot key is never a join key by itself.
-    ``descending`` walks the rows (and the blocks) backwards.
+    ``descending`` walks the rows (and the blocks) backwards. ``long`` passes on what is
+    already known about the keys.
     """
     lags, leads, running, totals = lags or {}, leads or {}, running or {}, totals or {}
     cols = [order] if isinstance(order, str) else list(order)
-    base = df.withColumn("_blk", row_block(cols[0]) if block is None else block)
     sort = [F.col(c).desc() if descending else F.col(c) for c in cols]
+    if not (has_long_key(df, keys) if long is None else long):
+        flat = Window.partitionBy(*keys).orderBy(*sort)
+        so_far = flat.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        done = {o: F.lag(e, 1, d).over(flat) for o, (e, d) in lags.items()}
+        done.update({o: F.lead(e, 1, d).over(flat) for o, (e, d) in leads.items()})
+        done.update({o: _AGGS[a](e).over(so_far) for o, (a, e) in running.items()})
+        if number:
+            done[number] = F.row_number().over(flat).cast("long") - 1
+        done.update({o: _AGGS[a](e).over(Window.partitionBy(*keys)) for o, (a, e) in totals.items()})
+        kept = [c for c in df.columns if c not in done]
+        out = df.select(*kept, *[c.alias(n) for n, c in done.items()])
+        return out if per_key is None else out.join(per_key, list(keys), "left")
+
+    # Both the rows and their summary read the checkpoint, so nested scans do not multiply.
+    base = materialize(df.withColumn("_blk", row_block(cols[0]) if block is None else block))
     rank = F.struct(*cols)
     first, last = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
 
@@ -129,28 +164,35 @@ def ordered_scan(
 def attach_per_key(
     df: DataFrame, attrs: DataFrame, keys: Sequence[str], block: Column, how: str = "left"
 ) -> DataFrame:
-    """Join one row of attributes per key to many rows without joining on the key alone.
+    """Join one row of attributes per key to many rows; a long key is never joined alone.
 
-    The attributes are joined to the distinct ``(key, block)`` pairs, and the rows to
+    With a long key the attributes are joined to the distinct ``(key, block)`` pairs, and the rows to
     that small table, so a hot key is spread over its blocks.
     """
-    rows = df.withColumn("_ablk", block)
+    if not has_long_key(df, keys):
+        return df.join(attrs, list(keys), how)
+    rows = materialize(df.withColumn("_ablk", block))
     pairs = rows.select(*keys, "_ablk").distinct().join(attrs, list(keys), "inner")
     return rows.join(pairs, [*keys, "_ablk"], how).drop("_ablk")
 
 
 def exact_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, pct: float, out: str, *, width: float
+    df: DataFrame, keys: Sequence[str], value: str, pct: float, out: str, *, long: bool | None = None
 ) -> DataFrame:
     """Exact percentile per key with linear interpolation between the two nearest ranks.
 
-    Equal values are counted before they are shuffled; the distinct values are ranked in
-    blocks of ``width``, so neither a hot key nor a hot value is held by one task.
+    With a long key, equal values are counted before they are shuffled; the distinct values are ranked in
+    logarithmic blocks (about 1.5 % wide), so neither a hot key nor a hot value is held by
+    one task and a key has about a thousand blocks over seven decades.
     """
+    if not (has_long_key(df, keys) if long is None else long):
+        return df.groupBy(*keys).agg(F.percentile(value, F.lit(pct)).alias(out))
+    col = F.col(value)
+    log_block = F.floor(F.signum(col) * F.log(F.abs(col) + 1) * 64)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = ordered_scan(
-        counts, keys, value, block=value_block(value, width),
-        running={"_cum": ("sum", F.col("_c"))}, totals={"_n": ("sum", F.col("_c"))},
+        counts, keys, value, block=log_block,
+        running={"_cum": ("sum", F.col("_c"))}, totals={"_n": ("sum", F.col("_c"))}, long=True,
     )
     pos = (F.col("_n") - 1) * F.lit(float(pct))
     lo = F.floor(pos)
@@ -178,6 +220,8 @@ def grid_join(
     broadcast below.
     """
     keys = list(keys)
+    if keys and not has_long_key(right, keys) and not has_long_key(left, keys):
+        return left.join(right, keys)
 
     def hot(df: DataFrame, limit: int, name: str) -> DataFrame:
         per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > limit)
@@ -276,7 +320,6 @@ def ordered_fold(
     keys = list(keys)
     rows = df.withColumn("_blk", row_block(order, block_rows))
     key_fields = [f for f in rows.schema.fields if f.name in (*keys, "_blk")]
-    out_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def exits_only(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
@@ -290,7 +333,7 @@ def ordered_fold(
     is_long = rows.where(F.col("_blk") > 0).limit(1).count() > 0
     if not is_long:
         flat = rows.withColumn("_entry", F.lit(None).cast("string"))
-        return map_sorted_groups(flat, [*keys, "_blk"], [order], emit, out_schema)
+        return map_sorted_groups(flat, [*keys, "_blk"], [order], emit, schema)
 
     exit_schema = T.StructType([*key_fields, T.StructField("exit", T.StringType())])
     across = Window.partitionBy(*keys).orderBy("_blk")
@@ -313,7 +356,7 @@ def ordered_fold(
         entries = merged.select(*keys, "_blk", F.col("_new").alias("_entry"))
         if todo.limit(1).count() == 0:
             break
-    return map_sorted_groups(rows.join(entries, [*keys, "_blk"]), [*keys, "_blk"], [order], emit, out_schema)
+    return map_sorted_groups(rows.join(entries, [*keys, "_blk"]), [*keys, "_blk"], [order], emit, schema)
 
 
 def ancestors(path: Column) -> Column:
