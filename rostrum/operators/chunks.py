@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import BLANK, clean_text, compose_chunk_text, ordered_text, text_tokens
 from rostrum.operators.slides import overlapping_slides
-from rostrum.plans.ordered import BLOCK_ROWS, ordered_fold, ordered_scan
+from rostrum.plans.ordered import ordered_fold, ordered_scan
 
 # The default grid of chunk configurations.
 STRATEGIES = ("utterance_packed", "raw_token_window")
@@ -151,7 +151,7 @@ def _packer(size: int, overlap: int):
     return fold
 
 
-def pack_units(units: DataFrame, *, size: int, overlap: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack_units(units: DataFrame, *, size: int, overlap: int = 0, block_rows: int | None = None) -> DataFrame:
     """Greedy packing of units into chunks of at most ``size`` tokens.
 
     Consecutive chunks share whole trailing units until these hold ``overlap`` tokens, but

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import lines_of, text_tokens
 from rostrum.functions.vectors import as_double
 from rostrum.operators import slides as sl
+from rostrum.operators import tree as tr
 from rostrum.operators import words as wd
 from rostrum.plans.ordered import ordered_scan
 
@@ -130,6 +131,61 @@ class Tables:
             F.col("label").cast("string").alias("lecture_key"), F.col("vec_id").alias("rec_id"),
             as_double("embedding").alias("embedding"))
 
+    # --- lectures made of embedding labels, each block with a document as its text ---
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        docs = self.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("composite"))
+        return self.blocks.drop("embedding").join(docs, "vec_id").select(
+            "lecture_key", F.col("i").alias("idx"), (F.col("i") * 10.0).alias("start"),
+            (F.col("i") * 10.0 + 10.0).alias("end"), "composite")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return tr.segment_tree(self.blocks)
+
+    @cached_property
+    def tree_records(self) -> DataFrame:
+        rec = tr.tree_records(tr.tree_rollup(self.nodes, self.entries))
+        rec = rec.withColumn("rec_id", F.concat_ws("/", "lecture_key", "tree_path"))
+        return tr.hashed_embedding(rec, ["lecture_key", "tree_path"])
+
+    @cached_property
+    def doc_records(self) -> DataFrame:
+        docs = self.documents.select(F.col("source").alias("lecture_key"), F.col("doc_id").alias("rec_id"), "text")
+        return tr.hashed_embedding(docs, ["lecture_key", "rec_id"])
+
+    @cached_property
+    def turn_records(self) -> DataFrame:
+        turns = self.table("conversations").select(
+            F.concat(F.lit("src"), (F.col("conv_id") % 11).cast("string")).alias("lecture_key"),
+            (F.col("conv_id") * 100 + F.col("turn")).alias("rec_id"), "text")
+        return tr.hashed_embedding(turns, ["lecture_key", "rec_id"])
+
+    def _questions(self, lecture) -> DataFrame:
+        q = self.table("benchmark").select(F.col("item_id").alias("query_id"), lecture.alias("lecture_key"),
+                                           F.col("text").alias("question"))
+        return tr.hashed_embedding(q, ["query_id"], "question")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        """Benchmark passages as questions, each put to one of the twenty document sources."""
+        return self._questions(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+
+    @cached_property
+    def tree_questions(self) -> DataFrame:
+        """The same questions, each put to one of the ten embedding labels."""
+        return self._questions((F.col("item_id") % 10).cast("string"))
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        """The mean vector of each label as a query."""
+        dims = self.records.select("lecture_key", F.posexplode("embedding").alias("dim", "v"))
+        mean = dims.groupBy("lecture_key", "dim").agg(F.avg("v").alias("v"))
+        return mean.groupBy("lecture_key").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("embedding")
+        ).withColumn("query_id", F.col("lecture_key").cast("long"))
+
 
 def r3(x: str, n: int = 3) -> str:
     """Rounding on the decimal digits of a double, half up: what Spark's ``round`` does."""
@@ -178,4 +234,64 @@ SQL: dict[str, tuple[list[str], str]] = {
   row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"""),
     "records": ([], """SELECT CAST(label AS VARCHAR) AS lecture_key, vec_id AS rec_id, CAST(embedding AS DOUBLE[]) AS embedding
   FROM embeddings"""),
+    # --- vectors of words: each text a sparse unit vector over 64 hash buckets ---
+    "doc_n": ([], f"""SELECT source AS lecture_key, doc_id AS rec_id, b, count(*)::DOUBLE AS n FROM (
+  SELECT source, doc_id, {_MD5.format('t')} % 64 AS b FROM (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '{WORDS_RE}')) AS t
+  FROM documents)) GROUP BY ALL"""),
+    "doc_vec": (["doc_n"], "SELECT lecture_key, rec_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY rec_id)) AS w FROM doc_n"),
+    "turn_n": ([], f"""SELECT 'src' || (conv_id % 11) AS lecture_key, conv_id * 100 + turn AS rec_id, b, count(*)::DOUBLE AS n FROM (
+  SELECT conv_id, turn, {_MD5.format('t')} % 64 AS b FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{WORDS_RE}')) AS t
+  FROM conversations)) GROUP BY ALL"""),
+    "turn_vec": (["turn_n"], "SELECT lecture_key, rec_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY rec_id)) AS w FROM turn_n"),
+    "q_n": ([], f"""SELECT item_id AS query_id, b, count(*)::DOUBLE AS n FROM (SELECT item_id, {_MD5.format('t')} % 64 AS b FROM (
+  SELECT item_id, unnest(regexp_extract_all(lower(text), '{WORDS_RE}')) AS t FROM benchmark)) GROUP BY ALL"""),
+    "q_vec": (["q_n"], "SELECT query_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS w FROM q_n"),
+    "doc_dot": (["doc_vec", "q_vec"], "SELECT query_id, rec_id, sum(q.w * d.w) AS s FROM q_vec q JOIN doc_vec d USING (b) GROUP BY ALL"),
+    "doc_hits": (["doc_dot"], """SELECT q.item_id AS query_id, 'src' || (q.item_id % 20) AS lecture_key, d.doc_id AS rec_id,
+  round(coalesce(s, 0), 9) AS score, row_number() OVER (PARTITION BY q.item_id ORDER BY round(coalesce(s, 0), 9) DESC, d.doc_id) AS rank
+  FROM benchmark q JOIN documents d ON d.source = 'src' || (q.item_id % 20) LEFT JOIN doc_dot x ON x.query_id = q.item_id AND x.rec_id = d.doc_id"""),
+    # --- topic trees ---
+    "entries": (["blocks"], """SELECT lecture_key, i AS idx, i * 10.0::DOUBLE AS start, (i * 10 + 10)::DOUBLE AS "end", d.text AS composite
+  FROM blocks b JOIN documents d ON d.doc_id = b.vec_id"""),
+    "pref": (["blocks"], """SELECT lecture_key, i, p, list_inner_product(p, p) AS n2 FROM (SELECT lecture_key, i, list(s ORDER BY dim) AS p FROM (
+  SELECT lecture_key, i, dim, sum(v) OVER (PARTITION BY lecture_key, dim ORDER BY i) AS s FROM (
+  SELECT lecture_key, i, unnest(embedding) AS v, unnest(range(64)) AS dim FROM blocks)) GROUP BY 1, 2)
+  UNION ALL SELECT DISTINCT lecture_key, -1, list_resize([0.0::DOUBLE], 64, 0.0::DOUBLE), 0.0 FROM blocks"""),
+    "grow": (["pref"], """SELECT lecture_key, '*' AS path, 0::BIGINT AS lo, max(i)::BIGINT AS hi FROM pref GROUP BY 1
+  UNION ALL SELECT lecture_key, path || side, CASE WHEN side = 'L' THEN lo ELSE cut + 1 END, CASE WHEN side = 'L' THEN cut ELSE hi END FROM (
+    SELECT t.lecture_key, t.path, t.lo, t.hi, arg_max(c.i, (c.n2 - 2 * list_inner_product(c.p, a.p) + a.n2) / (c.i - t.lo + 1)
+      + (b.n2 - 2 * list_inner_product(b.p, c.p) + c.n2) / (t.hi - c.i)) AS cut
+    FROM grow t JOIN pref c ON c.lecture_key = t.lecture_key AND c.i BETWEEN t.lo + 4 AND t.hi - 5
+    JOIN pref a ON a.lecture_key = t.lecture_key AND a.i = t.lo - 1 JOIN pref b ON b.lecture_key = t.lecture_key AND b.i = t.hi
+    GROUP BY t.lecture_key, t.path, t.lo, t.hi), (VALUES ('L'), ('R')) v(side)"""),
+    "nodes": (["grow"], """SELECT g.lecture_key, g.path, length(g.path) - 1 AS depth, g.lo, g.hi, l.hi IS NULL AS is_leaf, l.hi AS split_at
+  FROM grow g LEFT JOIN grow l ON l.lecture_key = g.lecture_key AND l.path = g.path || 'L'"""),
+    "leaves": (["nodes"], "SELECT *, row_number() OVER (PARTITION BY lecture_key ORDER BY lo) AS segment_id FROM nodes WHERE is_leaf"),
+    "node_text": (["nodes", "entries"], """SELECT n.lecture_key, n.path, count(*) AS n_utterances, arg_min(e.start, e.idx) AS start,
+  arg_max(e."end", e.idx) AS "end", coalesce(nullif(regexp_replace(string_agg(e.composite, chr(10) ORDER BY e.idx), '^\\s+|\\s+$', '', 'g'), ''), '<blank>') AS text
+  FROM nodes n JOIN entries e ON e.lecture_key = n.lecture_key AND e.idx BETWEEN n.lo AND n.hi GROUP BY 1, 2"""),
+    "roll": (["nodes", "node_text"], """SELECT n.lecture_key, n.path, (SELECT max(depth) FROM nodes) AS k, t.text AS content, false AS made
+  FROM nodes n JOIN node_text t USING (lecture_key, path) WHERE n.is_leaf
+  UNION ALL SELECT lecture_key, np, k - 1, CASE WHEN bool_or(up) THEN substr(trim(regexp_replace('Section A:' || chr(10)
+    || max(CASE WHEN path = np || 'L' THEN content END) || chr(10) || chr(10) || 'Section B:' || chr(10)
+    || max(CASE WHEN path = np || 'R' THEN content END), '\\s+', ' ', 'g')), 1, 220) ELSE max(content) END, bool_or(up)
+  FROM (SELECT *, length(path) - 1 = k AS up, CASE WHEN length(path) - 1 = k THEN left(path, -1) ELSE path END AS np FROM roll WHERE k > 0)
+  GROUP BY lecture_key, np, k"""),
+    "summaries": (["roll"], "SELECT lecture_key, path, content AS summary_text FROM roll WHERE made"),
+    "below": (["nodes"], """SELECT n.lecture_key, n.path, string_agg(l.path, ',' ORDER BY l.path) AS leaf_paths FROM nodes n
+  JOIN nodes l ON l.lecture_key = n.lecture_key AND l.is_leaf AND starts_with(l.path, n.path) GROUP BY 1, 2"""),
+    "tree_rec": (["nodes", "node_text", "summaries", "leaves", "below"], """SELECT n.lecture_key, n.path AS tree_path, l.segment_id, n.is_leaf, n.depth,
+  t.start, t."end", t.n_utterances, CASE WHEN n.is_leaf THEN t.text ELSE s.summary_text END AS text, s.summary_text, t.text AS raw_text, b.leaf_paths
+  FROM nodes n JOIN node_text t USING (lecture_key, path) JOIN below b USING (lecture_key, path)
+  LEFT JOIN summaries s USING (lecture_key, path) LEFT JOIN leaves l USING (lecture_key, path)"""),
+    "rec_n": (["tree_rec"], f"""SELECT lecture_key, tree_path, b, count(*)::DOUBLE AS n FROM (SELECT lecture_key, tree_path, {_MD5.format('t')} % 64 AS b FROM (
+  SELECT lecture_key, tree_path, unnest(regexp_extract_all(lower(text), '{WORDS_RE}')) AS t FROM tree_rec)) GROUP BY ALL"""),
+    "rec_vec": (["rec_n"], "SELECT lecture_key, tree_path, b, n / sqrt(sum(n * n) OVER (PARTITION BY lecture_key, tree_path)) AS w FROM rec_n"),
+    "rec_dot": (["rec_vec", "q_vec"], """SELECT query_id, lecture_key, tree_path, sum(q.w * d.w) AS s FROM q_vec q JOIN rec_vec d USING (b)
+  WHERE d.lecture_key = CAST(query_id % 10 AS VARCHAR) GROUP BY ALL"""),
+    "rec_score": (["rec_dot", "tree_rec"], """SELECT q.item_id AS query_id, q.text AS question, r.*, round(coalesce(s, 0), 9) AS score
+  FROM benchmark q JOIN tree_rec r ON r.lecture_key = CAST(q.item_id % 10 AS VARCHAR)
+  LEFT JOIN rec_dot x ON x.query_id = q.item_id AND x.lecture_key = r.lecture_key AND x.tree_path = r.tree_path"""),
+    "tree_hits": (["rec_score"], """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tree_path) AS rank FROM rec_score)
+  WHERE rank <= 10"""),
 }

@@ -49,9 +49,9 @@ _MERGE = {
 }
 
 
-def row_block(order: str, rows: int = BLOCK_ROWS) -> Column:
+def row_block(order: str, rows: int | None = None) -> Column:
     """Block number of a unique integer position."""
-    return F.expr(f"`{order}` div {int(rows)}")
+    return F.expr(f"`{order}` div {int(rows or BLOCK_ROWS)}")
 
 
 def value_block(value: str | Column, width: float) -> Column:
@@ -303,7 +303,7 @@ def map_sorted_groups(
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], order: str,
     fold: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]],
-    schema: str, *, block_rows: int = BLOCK_ROWS,
+    schema: str, *, block_rows: int | None = None,
 ) -> DataFrame:
     """Sequential fold over the ordered rows of each key, block by block.
 
@@ -330,6 +330,7 @@ def ordered_fold(
         entry = pdf["_entry"].iloc[0]
         return fold(pdf, None if pd.isna(entry) else entry)[0]
 
+    # A fold is one Python call per block, so any key beyond one block takes the long way.
     is_long = rows.where(F.col("_blk") > 0).limit(1).count() > 0
     if not is_long:
         flat = rows.withColumn("_entry", F.lit(None).cast("string"))

@@ -38,4 +38,4 @@ def ctes(*parts: str, body: str) -> str:
 
     for p in parts:
         need(p)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n][1]})" for n in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({SQL[n][1]})" for n in needed) + "\n" + body

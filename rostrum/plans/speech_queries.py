@@ -194,7 +194,7 @@ def _(t: Tables):
 _HASHED = """, h AS (SELECT lecture_key, slide_index, "end", ('0x' || substr(md5(ocr_text), 1, 3))::bigint AS hash FROM slides)"""
 
 
-@query("dedupe_slides", "WITH RECURSIVE " + ctes("slides", body="").removeprefix("WITH ").rstrip() + _HASHED + """,
+@query("dedupe_slides", ctes("slides", body="").rstrip() + _HASHED + """,
 f AS (SELECT lecture_key, slide_index, hash AS last, slide_index AS first FROM h WHERE slide_index = 0
   UNION ALL SELECT h.lecture_key, h.slide_index, CASE WHEN bit_count(xor(h.hash, f.last)) > 6 THEN h.hash ELSE f.last END,
   CASE WHEN bit_count(xor(h.hash, f.last)) > 6 THEN h.slide_index ELSE f.first END
@@ -282,7 +282,7 @@ def _(t: Tables):
 
 def _pack_sql(size: int, overlap: int) -> str:
     back = "b.t" if overlap else "p.stop"
-    return "WITH RECURSIVE " + ctes("units", body="").removeprefix("WITH ").rstrip() + f""",
+    return ctes("units", body="").rstrip() + f""",
 k AS (SELECT lecture_key, idx, regexp_extract_all(text, '{TOKENS_RE}') AS toks, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text FROM units),
 pc AS (SELECT lecture_key, idx, len(toks) AS n, unnest(range(ceil(len(toks) / {size}.0)::BIGINT)) AS j, toks, text FROM k WHERE len(toks) > 0),
 u AS (SELECT lecture_key, idx, row_number() OVER (PARTITION BY lecture_key ORDER BY idx, j) - 1 AS t,
