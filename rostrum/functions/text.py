@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rostrum.functions.vectors import let
+
 # The marker that starts a line of slide text, and the stand-in for no text.
 SLIDE_TOKEN = "[SLIDE]"
 BLANK = "<blank>"
@@ -13,6 +15,12 @@ BLANK = "<blank>"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
+# Every character that separates words, and every line end.
+SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[{SPACE_CLASS}]+"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+EDGES = f"^{SPACES}|{SPACES}$"
+
 
 def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -27,17 +35,17 @@ def ordered_text(value: str, sep: str, *order: str) -> Column:
 
 def clean_text(x: str | Column) -> Column:
     """Runs of whitespace to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(x), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(x), F.lit("")), SPACES, " "))
 
 
 def strip(x: str | Column) -> Column:
     """Cut whitespace of any kind from both ends."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(x), EDGES, "")
 
 
 def lines_of(x: str | Column) -> Column:
     """Non-blank lines, each trimmed."""
-    parts = F.split(F.coalesce(_col(x), F.lit("")), r"\r\n|\r|\n")
+    parts = F.split(F.coalesce(_col(x), F.lit("")), LINE_ENDS)
     return F.filter(F.transform(parts, strip), lambda line: line != "")
 
 
@@ -137,10 +145,12 @@ def ocr_terms(x: str | Column, *, min_len: int = 2) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two term sets; two empty sets are equal, one empty set is unlike."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-            .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-            .otherwise(both / either))
+
+    def score(x: Column, y: Column) -> Column:
+        both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+        return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
+
+    return let(a, lambda x: let(b, lambda y: score(x, y)))
 
 
 def slugify(x: str | Column) -> Column:
@@ -155,7 +165,7 @@ def shorten(x: str | Column, limit: int | None) -> Column:
     c = or_blank(strip(F.coalesce(_col(x), F.lit(""))))
     if not limit or limit <= 0:
         return c
-    cut = F.concat(F.regexp_replace(F.substring(c, 1, max(limit - 3, 0)), r"(?U)\s+$", ""), F.lit("..."))
+    cut = F.concat(F.regexp_replace(F.substring(c, 1, max(limit - 3, 0)), f"{SPACES}$", ""), F.lit("..."))
     return F.when(F.length(c) <= limit, c).otherwise(cut)
 
 

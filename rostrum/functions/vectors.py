@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(x: str | Column) -> Column:
     return _col(x).cast("array<double>")
 
@@ -34,8 +41,7 @@ def norm(a: str | Column) -> Column:
 
 
 def unit(a: str | Column, eps: float = EPS) -> Column:
-    length = norm(a) + F.lit(eps)
-    return F.transform(_col(a), lambda v: v / length)
+    return let(norm(a) + F.lit(eps), lambda length: F.transform(_col(a), lambda v: v / length))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import BLANK, clean_text, ordered_text, strip, word_tokens
-from rostrum.functions.vectors import add, dot, subtract, unit
+from rostrum.functions.vectors import add, dot, let, norm, subtract, unit
 from rostrum.plans import ordered
 from rostrum.plans.ordered import ancestors, attach_per_key, has_long_key, map_sorted_groups, ordered_scan, row_block
 from rostrum.session import materialize
@@ -45,19 +45,21 @@ def context_blocks(entries: DataFrame, *, width: int = CONTEXT_WIDTH) -> DataFra
     return out
 
 
-def hashed_embedding(texts: DataFrame, keys: list[str], text: str = "text", *, dim: int = 64) -> DataFrame:
+def hashed_embedding(texts: DataFrame, text: str = "text", *, dim: int = 64) -> DataFrame:
     """Default text vector: hashed bag of words of unit length. A model's vectors take its place.
 
-    Tokens are counted per bucket before they are shuffled.
+    Computed within the row, so that embedding a corpus needs no shuffle.
     """
-    toks = texts.select(*keys, F.explode(word_tokens(text)).alias("_t"))
-    bucket = (F.conv(F.substring(F.md5("_t"), 1, 6), 16, 10).cast("long") % dim).cast("int")
-    counts = toks.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    packed = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    vectors = packed.select(*keys, unit(dense, eps=0.0).alias("embedding"))
-    return texts.join(vectors, keys, "left").withColumn("embedding", F.coalesce("embedding", zero))
+    buckets = F.transform(word_tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dim)
+
+    def counts(bag: Column) -> Column:
+        left = lambda b: F.size(F.array_remove(bag, b))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(bag) - left(b)).cast("double"))
+
+    def scaled(n: Column) -> Column:
+        return let(norm(n), lambda length: F.when(length > 0, F.transform(n, lambda v: v / length)).otherwise(n))
+
+    return texts.withColumn("embedding", let(buckets, lambda bag: let(counts(bag), scaled)))
 
 
 def best_cut(prefix: np.ndarray, squares: np.ndarray, lo: int, hi: int, min_size: int, balance: float):

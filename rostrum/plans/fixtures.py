@@ -16,7 +16,8 @@ from rostrum.functions.vectors import as_double
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
 from rostrum.operators import words as wd
-from rostrum.plans.ordered import ordered_scan
+from rostrum.plans.ordered import ordered_scan, spread
+from rostrum.session import materialize
 
 # Time zero of the events table in microseconds, and seconds per day, which
 # is the block width that suits lectures lasting a month.
@@ -81,7 +82,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"))
 
     @cached_property
     def doc_words(self) -> DataFrame:
@@ -148,24 +149,25 @@ class Tables:
     def tree_records(self) -> DataFrame:
         rec = tr.tree_records(tr.tree_rollup(self.nodes, self.entries))
         rec = rec.withColumn("rec_id", F.concat_ws("/", "lecture_key", "tree_path"))
-        return tr.hashed_embedding(rec, ["lecture_key", "tree_path"])
+        # An index is built once and stored before it is searched.
+        return materialize(tr.hashed_embedding(rec))
 
     @cached_property
     def doc_records(self) -> DataFrame:
         docs = self.documents.select(F.col("source").alias("lecture_key"), F.col("doc_id").alias("rec_id"), "text")
-        return tr.hashed_embedding(docs, ["lecture_key", "rec_id"])
+        return tr.hashed_embedding(docs)
 
     @cached_property
     def turn_records(self) -> DataFrame:
         turns = self.table("conversations").select(
             F.concat(F.lit("src"), (F.col("conv_id") % 11).cast("string")).alias("lecture_key"),
             (F.col("conv_id") * 100 + F.col("turn")).alias("rec_id"), "text")
-        return tr.hashed_embedding(turns, ["lecture_key", "rec_id"])
+        return tr.hashed_embedding(turns)
 
     def _questions(self, lecture) -> DataFrame:
         q = self.table("benchmark").select(F.col("item_id").alias("query_id"), lecture.alias("lecture_key"),
                                            F.col("text").alias("question"))
-        return tr.hashed_embedding(q, ["query_id"], "question")
+        return tr.hashed_embedding(q, "question")
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -193,6 +195,8 @@ def r3(x: str, n: int = 3) -> str:
 
 
 _MD5 = "('0x' || substr(md5({0}), 1, 6))::bigint"
+WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NL = r"[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORDS_RE = r"[\p{L}\p{N}_]+"
 TOKENS_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -267,14 +271,14 @@ SQL: dict[str, tuple[list[str], str]] = {
     "nodes": (["grow"], """SELECT g.lecture_key, g.path, length(g.path) - 1 AS depth, g.lo, g.hi, l.hi IS NULL AS is_leaf, l.hi AS split_at
   FROM grow g LEFT JOIN grow l ON l.lecture_key = g.lecture_key AND l.path = g.path || 'L'"""),
     "leaves": (["nodes"], "SELECT *, row_number() OVER (PARTITION BY lecture_key ORDER BY lo) AS segment_id FROM nodes WHERE is_leaf"),
-    "node_text": (["nodes", "entries"], """SELECT n.lecture_key, n.path, count(*) AS n_utterances, arg_min(e.start, e.idx) AS start,
-  arg_max(e."end", e.idx) AS "end", coalesce(nullif(regexp_replace(string_agg(e.composite, chr(10) ORDER BY e.idx), '^\\s+|\\s+$', '', 'g'), ''), '<blank>') AS text
+    "node_text": (["nodes", "entries"], f"""SELECT n.lecture_key, n.path, count(*) AS n_utterances, arg_min(e.start, e.idx) AS start,
+  arg_max(e."end", e.idx) AS "end", coalesce(nullif(regexp_replace(string_agg(e.composite, chr(10) ORDER BY e.idx), '^{WS}+|{WS}+$', '', 'g'), ''), '<blank>') AS text
   FROM nodes n JOIN entries e ON e.lecture_key = n.lecture_key AND e.idx BETWEEN n.lo AND n.hi GROUP BY 1, 2"""),
-    "roll": (["nodes", "node_text"], """SELECT n.lecture_key, n.path, (SELECT max(depth) FROM nodes) AS k, t.text AS content, false AS made
+    "roll": (["nodes", "node_text"], f"""SELECT n.lecture_key, n.path, (SELECT max(depth) FROM nodes) AS k, t.text AS content, false AS made
   FROM nodes n JOIN node_text t USING (lecture_key, path) WHERE n.is_leaf
   UNION ALL SELECT lecture_key, np, k - 1, CASE WHEN bool_or(up) THEN substr(trim(regexp_replace('Section A:' || chr(10)
     || max(CASE WHEN path = np || 'L' THEN content END) || chr(10) || chr(10) || 'Section B:' || chr(10)
-    || max(CASE WHEN path = np || 'R' THEN content END), '\\s+', ' ', 'g')), 1, 220) ELSE max(content) END, bool_or(up)
+    || max(CASE WHEN path = np || 'R' THEN content END), '{WS}+', ' ', 'g')), 1, 220) ELSE max(content) END, bool_or(up)
   FROM (SELECT *, length(path) - 1 = k AS up, CASE WHEN length(path) - 1 = k THEN left(path, -1) ELSE path END AS np FROM roll WHERE k > 0)
   GROUP BY lecture_key, np, k"""),
     "summaries": (["roll"], "SELECT lecture_key, path, content AS summary_text FROM roll WHERE made"),

@@ -9,7 +9,7 @@ from rostrum.operators import context as cx
 from rostrum.operators import search as se
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
-from rostrum.plans.fixtures import DAY, WORDS_RE, Tables
+from rostrum.plans.fixtures import DAY, NL, WORDS_RE, WS, Tables
 from rostrum.plans.registry import ctes, query
 
 KEY = ["lecture_key"]
@@ -307,7 +307,7 @@ for _first in (False, True):
         return hits.select("query_id", "rank", "tree_path", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-_SPOKEN = r"coalesce(nullif(regexp_replace(regexp_replace({0}, '[ \t]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), ''), '<blank>')"
+_SPOKEN = f"coalesce(nullif(regexp_replace(regexp_replace(@, '{WS}*{NL}{WS}*', chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g'), ''), '<blank>')"
 
 
 @query("rerank_texts", ctes("attached", "slides", body="""SELECT a.lecture_key, a.idx, 'Segment:' || chr(10) || a.text || chr(10) || chr(10)
@@ -328,9 +328,9 @@ def _with_evidence(t: Tables):
 
 
 _NODE_RR = ctes("tree_hits", body=_SUPPORT + f"""
-, ev AS (SELECT query_id, node, string_agg('Leaf ' || segment_id || chr(10) || 'Segment:' || chr(10) || {_SPOKEN.format('text')} || chr(10) || chr(10)
+, ev AS (SELECT query_id, node, string_agg('Leaf ' || segment_id || chr(10) || 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || chr(10)
   || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
-SELECT h.query_id, h.tree_path, md5(CASE WHEN h.is_leaf THEN 'Segment:' || chr(10) || {_SPOKEN.format('h.text')} || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
+SELECT h.query_id, h.tree_path, md5(CASE WHEN h.is_leaf THEN 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
   ELSE 'Summary Node:' || chr(10) || h.summary_text || chr(10) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || ev.e END) AS rerank_md5
 FROM tree_hits h LEFT JOIN ev ON ev.query_id = h.query_id AND ev.node = h.tree_path""")
 
@@ -344,8 +344,8 @@ _HEAD = """'[' || h.rank || '] score=' || printf('%.3f', h.score) || ' ' || h.le
   || ' depth=' || h.depth || ' path=' || h.tree_path || CASE WHEN h.is_leaf THEN ' seg=' || h.segment_id ELSE '' END
   || ' time=' || h.start::VARCHAR || '-' || h."end"::VARCHAR || 's'"""
 _BLOCKS = _SUPPORT + f""", eb AS (SELECT query_id, node, string_agg('Leaf ' || support_rank || ' seg=' || segment_id || ' time=' || start::VARCHAR || '-' || "end"::VARCHAR || 's'
-  || chr(10) || 'Spoken:' || chr(10) || {_SPOKEN.format('text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2),
-bl AS (SELECT h.query_id, h.rank, {_HEAD} || chr(10) || CASE WHEN h.is_leaf THEN 'Spoken:' || chr(10) || {_SPOKEN.format('h.text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
+  || chr(10) || 'Spoken:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2),
+bl AS (SELECT h.query_id, h.rank, {_HEAD} || chr(10) || CASE WHEN h.is_leaf THEN 'Spoken:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
   ELSE 'Summary Node:' || chr(10) || h.summary_text || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || eb.e END AS b
   FROM tree_hits h LEFT JOIN eb ON eb.query_id = h.query_id AND eb.node = h.tree_path)"""
 
@@ -366,17 +366,17 @@ def _(t: Tables):
 
 
 @query("transcript_blocks", ctes("tree_hits", body=_SUPPORT + r""", eb AS (SELECT query_id, node, string_agg('Support ' || support_rank || ' seg=' || segment_id
-  || ' time=' || printf('%.2f', start) || '-' || printf('%.2f', "end") || 's' || chr(10) || trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
+  || ' time=' || printf('%.2f', start) || '-' || printf('%.2f', "end") || 's' || chr(10) || trim(regexp_replace(text, '@WS@+', ' ', 'g')), chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
 SELECT h.query_id, h.rank, md5('[' || h.rank || '] ' || CASE WHEN h.is_leaf THEN 'leaf' ELSE 'summary-node' END || ' depth=' || h.depth
-  || ' time=' || printf('%.2f', h.start) || '-' || printf('%.2f', h."end") || 's' || chr(10) || CASE WHEN h.is_leaf THEN 'Transcript:' || chr(10) || trim(regexp_replace(h.text, '\s+', ' ', 'g'))
+  || ' time=' || printf('%.2f', h.start) || '-' || printf('%.2f', h."end") || 's' || chr(10) || CASE WHEN h.is_leaf THEN 'Transcript:' || chr(10) || trim(regexp_replace(h.text, '@WS@+', ' ', 'g'))
   ELSE 'Summary:' || chr(10) || h.summary_text || chr(10) || 'Supporting transcript evidence:' || chr(10) || eb.e END) AS block_md5
 FROM tree_hits h LEFT JOIN eb ON eb.query_id = h.query_id AND eb.node = h.tree_path"""))
 def _(t: Tables):
     return _with_evidence(t).select("query_id", F.col("rank").cast("long").alias("rank"), F.md5(cx.tree_transcript_block()).alias("block_md5"))
 
 
-@query("context_texts", ctes("tree_hits", body=_SUPPORT + r""", x AS (SELECT query_id, rank, 0 AS j, CASE WHEN is_leaf THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE summary_text END AS s FROM tree_hits
-  UNION ALL SELECT u.query_id, h.rank, u.support_rank, trim(regexp_replace(u.text, '\s+', ' ', 'g')) FROM su u JOIN tree_hits h ON h.query_id = u.query_id AND h.tree_path = u.node)
+@query("context_texts", ctes("tree_hits", body=_SUPPORT + r""", x AS (SELECT query_id, rank, 0 AS j, CASE WHEN is_leaf THEN trim(regexp_replace(text, '@WS@+', ' ', 'g')) ELSE summary_text END AS s FROM tree_hits
+  UNION ALL SELECT u.query_id, h.rank, u.support_rank, trim(regexp_replace(u.text, '@WS@+', ' ', 'g')) FROM su u JOIN tree_hits h ON h.query_id = u.query_id AND h.tree_path = u.node)
 SELECT query_id, count(*) AS n_texts, md5(string_agg(s, '|' ORDER BY rank, j)) AS texts_md5 FROM x WHERE s <> '' GROUP BY 1"""))
 def _(t: Tables):
     c = cx.context_texts(_with_evidence(t))
@@ -384,7 +384,7 @@ def _(t: Tables):
 
 
 @query("separate_contexts", ctes("doc_hits", body=r"""
-, d AS (SELECT h.*, regexp_replace(regexp_replace(t.text, '[ \t]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS sp, regexp_replace(t.text, '^\s+|\s+$', '', 'g') AS tx
+, d AS (SELECT h.*, regexp_replace(regexp_replace(t.text, '@WS@*@NL@@WS@*', chr(10), 'g'), '^@WS@+|@WS@+$', '', 'g') AS sp, regexp_replace(t.text, '^@WS@+|@WS@+$', '', 'g') AS tx
   FROM doc_hits h JOIN documents t ON t.doc_id = h.rec_id WHERE rank <= 5),
 b AS (SELECT query_id, rank, '[' || rank || '] score=' || printf('%.3f', score) || ' ' || lecture_key || chr(10) AS hd, sp, tx FROM d WHERE tx <> ''),
 a AS (SELECT query_id, rank, hd || 'Spoken:' || chr(10) || sp AS x FROM b), o AS (SELECT query_id, rank, hd || 'Slide OCR:' || chr(10) || tx AS x FROM b),

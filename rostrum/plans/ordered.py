@@ -49,6 +49,16 @@ _MERGE = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than task slots, dealt out to all of them.
+
+    For row-wise work that costs far more than the read. A large input has more splits
+    than slots and is left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def row_block(order: str, rows: int | None = None) -> Column:
     """Block number of a unique integer position."""
     return F.expr(f"`{order}` div {int(rows or BLOCK_ROWS)}")

@@ -18,7 +18,9 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = sql
+            from rostrum.plans.fixtures import NL, WS
+
+            ORACLES[name] = sql.replace("@WS@", WS).replace("@NL@", NL)
         return fn
 
     return wrap

@@ -138,7 +138,7 @@ def _(t: Tables):
         "slide_index", F.col("line_num").cast("long").alias("line_num"), F.col("word_num").cast("long").alias("word_num"), "text")
 
 
-@query("ocr_slide_texts", _OCR + """, ln AS (SELECT slide_index, line_num, string_agg(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '
+@query("ocr_slide_texts", _OCR + """, ln AS (SELECT slide_index, line_num, string_agg(regexp_replace(trim(text), '@WS@+', ' ', 'g'), ' '
   ORDER BY word_num) AS line FROM k GROUP BY 1, 2)
 SELECT slide_index, md5(string_agg(line, chr(10) ORDER BY line_num)) AS text_md5,
   length(string_agg(line, chr(10) ORDER BY line_num)) AS n_chars FROM ln GROUP BY 1""")
@@ -283,7 +283,7 @@ def _(t: Tables):
 def _pack_sql(size: int, overlap: int) -> str:
     back = "b.t" if overlap else "p.stop"
     return ctes("units", body="").rstrip() + f""",
-k AS (SELECT lecture_key, idx, regexp_extract_all(text, '{TOKENS_RE}') AS toks, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text FROM units),
+k AS (SELECT lecture_key, idx, regexp_extract_all(text, '{TOKENS_RE}') AS toks, regexp_replace(trim(text), '@WS@+', ' ', 'g') AS text FROM units),
 pc AS (SELECT lecture_key, idx, len(toks) AS n, unnest(range(ceil(len(toks) / {size}.0)::BIGINT)) AS j, toks, text FROM k WHERE len(toks) > 0),
 u AS (SELECT lecture_key, idx, row_number() OVER (PARTITION BY lecture_key ORDER BY idx, j) - 1 AS t,
   CASE WHEN n > {size} THEN list_aggregate(toks[j * {size} + 1 : j * {size} + {size}], 'string_agg', ' ') ELSE text END AS text,
