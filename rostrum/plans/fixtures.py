@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import lines_of, text_tokens
 from rostrum.functions.vectors import as_double
+from rostrum.operators import metrics as mt
+from rostrum.operators import search as se
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
 from rostrum.operators import words as wd
-from rostrum.plans.ordered import ordered_scan, spread
+from rostrum.plans.ordered import grid_join, ordered_scan, spread
 from rostrum.session import materialize
 
 # Time zero of the events table in microseconds, and seconds per day, which
@@ -188,6 +190,67 @@ class Tables:
             F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("embedding")
         ).withColumn("query_id", F.col("lecture_key").cast("long"))
 
+    # --- questions about user lectures, answered by the three-hour utterances ---
+
+    @cached_property
+    def ts_questions(self) -> DataFrame:
+        e = self.events.where(F.col("event_type") == "error")
+        return e.select(F.col("ord").alias("example_id"), "lecture_key", F.floor("start").alias("timestamp_seconds"))
+
+    def _nearest(self, questions: DataFrame, at: str, side: str) -> DataFrame:
+        """The five utterances whose start (or end) is nearest to a time, best first."""
+        u = self.paused.select("lecture_key", "idx", "start", "end")
+        pairs = grid_join(questions, u, ["lecture_key"], ["example_id"], ["idx"])
+        near = pairs.withColumn("score", -F.abs(F.col(side) - F.col(at)))
+        return se.top_ranked(near, ["example_id"], "score", ["idx"], 5)
+
+    @cached_property
+    def ts_hits(self) -> DataFrame:
+        return self._nearest(self.ts_questions, "timestamp_seconds", "start").select("example_id", "rank", "start", "end")
+
+    @cached_property
+    def range_questions(self) -> DataFrame:
+        """Two signups in a row make one question with two answer ranges."""
+        e = self.events.where(F.col("event_type") == "signup")
+        n = ordered_scan(e, ["lecture_key"], "ord", number="n")
+        ranges = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("value") * 200).alias("end"))))
+        g = n.groupBy("lecture_key", F.expr("n div 2").alias("pair")).agg(ranges.alias("answer_ranges"))
+        return g.select(F.concat_ws("-", "lecture_key", "pair").alias("example_id"), "lecture_key", "answer_ranges",
+                        F.col("answer_ranges")[0]["start"].alias("first_start"))
+
+    @cached_property
+    def range_hits(self) -> DataFrame:
+        q = self.range_questions.select("example_id", "lecture_key", "first_start")
+        return self._nearest(q, "first_start", "start").select("example_id", "lecture_key", "idx", "rank", "start", "end")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """A user turn as the reference and the assistant turn after it as the answer."""
+        c = self.table("conversations")
+        u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("answer"))
+        a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated"))
+        return u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("example_id"), "answer", "generated")
+
+    @cached_property
+    def boundary_flags(self) -> DataFrame:
+        """Utterances of user lectures: slide changes as truth, evenly spaced cuts as guess."""
+        ref = sl.reference_boundaries(self.paused, self.slides, block_seconds=DAY).select(
+            "lecture_key", F.col("idx").alias("i"), F.col("flag").alias("ref"))
+        sizes = ref.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n"), F.sum("ref").alias("n_boundaries"))
+        cuts = mt.fixed_boundaries(sizes).withColumn("hyp", F.lit(1))
+        return ref.join(cuts, ["lecture_key", "i"], "left").fillna(0, ["hyp"])
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return self.boundary_flags.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n"), F.sum("ref").alias("n_boundaries"))
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        d = self.documents.select("doc_id", "source", "lang", "n_chars")
+        j = d.join(self.table("labels"), "doc_id", "left")
+        return j.withColumn("status", F.when(F.col("quality").isNull(), "failed").when(F.col("toxic") == 1, "dry_run")
+                            .when(F.col("quality") == 0, "skipped_existing").otherwise("success"))
+
 
 def r3(x: str, n: int = 3) -> str:
     """Rounding on the decimal digits of a double, half up: what Spark's ``round`` does."""
@@ -298,4 +361,41 @@ SQL: dict[str, tuple[list[str], str]] = {
   LEFT JOIN rec_dot x ON x.query_id = q.item_id AND x.lecture_key = r.lecture_key AND x.tree_path = r.tree_path"""),
     "tree_hits": (["rec_score"], """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tree_path) AS rank FROM rec_score)
   WHERE rank <= 10"""),
+    # --- questions, answers, boundaries ---
+    "tq": (["ev"], "SELECT ord AS example_id, lecture_key, floor(start)::BIGINT AS timestamp_seconds FROM ev WHERE event_type = 'error'"),
+    "ts_hits": (["tq", "paused"], """SELECT * FROM (SELECT q.example_id, q.timestamp_seconds, u.start, u."end", row_number() OVER (PARTITION BY q.example_id
+  ORDER BY abs(u.start - q.timestamp_seconds), u.idx) AS rank FROM tq q JOIN paused u USING (lecture_key)) WHERE rank <= 5"""),
+    "rq": (["ev"], """SELECT lecture_key || '-' || (n // 2) AS example_id, lecture_key, min(start) AS first_start,
+  list({'s': start, 'e': start + value * 200} ORDER BY start) AS ranges FROM (SELECT *, row_number() OVER (PARTITION BY lecture_key ORDER BY ord) - 1 AS n
+  FROM ev WHERE event_type = 'signup') GROUP BY lecture_key, n // 2"""),
+    "rcand": (["rq", "paused"], """SELECT example_id, lecture_key, first_start, idx, start, "end", max(iou) AS iou, min(dist) AS dist FROM (
+  SELECT *, CASE WHEN ov <= 0 OR greatest(0, "end" - start) + greatest(0, e - s) - ov <= 0 THEN 0.0
+    ELSE ov / (greatest(0, "end" - start) + greatest(0, e - s) - ov) END AS iou,
+    CASE WHEN ov > 0 THEN 0.0 WHEN "end" < s THEN s - "end" ELSE start - e END AS dist FROM (
+  SELECT *, greatest(0.0, least("end", e) - greatest(start, s)) AS ov FROM (
+  SELECT q.example_id, q.lecture_key, q.first_start, u.idx, u.start, u."end", unnest(q.ranges).s AS s, unnest(q.ranges).e AS e
+  FROM rq q JOIN paused u USING (lecture_key)))) GROUP BY 1, 2, 3, 4, 5, 6"""),
+    "rhits": (["rcand"], """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY abs(start - first_start), idx) AS rank FROM rcand)
+  WHERE rank <= 5"""),
+    "answers": ([], """SELECT u.conv_id * 100 + u.turn AS example_id, u.text AS answer, a.text AS generated FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"""),
+    "atok": (["answers"], f"""SELECT example_id, 'r' AS s, unnest(regexp_extract_all(lower(answer), '{WORDS_RE}')) AS t,
+  unnest(range(len(regexp_extract_all(lower(answer), '{WORDS_RE}')))) AS p FROM answers UNION ALL SELECT example_id, 'g',
+  unnest(regexp_extract_all(lower(generated), '{WORDS_RE}')), unnest(range(len(regexp_extract_all(lower(generated), '{WORDS_RE}')))) FROM answers"""),
+    "acnt": (["atok"], "SELECT example_id, t, count(*) FILTER (s = 'r') AS cr, count(*) FILTER (s = 'g') AS cg FROM atok GROUP BY 1, 2"),
+    "aover": (["acnt", "answers"], """SELECT a.example_id, coalesce(sum(least(cr, cg)), 0)::DOUBLE AS m, coalesce(sum(cr), 0)::DOUBLE AS nr,
+  coalesce(sum(cg), 0)::DOUBLE AS ng FROM answers a LEFT JOIN acnt USING (example_id) GROUP BY 1"""),
+    "clamped": (["paused", "spans"], """SELECT u.lecture_key, u.idx, coalesce(s.slide_index, m.last_i) AS slide_index FROM paused u
+  LEFT JOIN (SELECT *, CASE WHEN slide_index = 0 THEN -1e18 ELSE start END AS lo FROM spans) s
+  ON u.lecture_key = s.lecture_key AND s.lo < u.start AND u.start <= s."end"
+  LEFT JOIN (SELECT lecture_key, max(slide_index) AS last_i FROM spans GROUP BY 1) m ON u.lecture_key = m.lecture_key"""),
+    "refs": (["clamped"], """SELECT lecture_key, idx AS i, CASE WHEN lead(slide_index) OVER (PARTITION BY lecture_key ORDER BY idx) <> slide_index
+  THEN 1 ELSE 0 END AS ref FROM clamped"""),
+    "sizes": (["refs"], "SELECT lecture_key, count(*) AS n, sum(ref)::BIGINT AS nb FROM refs GROUP BY 1"),
+    "fixed": (["sizes"], """SELECT DISTINCT lecture_key, greatest(least(round_even(j * (n / (nb + 1)::DOUBLE), 0)::BIGINT - 1, n - 2), 0) AS i
+  FROM (SELECT *, unnest(range(1, nb + 1)) AS j FROM sizes WHERE nb > 0 AND n >= 2)"""),
+    "bflags": (["refs", "fixed"], """SELECT r.*, CASE WHEN f.i IS NULL THEN 0 ELSE 1 END AS hyp FROM refs r LEFT JOIN fixed f
+  ON f.lecture_key = r.lecture_key AND f.i = r.i"""),
+    "manifest": ([], """SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic, CASE WHEN l.quality IS NULL THEN 'failed' WHEN toxic = 1 THEN 'dry_run'
+  WHEN quality = 0 THEN 'skipped_existing' ELSE 'success' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)"""),
 }
