@@ -7,5 +7,5 @@ import importlib
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    for area in ("speech", "index", "score"):
+    for area in ("speech", "index", "score", "corpus"):
         importlib.import_module(f"rostrum.plans.{area}_queries")

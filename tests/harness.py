@@ -64,6 +64,12 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from rostrum.session import build_session
 
+    if os.environ.get("LONG_KEYS"):
+        # Treat every key as long and cut it into tiny blocks.
+        from rostrum.operators import tree
+        from rostrum.plans import ordered
+
+        ordered.LONG_KEY_ROWS, ordered.BLOCK_ROWS, tree.LOCAL_NODE_ROWS = 10, 8, 12
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("check")
     spark.sparkContext.setLogLevel("ERROR")
