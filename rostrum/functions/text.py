@@ -58,7 +58,7 @@ def format_slide_block(ocr: str | Column) -> Column:
 def compose_chunk_text(spoken: str | Column, ocr: str | Column) -> Column:
     """Spoken text above the marked slide lines; the blank stand-in if both are empty."""
     parts = F.filter(F.array(clean_text(spoken), format_slide_block(ocr)), lambda p: p != "")
-    return F.when(F.size(parts) == 0, F.lit(BLANK)).otherwise(F.array_join(parts, "\n"))
+    return or_blank(F.array_join(parts, "\n"))
 
 
 def compose_entry(spoken: str | Column, ocr: str | Column, *, include_ocr: bool = True) -> Column:
@@ -68,8 +68,7 @@ def compose_entry(spoken: str | Column, ocr: str | Column, *, include_ocr: bool
     if not include_ocr:
         seen = F.lit("")
     marked = F.when(seen != "", F.concat(F.lit(SLIDE_TOKEN + " "), seen))
-    both = F.concat_ws("\n", F.when(said != "", said), marked)
-    return F.when(both == "", F.lit(BLANK)).otherwise(both)
+    return or_blank(F.concat_ws("\n", F.when(said != "", said), marked))
 
 
 def _is_slide_line(line: Column) -> Column:
@@ -91,16 +90,18 @@ def slide_part(text: str | Column) -> Column:
 
 
 def or_blank(x: Column) -> Column:
-    return F.when(F.coalesce(x, F.lit("")) == "", F.lit(BLANK)).otherwise(x)
+    return F.coalesce(F.nullif(x, F.lit("")), F.lit(BLANK))
 
 
 def rerank_text(text: str | Column) -> Column:
     """Reranker input of a segment: its speech, then its slide lines, under fixed titles."""
-    seen = slide_part(text)
-    marked = F.array_join(F.transform(lines_of(seen), lambda line: F.concat(F.lit(SLIDE_TOKEN + " "), line)), "\n")
-    slide = F.when(seen == "", F.lit("Slide OCR:\n" + BLANK)).otherwise(
-        F.concat(F.lit(SLIDE_TOKEN + "\nSlide OCR:\n"), marked))
-    return F.concat(F.lit("Segment:\n"), or_blank(spoken_part(text)), F.lit("\n\n"), slide)
+
+    def block(seen: Column) -> Column:
+        marked = F.array_join(F.transform(lines_of(seen), lambda line: F.concat(F.lit(SLIDE_TOKEN + " "), line)), "\n")
+        return F.when(seen == "", F.lit("Slide OCR:\n" + BLANK)).otherwise(
+            F.concat(F.lit(SLIDE_TOKEN + "\nSlide OCR:\n"), marked))
+
+    return F.concat(F.lit("Segment:\n"), or_blank(spoken_part(text)), F.lit("\n\n"), let(slide_part(text), block))
 
 
 def rerank_text_ocr(text: str | Column) -> Column:

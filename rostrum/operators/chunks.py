@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import BLANK, clean_text, compose_chunk_text, ordered_text, text_tokens
 from rostrum.operators.slides import overlapping_slides
-from rostrum.plans.ordered import ordered_fold, ordered_scan
+from rostrum.plans.ordered import Rows, has_long_key, ordered_fold, ordered_scan
 
 # The default grid of chunk configurations.
 STRATEGIES = ("utterance_packed", "raw_token_window")
@@ -58,11 +58,10 @@ def token_windows(
     step = max(1, size - overlap)
     text = clean_text("word")
     text = F.lower(text) if lowercase else text
-    toks = words.withColumn("_tok", text_tokens(text)).where(F.size("_tok") > 0)
     n = F.size("_tok").cast("long")
     placed = ordered_scan(
-        toks.select(*KEY, "ord", "start", "end", "_tok"), KEY, "ord", number="_word",
-        running={"_upto": ("sum", n)}, totals={"_total": ("sum", n)},
+        _with_tokens(words, text).select(*KEY, "ord", "start", "end", "_tok"), KEY, "ord", number="_word",
+        running={"_upto": ("sum", n)}, totals={"_total": ("sum", n)}, long=has_long_key(words, KEY),
     )
     flat = placed.select(*KEY, "_word", "start", "end", "_total", (F.col("_upto") - n).alias("_from"),
                          F.posexplode("_tok").alias("_k", "_t"))
@@ -89,6 +88,16 @@ def token_windows(
     )
 
 
+def _with_tokens(rows: DataFrame, text: Column) -> DataFrame:
+    """Rows with ``_tok``, the tokens of a text; rows without any go.
+
+    Every character that is no white space belongs to a token, so the cheap test decides;
+    exploding a one-element array keeps the tokens from being found once per use.
+    """
+    kept = rows.where(text.rlike(r"\S"))
+    return kept.select("*", F.explode(F.array(text_tokens(text))).alias("_tok"))
+
+
 def utterance_units(utts: DataFrame, *, attach_ocr: bool = False) -> DataFrame:
     """Utterances as packable units: composed text, slide indices, source position."""
     has_ocr = F.lit(attach_ocr) & (F.coalesce("ocr_text", F.lit("")) != "") if attach_ocr else F.lit(False)
@@ -105,23 +114,24 @@ def split_units(units: DataFrame, *, size: int) -> DataFrame:
     Input rows carry ``idx``, unique within the lecture and in order; output rows ``t``,
     the dense piece position, and ``n_tokens``.
     """
-    toks = units.withColumn("_tok", text_tokens("text")).where(F.size("_tok") > 0)
-    pieces = F.ceil(F.size("_tok") / size).cast("long")
+    # Only the count travels; the tokens of the few oversized units are cut out again.
+    toks = _with_tokens(units, F.col("text")).withColumn("_n", F.size("_tok").cast("long")).drop("_tok")
+    pieces = F.ceil(F.col("_n") / size).cast("long")
     placed = ordered_scan(toks, KEY, "idx", running={"_upto": ("sum", pieces)},
-                          totals={"n_units": ("sum", pieces)})
+                          totals={"n_units": ("sum", pieces)}, long=has_long_key(units, KEY))
     cut = placed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-    part = F.slice("_tok", (F.col("_k") * size + 1).cast("int"), F.lit(size))
+    part = F.slice(text_tokens("text"), (F.col("_k") * size + 1).cast("int"), F.lit(size))
     return cut.select(
         *KEY, (F.col("_upto") - pieces + F.col("_k")).alias("t"), "n_units", "idx", "start", "end", "slide_index",
         F.when(pieces > 1, F.array_join(part, " ")).otherwise(F.col("text")).alias("text"),
-        F.when(pieces > 1, F.size(part)).otherwise(F.size("_tok")).cast("long").alias("n_tokens"),
+        F.least(F.lit(size).cast("long"), F.col("_n") - F.col("_k") * size).alias("n_tokens"),
     )
 
 
 def _packer(size: int, overlap: int):
     """Fold step: the state is the run of units of the chunk still open."""
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         held = [] if state is None else [tuple(p) for p in json.loads(state)]
         total = sum(c for _, c in held)
         out = []
@@ -141,12 +151,10 @@ def _packer(size: int, overlap: int):
                 close()
             held.append((t, c))
             total += c
-        last = rows.iloc[-1]
-        if last["t"] == last["n_units"] - 1:
+        if rows["t"][-1] == rows["n_units"][-1] - 1:
             out.append((held[0][0], held[-1][0]))
-        frame = pd.DataFrame(out, columns=["lo", "hi"])
-        frame.insert(0, "lecture_key", last["lecture_key"])
-        return frame, json.dumps(held)
+        spans = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return {"lecture_key": [rows["lecture_key"][0]] * len(out), "lo": spans[:, 0], "hi": spans[:, 1]}, json.dumps(held)
 
     return fold
 
@@ -161,7 +169,8 @@ def pack_units(units: DataFrame, *, size: int, overlap: int = 0, block_rows: int
     """
     pieces = split_units(units, size=size)
     spans = ordered_fold(pieces.select(*KEY, "t", "n_tokens", "n_units"), KEY, "t", _packer(size, overlap),
-                         "lecture_key string, lo long, hi long", block_rows=block_rows)
+                         "lecture_key string, lo long, hi long", block_rows=block_rows,
+                         long=None if block_rows else has_long_key(units, KEY))
     spans = ordered_scan(spans, KEY, "lo", number="_n").withColumn("chunk_id", F.col("_n") + 1)
     at = spans.select(*KEY, "chunk_id", F.explode(F.sequence("lo", "hi")).alias("t"))
     rows = at.join(pieces, [*KEY, "t"])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import ordered_text
 from rostrum.functions.times import clock, strip_key
 from rostrum.operators.metrics import min_gap_boundaries
-from rostrum.plans.ordered import ordered_fold, ordered_scan
+from rostrum.plans.ordered import Rows, ordered_fold, ordered_scan, pick
 
 # Word classes kept as text, and classes glued to their neighbours.
 PLAIN_CLASSES = ("W", "TRUNCW", "ABBR", "LET", "CD")
@@ -32,13 +31,13 @@ def classify_words(words: DataFrame) -> DataFrame:
     kept = words.where(text.isNotNull() & cls.isNotNull() & ~((cls == "SYM") & (text != "-")))
     kinds = [f"{c} {t}" for c, t in words.select(*KEYS, "pos").dtypes]
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         depth, closing = int(state or 0), []
         for c in rows["cls"]:
             shut = c == "RQUOTE" or (c == "QUOTE" and depth > 0)
             closing.append(shut)
             depth = max(depth - 1, 0) if shut else depth + 1
-        return rows.assign(closing=closing)[[*KEYS, "pos", "closing"]], str(depth)
+        return {**pick(rows, [*KEYS, "pos"]), "closing": closing}, str(depth)
 
     marks = kept.where(quote).select(*KEYS, "pos", "cls")
     sides = ordered_fold(marks, KEYS, "pos", fold, ", ".join([*kinds, "closing boolean"]))

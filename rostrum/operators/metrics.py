@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType
 
 from rostrum.functions.text import word_tokens
 from rostrum.functions.times import interval_iou, relevance_grade, temporal_distance
-from rostrum.plans.ordered import grid_join, ordered_fold, ordered_scan
+from rostrum.plans.ordered import Rows, grid_join, ordered_fold, ordered_scan, pick
 
 # Cut-offs and the tolerance in seconds.
 CUTS = (1, 3, 5)
@@ -241,7 +241,7 @@ def tolerance_match(flags: DataFrame, *, tolerance: int = 2) -> DataFrame:
     positions once with the boundaries still waiting on either side gives the same pairs.
     """
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         preds, trues = ([], []) if state is None else json.loads(state)
         hits = 0
         for i, ref, hyp in zip(rows["i"].tolist(), rows["ref"].tolist(), rows["hyp"].tolist()):
@@ -259,8 +259,8 @@ def tolerance_match(flags: DataFrame, *, tolerance: int = 2) -> DataFrame:
                     hits += 1
                 else:
                     preds.append(i)
-        out = pd.DataFrame({"lecture_key": [rows["lecture_key"].iloc[0]], "hits": [hits],
-                            "n_ref": [int(rows["ref"].sum())], "n_hyp": [int(rows["hyp"].sum())]})
+        out = {"lecture_key": rows["lecture_key"][:1], "hits": [hits], "n_ref": [int(rows["ref"].sum())],
+               "n_hyp": [int(rows["hyp"].sum())]}
         return out, json.dumps([preds, trues])
 
     part = ordered_fold(flags.select(*KEY, "i", "ref", "hyp"), KEY, "i", fold, "lecture_key string, hits long, n_ref long, n_hyp long")
@@ -280,14 +280,14 @@ def min_gap_boundaries(positions: DataFrame, *, min_size: int = 5, keys: list[st
     keys = keys or KEY
     schema = ", ".join(f"{c} {t}" for c, t in positions.select(*keys, "i").dtypes)
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         last = -min_size if state is None else int(state)
         keep = []
         for i in rows["i"].tolist():
             ok = i < min_size - 1 or i - last >= min_size
             keep.append(ok)
             last = i if ok else last
-        return rows.loc[keep, [*keys, "i"]], str(last)
+        return pick(rows, [*keys, "i"], keep), str(last)
 
     return ordered_fold(positions.select(*keys, "i"), keys, "i", fold, schema)
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import clean_text, ordered_text, strip
 from rostrum.plans.ordered import (
-    attach_per_key, interval_pairs, ordered_fold, ordered_scan, row_block, value_block,
+    Rows, attach_per_key, interval_pairs, ordered_fold, ordered_scan, pick, row_block, value_block,
 )
 
 # Fixed values of the boundary clean-up.
@@ -147,14 +146,14 @@ def reference_boundaries(
 def normalize_ends(ends: DataFrame, *, eps: float = MIN_STEP_S) -> DataFrame:
     """Drop end times that are not positive or not past the last kept one; renumber."""
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         last = -1.0 if state is None else float(state)
         keep = []
         for value in rows["end"]:
             ok = value > 0 and value > last + eps
             keep.append(ok)
             last = value if ok else last
-        return rows.loc[keep, ["lecture_key", "pos", "end"]], repr(last)
+        return pick(rows, ["lecture_key", "pos", "end"], keep), repr(float(last))
 
     numbered = ordered_scan(ends.select(*KEY, "slide_index", "end"), KEY, "slide_index", number="pos")
     kept = ordered_fold(numbered.select(*KEY, "pos", "end"), KEY, "pos", fold,
@@ -168,7 +167,7 @@ def dedupe_slides(slides: DataFrame, *, max_distance: int = DEDUPE_HAMMING) -> D
     Input ``slide_index, end, hash``; the kept slide's end is extended to the last merged.
     """
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         last = None if state is None else int(state)
         flags = []
         for value in rows["hash"]:
@@ -176,7 +175,7 @@ def dedupe_slides(slides: DataFrame, *, max_distance: int = DEDUPE_HAMMING) -> D
             new = last is None or ((int(value) ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_distance
             flags.append(int(new))
             last = int(value) if new else last
-        return rows.assign(is_new=flags)[["lecture_key", "slide_index", "end", "is_new"]], str(last)
+        return {**pick(rows, ["lecture_key", "slide_index", "end"]), "is_new": flags}, str(last)
 
     marked = ordered_fold(slides.select(*KEY, "slide_index", "end", "hash"), KEY, "slide_index", fold,
                           "lecture_key string, slide_index long, end double, is_new int")
@@ -198,7 +197,7 @@ def filter_by_text_change(
     boundary. The first and last boundary of a lecture always stay.
     """
 
-    def fold(rows: pd.DataFrame, state: str | None):
+    def fold(rows: Rows, state: str | None):
         terms, last = (None, 0.0) if state is None else json.loads(state)
         prev = None if terms is None else set(terms)
         keep = []
@@ -211,7 +210,7 @@ def filter_by_text_change(
             keep.append(ok)
             if ok:
                 prev, last = now, float(end)
-        return (rows.loc[keep, ["lecture_key", "slide_index", "end"]],
+        return (pick(rows, ["lecture_key", "slide_index", "end"], keep),
                 json.dumps([None if prev is None else sorted(prev), last]))
 
     counted = ordered_scan(slides.select(*KEY, "slide_index", "end", "terms"), KEY, "slide_index",

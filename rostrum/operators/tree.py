@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from rostrum.functions.text import BLANK, clean_text, ordered_text, strip, word_tokens
-from rostrum.functions.vectors import add, dot, let, norm, subtract, unit
+from rostrum.functions.vectors import add, dot, subtract, unit
 from rostrum.plans import ordered
-from rostrum.plans.ordered import ancestors, attach_per_key, has_long_key, map_sorted_groups, ordered_scan, row_block
+from rostrum.plans.ordered import (
+    Rows, ancestors, attach_per_key, has_long_key, map_sorted_groups, ordered_scan, pick, row_block,
+)
 from rostrum.session import materialize
 
 # Defaults of the split, and the length of the stand-in summary.
@@ -45,21 +48,24 @@ def context_blocks(entries: DataFrame, *, width: int = CONTEXT_WIDTH) -> DataFra
     return out
 
 
+def _bag_vectors(dim: int):
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def vectors(bags: pd.Series) -> pd.Series:
+        counts = np.array([np.bincount(b, minlength=dim) for b in bags], dtype=float).reshape(-1, dim)
+        length = np.sqrt((counts * counts).sum(1, keepdims=True))
+        return pd.Series(list(np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)))
+
+    return vectors
+
+
 def hashed_embedding(texts: DataFrame, text: str = "text", *, dim: int = 64) -> DataFrame:
     """Default text vector: hashed bag of words of unit length. A model's vectors take its place.
 
-    Computed within the row, so that embedding a corpus needs no shuffle.
+    Computed within the row, so that embedding a corpus needs no shuffle: words are hashed
+    by Spark, the buckets of a batch of rows counted by numpy.
     """
     buckets = F.transform(word_tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int") % dim)
-
-    def counts(bag: Column) -> Column:
-        left = lambda b: F.size(F.array_remove(bag, b))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(bag) - left(b)).cast("double"))
-
-    def scaled(n: Column) -> Column:
-        return let(norm(n), lambda length: F.when(length > 0, F.transform(n, lambda v: v / length)).otherwise(n))
-
-    return texts.withColumn("embedding", let(buckets, lambda bag: let(counts(bag), scaled)))
+    return texts.withColumn("embedding", _bag_vectors(dim)(buckets))
 
 
 def best_cut(prefix: np.ndarray, squares: np.ndarray, lo: int, hi: int, min_size: int, balance: float):
@@ -78,25 +84,24 @@ def best_cut(prefix: np.ndarray, squares: np.ndarray, lo: int, hi: int, min_size
     return int(at[k]) - 1, float(loss[k] - base)
 
 
-def _grow(min_size: int, balance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _grow(min_size: int, balance: float) -> Callable[[Rows], Rows]:
     """All nodes below one node whose blocks are given in order."""
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        vectors = np.stack(pdf["embedding"].to_numpy()).astype(float)
+    def grow(rows: Rows) -> Rows:
+        vectors = np.stack(rows["embedding"]).astype(float)
         prefix = np.vstack([np.zeros(vectors.shape[1]), vectors.cumsum(0)])
         squares = np.concatenate([[0.0], (vectors * vectors).sum(1).cumsum()])
-        first, out, todo = int(head["i"]), [], [(head["path"], 0, len(pdf) - 1)]
+        first, out, todo = int(rows["i"][0]), [], [(rows["path"][0], 0, len(vectors) - 1)]
         while todo:
             path, lo, hi = todo.pop()
             leaf = hi - lo + 1 < 2 * min_size
             cut, delta = (None, None) if leaf else best_cut(prefix, squares, lo, hi, min_size, balance)
-            out.append((head["lecture_key"], path, len(path) - 1, first + lo, first + hi, leaf,
+            out.append((rows["lecture_key"][0], path, len(path) - 1, first + lo, first + hi, leaf,
                         None if leaf else first + cut, delta))
             if not leaf:
                 todo += [(path + "L", lo, cut), (path + "R", cut + 1, hi)]
-        frame = pd.DataFrame(out, columns=["lecture_key", "path", "depth", "lo", "hi", "is_leaf", "split_at", "delta"])
-        return frame.astype({"split_at": "Int64", "delta": "Float64"})
+        names = ["lecture_key", "path", "depth", "lo", "hi", "is_leaf", "split_at", "delta"]
+        return dict(zip(names, map(list, zip(*out))))
 
     return grow
 
@@ -127,10 +132,9 @@ def segment_tree(
 def prefix_sums(rows: DataFrame) -> DataFrame:
     """Running vector sum ``p`` and running sum of squared lengths ``q`` up to each block."""
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        return pd.DataFrame({"lecture_key": pdf["lecture_key"], "_blk": pdf["_blk"], "i": pdf["i"],
-                             "p": list(v.cumsum(0)), "q": (v * v).sum(1).cumsum()})
+    def inside(group: Rows) -> Rows:
+        v = np.stack(group["embedding"]).astype(float)
+        return {**pick(group, ["lecture_key", "_blk", "i"]), "p": list(v.cumsum(0)), "q": (v * v).sum(1).cumsum()}
 
     blocked = rows.withColumn("_blk", row_block("i"))
     part = materialize(map_sorted_groups(blocked, [*KEY, "_blk"], ["i"], inside,
@@ -353,14 +357,16 @@ def keyword_profile(texts: DataFrame, keys: list[str], *, top: int = 5) -> DataF
     """Top terms per text by term frequency times inverse document frequency.
 
     Terms are counted per text before the shuffle, and document counts per term are
-    combined map-side; a term found in most texts is one row per text, not per use.
+    combined map-side; a term found in most texts is one row per text, not per use. Both
+    sides ask for the same counts, so the counting shuffle is done once. A term has no
+    more rows than there are texts, which decides whether it needs spreading.
     """
     toks = texts.select(*keys, F.explode(word_tokens("text")).alias("term")).where(F.length("term") >= 3)
     tf = toks.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     total = texts.agg(F.count(F.lit(1)).alias("n_texts")).withColumn("_one", F.lit(1))
     block = F.pmod(F.xxhash64(*keys), F.lit(256))
-    scored = attach_per_key(tf, df, ["term"], block, "inner").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    scored = attach_per_key(tf, df, ["term"], block, "inner", long=has_long_key(texts, [])).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     idf = F.log((F.col("n_texts") + 1) / (F.col("df") + 1)) + 1
     scored = scored.withColumn("score", F.round(F.col("tf") * idf, 6))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "term"))

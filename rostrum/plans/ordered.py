@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rostrum.session import materialize
 
@@ -41,6 +41,9 @@ def has_long_key(df: DataFrame, keys: Sequence[str]) -> bool:
         _known_long[mark] = sizes.where(F.col("_c") > LONG_KEY_ROWS).limit(1).count() > 0
     return _known_long[mark]
 
+# Columns of one group of rows.
+Rows = dict[str, np.ndarray]
+
 _AGGS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -172,14 +175,14 @@ def ordered_scan(
 
 
 def attach_per_key(
-    df: DataFrame, attrs: DataFrame, keys: Sequence[str], block: Column, how: str = "left"
+    df: DataFrame, attrs: DataFrame, keys: Sequence[str], block: Column, how: str = "left", *, long: bool | None = None
 ) -> DataFrame:
     """Join one row of attributes per key to many rows; a long key is never joined alone.
 
     With a long key the attributes are joined to the distinct ``(key, block)`` pairs, and the rows to
     that small table, so a hot key is spread over its blocks.
     """
-    if not has_long_key(df, keys):
+    if not (has_long_key(df, keys) if long is None else long):
         return df.join(attrs, list(keys), how)
     rows = materialize(df.withColumn("_ablk", block))
     pairs = rows.select(*keys, "_ablk").distinct().join(attrs, list(keys), "inner")
@@ -275,45 +278,57 @@ def interval_pairs(
     ).drop("_bk")
 
 
+def pick(rows: Rows, names: Sequence[str], keep: np.ndarray | list[bool] | None = None) -> Rows:
+    """Some columns of a group, cut to the rows to keep."""
+    mask = slice(None) if keep is None else np.asarray(keep, dtype=bool)
+    return {n: rows[n][mask] for n in names}
+
+
 def map_sorted_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str],
-    fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[Rows], Rows], schema: str,
 ) -> DataFrame:
     """Apply ``fn`` to every bounded group, its rows in order.
 
-    One shuffle on ``keys`` and one sort; groups are cut out of the Arrow stream, which
-    avoids a Python call frame per group that grouped maps pay.
+    One shuffle on ``keys`` and one sort. Groups are cut out of the Arrow stream as column
+    slices and their results gathered per batch, so a small group costs microseconds
+    where a grouped map would build a frame for it.
     """
     keys, order = list(keys), list(order)
 
+    def cut(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        out: dict[str, list] = {}
+        for a, b in zip(bounds, bounds[1:]):
+            for name, values in fn({c: v[a:b] for c, v in cols.items()}).items():
+                out.setdefault(name, []).extend(values)
+        return pd.DataFrame(out)
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: pd.DataFrame | None = None
-
-        def flush(pdf: pd.DataFrame, bounds: list[int]) -> Iterator[pd.DataFrame]:
-            parts = [fn(pdf.iloc[a:b]) for a, b in zip(bounds, bounds[1:])]
-            parts = [p for p in parts if len(p)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
         for pdf in batches:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            yield from flush(pdf, change)
-            pending = pdf.iloc[change[-1]:]
-        if pending is not None and len(pending):
-            yield from flush(pending, [0, len(pending)])
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
+            new = np.ones(len(pdf), dtype=bool)
+            new[1:] = False
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = new.nonzero()[0].tolist()
+            if len(starts) > 1:
+                yield cut(pdf, starts)
+            pending = pdf.iloc[starts[-1]:]
+        if pending is not None:
+            yield cut(pending, [0, len(pending)])
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)
 
 
 def ordered_fold(
-    df: DataFrame, keys: Sequence[str], order: str,
-    fold: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]],
-    schema: str, *, block_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, fold: Callable[[Rows, str | None], tuple[Rows, str | None]],
+    schema: str, *, block_rows: int | None = None, long: bool | None = None,
 ) -> DataFrame:
     """Sequential fold over the ordered rows of each key, block by block.
 
@@ -321,53 +336,47 @@ def ordered_fold(
     the very start) left by the block before, and returns output rows plus its own final
     state. ``order`` is a 0-based integer position unique within the key.
 
-    A key of one block is one call. For longer keys every block first guesses that it is
-    the start; then the guesses are replaced by the states really handed over, and only
+    Without a long key every key is one call. Otherwise every block first guesses that it
+    is the start; then the guesses are replaced by the states really handed over, and only
     the blocks whose entry changed run again, until nothing changes. A block whose entry
     equals its predecessor's exit is right, block 0 is right from the start, so each
     round settles at least one more block and the result is exact.
     """
     keys = list(keys)
-    rows = df.withColumn("_blk", row_block(order, block_rows))
-    key_fields = [f for f in rows.schema.fields if f.name in (*keys, "_blk")]
+    if long is None:
+        long = block_rows is not None or has_long_key(df, keys)
+    rows = df.withColumn("_blk", row_block(order, block_rows) if long else F.lit(0).cast("long"))
+    held = [*keys, "_blk"]
 
-    def exits_only(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        _, state = fold(pdf, None if pd.isna(head["_entry"]) else head["_entry"])
-        return pd.DataFrame([{**{f.name: head[f.name] for f in key_fields}, "exit": state}])
+    def exits_only(group: Rows) -> Rows:
+        _, state = fold(group, group["_entry"][0])
+        return {**{k: group[k][:1] for k in held}, "exit": [state]}
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = pdf["_entry"].iloc[0]
-        return fold(pdf, None if pd.isna(entry) else entry)[0]
+    def emit(group: Rows) -> Rows:
+        return fold(group, group["_entry"][0])[0]
 
-    # A fold is one Python call per block, so any key beyond one block takes the long way.
-    is_long = rows.where(F.col("_blk") > 0).limit(1).count() > 0
-    if not is_long:
+    if not long:
         flat = rows.withColumn("_entry", F.lit(None).cast("string"))
-        return map_sorted_groups(flat, [*keys, "_blk"], [order], emit, schema)
+        return map_sorted_groups(flat, held, [order], emit, schema)
 
-    exit_schema = T.StructType([*key_fields, T.StructField("exit", T.StringType())])
+    exit_schema = ", ".join(f"{c} {t}" for c, t in rows.select(*held).dtypes) + ", exit string"
     across = Window.partitionBy(*keys).orderBy("_blk")
-    entries = materialize(
-        rows.select(*keys, "_blk").distinct().withColumn("_entry", F.lit(None).cast("string"))
-    )
+    rows = materialize(rows)
+    entries = materialize(rows.select(*held).distinct().withColumn("_entry", F.lit(None).cast("string")))
     todo, exits = entries, None
     while True:
-        part = rows.join(todo, [*keys, "_blk"])
-        fresh = map_sorted_groups(part, [*keys, "_blk"], [order], exits_only, exit_schema)
+        fresh = materialize(map_sorted_groups(rows.join(todo, held), held, [order], exits_only, exit_schema))
         if exits is None:
-            exits = materialize(fresh)
+            exits = fresh
         else:
-            fresh = materialize(fresh)
-            exits = materialize(exits.join(fresh, [*keys, "_blk"], "left_anti").unionByName(fresh))
-        handed = exits.select(*keys, "_blk", F.lag("exit").over(across).alias("_new"))
-        merged = materialize(entries.join(handed, [*keys, "_blk"]))
-        todo = merged.where(~F.col("_entry").eqNullSafe(F.col("_new"))).select(
-            *keys, "_blk", F.col("_new").alias("_entry"))
-        entries = merged.select(*keys, "_blk", F.col("_new").alias("_entry"))
+            exits = materialize(exits.join(fresh, held, "left_anti").unionByName(fresh))
+        handed = exits.select(*held, F.lag("exit").over(across).alias("_new"))
+        merged = materialize(entries.join(handed, held))
+        todo = merged.where(~F.col("_entry").eqNullSafe(F.col("_new"))).select(*held, F.col("_new").alias("_entry"))
+        entries = merged.select(*held, F.col("_new").alias("_entry"))
         if todo.limit(1).count() == 0:
             break
-    return map_sorted_groups(rows.join(entries, [*keys, "_blk"]), [*keys, "_blk"], [order], emit, schema)
+    return map_sorted_groups(rows.join(entries, held), held, [order], emit, schema)
 
 
 def ancestors(path: Column) -> Column:
