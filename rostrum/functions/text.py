@@ -19,7 +19,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SPACE_CLASS = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = f"[{SPACE_CLASS}]+"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-EDGES = f"^{SPACES}|{SPACES}$"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B))
 
 
 def _col(x: str | Column) -> Column:
@@ -40,7 +41,7 @@ def clean_text(x: str | Column) -> Column:
 
 def strip(x: str | Column) -> Column:
     """Cut whitespace of any kind from both ends."""
-    return F.regexp_replace(_col(x), EDGES, "")
+    return F.trim(_col(x), F.lit(SPACE_CHARS))
 
 
 def lines_of(x: str | Column) -> Column:
@@ -90,7 +91,7 @@ def slide_part(text: str | Column) -> Column:
 
 
 def or_blank(x: Column) -> Column:
-    return F.coalesce(F.nullif(x, F.lit("")), F.lit(BLANK))
+    return let(x, lambda v: F.coalesce(F.nullif(v, F.lit("")), F.lit(BLANK)))
 
 
 def rerank_text(text: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import jaccard, rerank_text, rerank_text_node, word_tokens
 from rostrum.functions.vectors import dot, neg_squared_l2
-from rostrum.plans.ordered import grid_join
+from rostrum.plans.ordered import deal, grid_join
 
 # Sizes of the two retrieval stages and of the evidence list.
 FIRST_STAGE = 50
@@ -95,7 +95,7 @@ def rerank(
 ) -> DataFrame:
     """Score every hit against its question and sort again; equal scores keep their order."""
     body = rerank_text("text") if text is None else text()
-    rescored = hits.withColumn("rerank_score", score(F.col(question), body))
+    rescored = deal(hits, "query_id", "rank").withColumn("rerank_score", score(F.col(question), body))
     return top_ranked(rescored, HIT_KEY, "rerank_score", ["rank"], top_n, "new_rank").drop("rank").withColumnRenamed("new_rank", "rank")
 
 

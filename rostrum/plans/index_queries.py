@@ -331,7 +331,7 @@ _NODE_RR = ctes("tree_hits", body=_SUPPORT + f"""
 , ev AS (SELECT query_id, node, string_agg('Leaf ' || segment_id || chr(10) || 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || chr(10)
   || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
 SELECT h.query_id, h.tree_path, md5(CASE WHEN h.is_leaf THEN 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
-  ELSE 'Summary Node:' || chr(10) || h.summary_text || chr(10) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || ev.e END) AS rerank_md5
+  ELSE 'Summary Node:' || chr(10) || rtrim(h.summary_text) || chr(10) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || ev.e END) AS rerank_md5
 FROM tree_hits h LEFT JOIN ev ON ev.query_id = h.query_id AND ev.node = h.tree_path""")
 
 
@@ -346,7 +346,7 @@ _HEAD = """'[' || h.rank || '] score=' || printf('%.3f', h.score) || ' ' || h.le
 _BLOCKS = _SUPPORT + f""", eb AS (SELECT query_id, node, string_agg('Leaf ' || support_rank || ' seg=' || segment_id || ' time=' || start::VARCHAR || '-' || "end"::VARCHAR || 's'
   || chr(10) || 'Spoken:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2),
 bl AS (SELECT h.query_id, h.rank, {_HEAD} || chr(10) || CASE WHEN h.is_leaf THEN 'Spoken:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
-  ELSE 'Summary Node:' || chr(10) || h.summary_text || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || eb.e END AS b
+  ELSE 'Summary Node:' || chr(10) || rtrim(h.summary_text) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || eb.e END AS b
   FROM tree_hits h LEFT JOIN eb ON eb.query_id = h.query_id AND eb.node = h.tree_path)"""
 
 
@@ -369,13 +369,13 @@ def _(t: Tables):
   || ' time=' || printf('%.2f', start) || '-' || printf('%.2f', "end") || 's' || chr(10) || trim(regexp_replace(text, '@WS@+', ' ', 'g')), chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
 SELECT h.query_id, h.rank, md5('[' || h.rank || '] ' || CASE WHEN h.is_leaf THEN 'leaf' ELSE 'summary-node' END || ' depth=' || h.depth
   || ' time=' || printf('%.2f', h.start) || '-' || printf('%.2f', h."end") || 's' || chr(10) || CASE WHEN h.is_leaf THEN 'Transcript:' || chr(10) || trim(regexp_replace(h.text, '@WS@+', ' ', 'g'))
-  ELSE 'Summary:' || chr(10) || h.summary_text || chr(10) || 'Supporting transcript evidence:' || chr(10) || eb.e END) AS block_md5
+  ELSE 'Summary:' || chr(10) || rtrim(h.summary_text) || chr(10) || 'Supporting transcript evidence:' || chr(10) || eb.e END) AS block_md5
 FROM tree_hits h LEFT JOIN eb ON eb.query_id = h.query_id AND eb.node = h.tree_path"""))
 def _(t: Tables):
     return _with_evidence(t).select("query_id", F.col("rank").cast("long").alias("rank"), F.md5(cx.tree_transcript_block()).alias("block_md5"))
 
 
-@query("context_texts", ctes("tree_hits", body=_SUPPORT + r""", x AS (SELECT query_id, rank, 0 AS j, CASE WHEN is_leaf THEN trim(regexp_replace(text, '@WS@+', ' ', 'g')) ELSE summary_text END AS s FROM tree_hits
+@query("context_texts", ctes("tree_hits", body=_SUPPORT + r""", x AS (SELECT query_id, rank, 0 AS j, CASE WHEN is_leaf THEN trim(regexp_replace(text, '@WS@+', ' ', 'g')) ELSE rtrim(summary_text) END AS s FROM tree_hits
   UNION ALL SELECT u.query_id, h.rank, u.support_rank, trim(regexp_replace(u.text, '@WS@+', ' ', 'g')) FROM su u JOIN tree_hits h ON h.query_id = u.query_id AND h.tree_path = u.node)
 SELECT query_id, count(*) AS n_texts, md5(string_agg(s, '|' ORDER BY rank, j)) AS texts_md5 FROM x WHERE s <> '' GROUP BY 1"""))
 def _(t: Tables):

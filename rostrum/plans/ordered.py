@@ -62,6 +62,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+def deal(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt evenly over all shuffle partitions, ahead of row-wise work that is costly.
+
+    Sized by bytes alone, a few thousand short rows would end up in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def row_block(order: str, rows: int | None = None) -> Column:
     """Block number of a unique integer position."""
     return F.expr(f"`{order}` div {int(rows or BLOCK_ROWS)}")
@@ -295,13 +303,14 @@ def map_sorted_groups(
     """
     keys, order = list(keys), list(order)
 
-    def cut(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+    def cut(pdf: pd.DataFrame, bounds: list[int]) -> Iterator[pd.DataFrame]:
         cols = {c: pdf[c].to_numpy() for c in pdf.columns}
         out: dict[str, list] = {}
         for a, b in zip(bounds, bounds[1:]):
             for name, values in fn({c: v[a:b] for c, v in cols.items()}).items():
                 out.setdefault(name, []).extend(values)
-        return pd.DataFrame(out)
+        if any(out.values()):
+            yield pd.DataFrame(out)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: pd.DataFrame | None = None
@@ -317,10 +326,10 @@ def map_sorted_groups(
                 new[1:] |= v[1:] != v[:-1]
             starts = new.nonzero()[0].tolist()
             if len(starts) > 1:
-                yield cut(pdf, starts)
+                yield from cut(pdf, starts)
             pending = pdf.iloc[starts[-1]:]
         if pending is not None:
-            yield cut(pending, [0, len(pending)])
+            yield from cut(pending, [0, len(pending)])
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, schema)

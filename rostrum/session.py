@@ -19,6 +19,8 @@ def build_session(app: str = "rostrum", cpus: int | None = None) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Hash-aggregate up to 10,000 groups per task before sorting instead (default 128).
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
