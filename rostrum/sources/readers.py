@@ -131,7 +131,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 # --- meeting corpora ----------------------------------------------------------------
 
-_ELEMENT = r"(?s)<([A-Za-z][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?:/>|>([^<]*)(?:<nite:child[^>]*?(?:/>|>\s*</nite:child>)\s*)*</\1>)"
+# One element of a flat word file: name, attributes, and text or references inside.
+_ELEMENT = (r"(?s)<([A-Za-z][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*"
+            r"(?:/>|>([^<]*)(?:<nite:child[^>]*?(?:/>|>\s*</nite:child>)\s*)*</\1>)")
 
 
 def _attr(raw: str | Column, name: str) -> Column:
@@ -147,8 +149,8 @@ def _unescape(x: Column) -> Column:
 
 
 def _documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(root).select("value", F.col("_metadata.file_name").alias("file")))
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .text(root, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")))
     body = F.regexp_replace("value", r"(?s)<\?.*?\?>|<!--.*?-->", "")
     name = F.split("file", r"\.")
     return raw.select(body.alias("value"), name[0].alias("meeting"), name[1].alias("speaker"))
