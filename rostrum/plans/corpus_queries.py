@@ -138,7 +138,7 @@ def _(t: Tables):
 # --- validation, manifests, incremental builds --------------------------------------
 
 
-@query("checked_range_questions", ctes("ev", body="""SELECT ord, printf('lpm_qa-%04d', ord) AS example_id, CASE WHEN value < 5 THEN 'missing_question' WHEN value < 10 THEN 'missing_lecture_key'
+@query("checked_range_questions", ctes("ev", body="""SELECT ord, printf('qa-%04d', ord) AS example_id, CASE WHEN value < 5 THEN 'missing_question' WHEN value < 10 THEN 'missing_lecture_key'
   WHEN event_type NOT IN ('view', 'click') THEN 'invalid_answer_timestamps' END AS skip_reason FROM ev"""))
 def _(t: Tables):
     q = t.events.select("ord", F.col("ord").alias("row_index"), F.when(F.col("value") < 5, "  ").otherwise("why?").alias("question"),

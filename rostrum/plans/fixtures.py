@@ -38,7 +38,8 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        start = (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / F.lit(1e6)
+        # Wall-clock arithmetic, so the session's time zone plays no part.
+        start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))") / F.lit(1e6)
         return self.table("events").select(
             F.col("user_id").cast("string").alias("lecture_key"), F.col("event_id").alias("ord"),
             "event_type", "value", "props", start.alias("start"))

@@ -300,13 +300,6 @@ def _(t: Tables):
     return se.drop_overlapping_hits(_tree_hits(t)).select("query_id", "tree_path", F.col("rank").cast("long").alias("rank"))
 
 
-for _first in (False, True):
-    @query("tree_search_cut_first" if _first else "tree_search_dedup_first")
-    def _(t: Tables, first=_first):
-        hits = se.two_stage_search(t.tree_questions, t.tree_records, top_k=10, tree=True, cut_before_dedup=first)
-        return hits.select("query_id", "rank", "tree_path", F.round("rerank_score", 6).alias("rerank_score"))
-
-
 _SPOKEN = f"coalesce(nullif(regexp_replace(regexp_replace(@, '{WS}*{NL}{WS}*', chr(10), 'g'), '^{WS}+|{WS}+$', '', 'g'), ''), '<blank>')"
 
 
@@ -327,12 +320,13 @@ def _with_evidence(t: Tables):
     return hits.withColumn("slide_index", F.lit(None).cast("long"))
 
 
-_NODE_RR = ctes("tree_hits", body=_SUPPORT + f"""
-, ev AS (SELECT query_id, node, string_agg('Leaf ' || segment_id || chr(10) || 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || chr(10)
-  || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2)
-SELECT h.query_id, h.tree_path, md5(CASE WHEN h.is_leaf THEN 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
-  ELSE 'Summary Node:' || chr(10) || rtrim(h.summary_text) || chr(10) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || ev.e END) AS rerank_md5
-FROM tree_hits h LEFT JOIN ev ON ev.query_id = h.query_id AND ev.node = h.tree_path""")
+_NODE_TEXT = _SUPPORT + f"""
+, ev2 AS (SELECT query_id, node, string_agg('Leaf ' || segment_id || chr(10) || 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'text')} || chr(10) || chr(10)
+  || 'Slide OCR:' || chr(10) || '<blank>', chr(10) || chr(10) ORDER BY support_rank) AS e FROM su GROUP BY 1, 2),
+nt AS (SELECT h.query_id, h.rank, h.tree_path, CASE WHEN h.is_leaf THEN 'Segment:' || chr(10) || {_SPOKEN.replace('@', 'h.text')} || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>'
+  ELSE 'Summary Node:' || chr(10) || rtrim(h.summary_text) || chr(10) || chr(10) || 'Supporting Leaf Evidence:' || chr(10) || ev2.e END AS x
+  FROM tree_hits h LEFT JOIN ev2 ON ev2.query_id = h.query_id AND ev2.node = h.tree_path)"""
+_NODE_RR = ctes("tree_hits", body=_NODE_TEXT + "SELECT query_id, tree_path, md5(x) AS rerank_md5 FROM nt")
 
 
 @query("node_rerank_texts", _NODE_RR)
@@ -340,6 +334,23 @@ def _(t: Tables):
     return _with_evidence(t).select("query_id", "tree_path", F.md5(se.node_rerank_text()).alias("rerank_md5"))
 
 
+def _tree_search_sql(cut_first: bool) -> str:
+    return ctes("tree_hits", body=_NODE_TEXT + f""", sc AS (SELECT nt.*, {_JAC.replace('@x@', 'nt.x')} AS s FROM nt JOIN benchmark q ON q.item_id = nt.query_id),
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM sc) WHERE r <= {5 if cut_first else 10}),
+fo AS (SELECT query_id, 1::BIGINT AS r, [tree_path] AS kept FROM rr WHERE r = 1
+  UNION ALL SELECT h.query_id, h.r, CASE WHEN len(list_filter(f.kept, lambda k: starts_with(k, h.tree_path) OR starts_with(h.tree_path, k))) > 0
+    THEN f.kept ELSE list_append(f.kept, h.tree_path) END FROM fo f JOIN rr h ON h.query_id = f.query_id AND h.r = f.r + 1),
+fk AS (SELECT query_id, unnest(k) AS tree_path, unnest(range(1, len(k) + 1)) AS rank FROM (SELECT query_id, arg_max(kept, r) AS k FROM fo GROUP BY 1))
+SELECT fk.query_id, fk.rank, fk.tree_path, round(s, 6) AS rerank_score FROM fk JOIN sc USING (query_id, tree_path) WHERE fk.rank <= 5""")
+
+
+for _first in (False, True):
+    @query("tree_search_cut_first" if _first else "tree_search_dedup_first", _tree_search_sql(_first))
+    def _(t: Tables, first=_first):
+        hits = se.two_stage_search(t.tree_questions, t.tree_records, top_k=10, tree=True, cut_before_dedup=first)
+        return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "tree_path", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 _HEAD = """'[' || h.rank || '] score=' || printf('%.3f', h.score) || ' ' || h.lecture_key || ' ' || CASE WHEN h.is_leaf THEN 'leaf' ELSE 'summary-node' END
   || ' depth=' || h.depth || ' path=' || h.tree_path || CASE WHEN h.is_leaf THEN ' seg=' || h.segment_id ELSE '' END
   || ' time=' || h.start::VARCHAR || '-' || h."end"::VARCHAR || 's'"""
