@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType
 
 from rostrum.functions.text import word_tokens
 from rostrum.functions.times import interval_iou, relevance_grade, temporal_distance
+from rostrum.plans import ordered
 from rostrum.plans.ordered import Rows, grid_join, ordered_fold, ordered_scan, pick
 
 # Cut-offs and the tolerance in seconds.
@@ -190,7 +191,7 @@ def rouge_l(answers: DataFrame) -> DataFrame:
 # --- boundaries ---------------------------------------------------------------------
 
 
-def boundary_errors(flags: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
+def boundary_errors(flags: DataFrame, *, keys: list[str] | None = None, long: bool | None = None) -> DataFrame:
     """WindowDiff and Pk of ``hyp`` against ``ref`` flags per lecture.
 
     The window is half the mean reference segment, at least 1. Running sums at both ends
@@ -198,7 +199,7 @@ def boundary_errors(flags: DataFrame, *, keys: list[str] | None = None) -> DataF
     """
     keys = keys or KEY
     n = {"n": ("sum", F.lit(1).cast("long")), "n_ref": ("sum", F.col("ref").cast("long")), "n_hyp": ("sum", F.col("hyp").cast("long"))}
-    run = ordered_scan(flags, keys, "i", totals=n, running={
+    run = ordered_scan(flags, keys, "i", totals=n, long=long, running={
         "r": ("sum", F.col("ref").cast("long")), "h": ("sum", F.col("hyp").cast("long"))})
     half = F.bround(F.col("n") / (F.col("n_ref") + 1) / F.lit(2.0)).cast("long")
     k = F.greatest(F.lit(1).cast("long"), F.least(half, F.col("n") - 1))
@@ -229,9 +230,11 @@ def random_boundaries(sizes: DataFrame, *, trials: int = 100, seed: int = 42) ->
     ok = sizes.where((F.col("n_boundaries") > 0) & (F.col("n") >= 2))
     spots = ok.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn(
         "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)))
-    draw = F.xxhash64(F.lit(seed), *KEY, "trial", "i")
-    rank = F.row_number().over(Window.partitionBy(*KEY, "trial").orderBy(draw, "i"))
-    return spots.withColumn("_r", rank).where(F.col("_r") <= F.col("n_boundaries")).select(*KEY, "trial", "i")
+    spots = spots.withColumn("_draw", F.xxhash64(F.lit(seed), *KEY, "trial", "i"))
+    # Draws are spread evenly, so their leading bits cut a long lecture into even blocks.
+    long = ok.where(F.col("n") > ordered.LONG_KEY_ROWS).limit(1).count() > 0
+    ranked = ordered_scan(spots, [*KEY, "trial"], ["_draw", "i"], block=F.shiftright("_draw", 52), number="_r", long=long)
+    return ranked.where(F.col("_r") < F.col("n_boundaries")).select(*KEY, "trial", "i")
 
 
 def tolerance_match(flags: DataFrame, *, tolerance: int = 2) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostrum.plans.ordered import exact_percentile
+from rostrum.plans.ordered import exact_percentile, has_long_key
+from rostrum.session import materialize
 
 # Names and percentages of systems published elsewhere.
 PUBLISHED = {
@@ -78,10 +79,14 @@ def count_summary(rows: DataFrame) -> DataFrame:
     aggs += [finite_mean(F.col(c).cast("double")).alias(f"{c}_mean") for c in names]
     for b, cond in bands.items():
         aggs += [F.count_if(cond).alias(b), F.coalesce(F.try_divide(F.count_if(cond) * 100.0, n), F.lit(0.0)).alias(f"{b}_pct")]
+    valid = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    if not has_long_key(rows, []):
+        return rows.agg(*aggs, *[F.percentile(valid(c), F.lit(0.5)).alias(f"{c}_median") for c in names])
+    rows = materialize(rows)
     out = rows.agg(*aggs).withColumn("_one", F.lit(1))
     for c in names:
-        clean = rows.select(F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull() & ~F.isnan(c))
-        out = out.join(exact_percentile(clean, [], c, 0.5, f"{c}_median").withColumn("_one", F.lit(1)), "_one")
+        clean = rows.select(valid(c).alias(c)).where(F.col(c).isNotNull())
+        out = out.join(exact_percentile(clean, [], c, 0.5, f"{c}_median", long=True).withColumn("_one", F.lit(1)), "_one")
     return out.drop("_one")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import ordered_text
 from rostrum.plans.ordered import exact_percentile, has_long_key, ordered_scan
+from rostrum.session import materialize
 
 # Pause used when a recording has no gap, and the percentile of its gaps.
 DEFAULT_MAX_GAP_S = 0.8
@@ -101,8 +102,12 @@ def group_utterances(
 def gap_distribution(words: DataFrame) -> DataFrame:
     """Freedman-Diaconis histogram of all positive gaps plus the share at or under fixed pauses."""
     gaps = word_gaps(words).where(F.col("gap") > 0).select("gap")
-    q1 = exact_percentile(gaps, [], "gap", 0.25, "q1")
-    q3 = exact_percentile(gaps, [], "gap", 0.75, "q3")
+    long = has_long_key(words, [])
+    if long:
+        # Four passes follow; one table of doubles is cheaper than four scans of the words.
+        gaps = materialize(gaps)
+    q1 = exact_percentile(gaps, [], "gap", 0.25, "q1", long=long)
+    q3 = exact_percentile(gaps, [], "gap", 0.75, "q3", long=long)
     shares = [
         (F.avg((F.col("gap") <= t).cast("double")) * 100).alias(f"pct_le_{t}".replace(".", "_"))
         for t in GAP_REPORT_SECONDS

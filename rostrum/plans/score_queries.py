@@ -8,8 +8,9 @@ from rostrum.functions import times as tm
 from rostrum.operators import metrics as mt
 from rostrum.operators import report as rp
 from rostrum.operators import tree as tr
+from rostrum.operators.words import estimate_max_gap
 from rostrum.plans.fixtures import Tables
-from rostrum.plans.ordered import ordered_scan
+from rostrum.plans.ordered import has_long_key, interval_pairs, ordered_scan
 from rostrum.plans.registry import ctes, query
 
 
@@ -64,8 +65,6 @@ def _(t: Tables):
 @query("relevance_grades", ctes("rcand", body="SELECT example_id, idx, round_even(iou * 100, 0)::BIGINT AS grade FROM rcand WHERE iou > 0"))
 def _(t: Tables):
     q = t.range_questions.select("example_id", "lecture_key", F.explode("answer_ranges").alias("r"))
-    from rostrum.plans.ordered import interval_pairs
-
     u = t.paused.select("lecture_key", "idx", "start", "end")
     a = q.select("example_id", "lecture_key", F.col("r.start").alias("rs"), F.col("r.end").alias("re"))
     pairs = interval_pairs(u, a, ["lecture_key"], width=86400.0, left_span=("start", "end"), right_span=("rs", "re"))
@@ -172,7 +171,9 @@ def _(t: Tables):
     draws = mt.random_boundaries(t.sizes, trials=10).withColumn("hyp", F.lit(1))
     every = t.boundary_flags.select("lecture_key", "i", "ref").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(10))))
     flags = every.join(draws, ["lecture_key", "trial", "i"], "left").fillna(0, ["hyp"])
-    return _rounded(rp.trial_summary(mt.boundary_errors(flags, keys=["lecture_key", "trial"])), "wd_mean", "wd_std", "pk_mean", "pk_std")
+    # A trial has one row per utterance, and a lecture no more utterances than words.
+    errors = mt.boundary_errors(flags, keys=["lecture_key", "trial"], long=has_long_key(t.words, ["lecture_key"]))
+    return _rounded(rp.trial_summary(errors), "wd_mean", "wd_std", "pk_mean", "pk_std")
 
 
 @query("tolerance_match", ctes("bflags", body="""
@@ -265,8 +266,6 @@ c AS (SELECT lecture_key, n_slides, n_segments, n_segments - n_slides AS diff, a
 def _counts(t: Tables):
     s = t.slides.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n_slides"))
     g = tr.leaves(t.nodes).groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n_segments"))
-    from rostrum.operators.words import estimate_max_gap
-
     return rp.count_comparison(s.join(g, "lecture_key").join(estimate_max_gap(t.words), "lecture_key"))
 
 
