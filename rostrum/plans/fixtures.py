@@ -140,9 +140,9 @@ class Tables:
     @cached_property
     def entries(self) -> DataFrame:
         docs = self.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("composite"))
-        return self.blocks.drop("embedding").join(docs, "vec_id").select(
+        return self.blocks.drop("embedding").join(docs, "vec_id", "left").select(
             "lecture_key", F.col("i").alias("idx"), (F.col("i") * 10.0).alias("start"),
-            (F.col("i") * 10.0 + 10.0).alias("end"), "composite")
+            (F.col("i") * 10.0 + 10.0).alias("end"), F.coalesce("composite", F.lit("<blank>")).alias("composite"))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -319,8 +319,8 @@ SQL: dict[str, tuple[list[str], str]] = {
   round(coalesce(s, 0), 9) AS score, row_number() OVER (PARTITION BY q.item_id ORDER BY round(coalesce(s, 0), 9) DESC, d.doc_id) AS rank
   FROM benchmark q JOIN documents d ON d.source = 'src' || (q.item_id % 20) LEFT JOIN doc_dot x ON x.query_id = q.item_id AND x.rec_id = d.doc_id"""),
     # --- topic trees ---
-    "entries": (["blocks"], """SELECT lecture_key, i AS idx, i * 10.0::DOUBLE AS start, (i * 10 + 10)::DOUBLE AS "end", d.text AS composite
-  FROM blocks b JOIN documents d ON d.doc_id = b.vec_id"""),
+    "entries": (["blocks"], """SELECT lecture_key, i AS idx, i * 10.0::DOUBLE AS start, (i * 10 + 10)::DOUBLE AS "end", coalesce(d.text, '<blank>') AS composite
+  FROM blocks b LEFT JOIN documents d ON d.doc_id = b.vec_id"""),
     "pref": (["blocks"], """SELECT lecture_key, i, p, list_inner_product(p, p) AS n2 FROM (SELECT lecture_key, i, list(s ORDER BY dim) AS p FROM (
   SELECT lecture_key, i, dim, sum(v) OVER (PARTITION BY lecture_key, dim ORDER BY i) AS s FROM (
   SELECT lecture_key, i, unnest(embedding) AS v, unnest(range(64)) AS dim FROM blocks)) GROUP BY 1, 2)
