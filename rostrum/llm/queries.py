@@ -6,7 +6,7 @@ import importlib
 
 from rostrum.llm.common import ORACLES, QUERIES
 
-MODULES = ("url_rules", "near_dups", "toxicity", "passages", "warc", "packing", "main_text", "decontaminate", "pii", "repetition")
+MODULES = ("toxicity", "decontaminate", "pii", "repetition")
 
 for _name in MODULES:
     importlib.import_module(f"rostrum.llm.{_name}")
