@@ -6,7 +6,7 @@ import importlib
 
 from rostrum.llm.common import ORACLES, QUERIES
 
-MODULES = ("toxicity", "decontaminate", "pii", "repetition")
+MODULES = ("url_rules", "toxicity", "warc", "packing", "main_text", "decontaminate", "pii", "repetition")
 
 for _name in MODULES:
     importlib.import_module(f"rostrum.llm.{_name}")
