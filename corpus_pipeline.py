@@ -1,8 +1,65 @@
-"""A pipeline over documents; its stages follow."""
+"""From documents to packed token windows: drop toxic texts and near copies, drop benchmark text, mask personal data, pack.
 
-STAGES = []
+All stages but the last return the columns of their input. Nulls in any column are kept;
+an empty table passes through empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostrum.llm import near_dups, packing, pii
+from rostrum.llm import toxicity as lexicon
+from rostrum.llm.common import stored, table
+from rostrum.llm.decontaminate import decontaminate
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the lexicon of the labelled documents does not call toxic."""
+    weights, scale = lexicon.fit(docs, table(spark, sf_dir, "labels"))
+    marked = docs.select(F.struct("*").alias("row"), "text")
+    return lexicon.score_toxicity(marked, weights, scale, keep=["row"]).where("predicted = 0").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of every group over shingles of five words."""
+    copies = stored(near_dups.near_duplicates(docs, size=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of which less than one word in twenty lies in a benchmark window."""
+    marked = docs.select(F.struct("*").alias("row"), "text")
+    return decontaminate(marked, table(spark, sf_dir, "benchmark"), keep=["row"]).where("NOT contaminated").select("row.*")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the kind of data in place of every span; ``n_chars`` follows the new text."""
+    marked = docs.select(F.struct("*").alias("row"), "text")
+    found = pii.find_pii(marked, pii.fit(docs), keep=["row"], with_masked=True)
+    new = {"text": F.col("masked"), "n_chars": F.coalesce(F.length("masked").cast("long"), F.col("row.n_chars"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 1024 tokens, with the token ids of every piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack_windows),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
