@@ -10,12 +10,10 @@ again into one window more. No rows are shuffled, and a task holds one block.
 from __future__ import annotations
 
 import heapq
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,45 +23,37 @@ CAPACITY = 1024
 #: Longest piece, and windows per block. Short pieces let a block come out even; full windows are cut off first.
 MAX_PIECE = 256
 BLOCK_WINDOWS = 24
-CACHE = 400_000
 
-# White space of Unicode. No token of the byte-level BPE runs from other characters into white space, so texts may be
-# tokenised by white space and the word after it, and repeated ones looked up.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# The words of the byte-level BPE (fixed value of this kind of vocabulary).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_ranks(vocabulary: dict[str, int], added: list[str]) -> dict[bytes, int]:
+    """Tokens as bytes: such vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(shown[c] for c in t): i for t, i in vocabulary.items() if t not in added}
 
 
 class Tokens:
-    """Token ids of texts as 32-bit bytes of this machine (little-endian where Spark runs), each document ended by id 0."""
+    """Token ids of texts as little-endian 32-bit bytes, each document ended by id 0."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def documents(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of all texts, a few million characters at a time; segments not met before are encoded together."""
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and size < 2_000_000:
-                size += len(texts[last])
-                last += 1
-            cut = [SEGMENT.findall(t) for t in texts[first:last]]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({s for c in cut for s in c if s not in self.known})
-            for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[s] = array("I", e.ids).tobytes()
-            known = self.known.__getitem__
-            for c in cut:
-                yield b"".join(map(known, c)) + b"\0\0\0\0"
-            for s in new:
-                if len(s) > 64:
-                    del self.known[s]
-            first = last
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The same merges by rank, several times as fast; added tokens are left to the tokenizer.
+        self.by_rank = tiktoken.Encoding("bytes", pat_str=PATTERN, special_tokens={},
+                                         mergeable_ranks=byte_ranks(self.tokenizer.get_vocab(), self.added))
+
+    def document(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        else:
+            ids = self.by_rank.encode_to_numpy(text).astype("<u4", copy=False)
+        return ids.tobytes() + b"\0\0\0\0"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -153,7 +143,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for b in batches:
             ready: list[list[tuple]] = []
-            for doc, ids in zip(b.column(0).to_pylist(), tokens.documents(as_text(b.column(1)))):
+            for doc, ids in zip(b.column(0).to_pylist(), map(tokens.document, as_text(b.column(1)))):
                 for start, length in pieces_of(ids, capacity, max_piece):
                     piece = (doc, start, ids[4 * start:4 * (start + length)], len(ids) // 4)
                     if length == capacity:
