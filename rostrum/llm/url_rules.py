@@ -74,7 +74,8 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     support = max(min_support, min_count / n)
     if support > 1:
         return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence,
+                     numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     rules = (model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1))
              .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     rules = stored(rules)
