@@ -3,9 +3,9 @@
 A text's set of word shingles gives ``COLLECTIONS`` small collections of ``ROWS`` minima
 each. A table key combines a pair of collections, so 24 minima make 66 tables of four
 minima, where separate tables would take 264. Texts with equal sets are one class. In every bucket each member is checked against the
-smallest id there on the full sets; members that are then still outside the bucket's main
-component are checked against all others of another component, so no candidate is lost
-and a bucket whose members hang together costs a row per member, not per pair.
+smallest id there on the full sets. Members that are then still outside the bucket's main
+component are joined with the others on their rarest shingles, an exact filter, and checked
+too. So no candidate is lost, and a bucket costs rows per member, not per pair.
 """
 
 from __future__ import annotations
@@ -111,6 +111,39 @@ def may_reach(m: str, n: str, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
+def unresolved(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components from buckets that the check against their hub leaves in several.
+
+    A bucket's members outside its main component would have to be checked against all
+    others there. Instead they are joined on the rarest shingles of their sets: sets that reach the
+    similarity share one among the first of a common order, at places that leave room for
+    the overlap. So members that are near, but not near enough, meet nobody, and none that is is missed.
+    """
+    placed = (buckets.where(F.col("rep") != F.col("hub"))
+              .join(found.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
+              .select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+    mixed = (placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
+             .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1"))
+    members = stored(placed.join(mixed.select("key", "main"), "key").groupBy("rep", "n", "comp")
+                     .agg(F.max(F.col("comp") != F.col("main")).alias("stray")))
+    tokens = members.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "n", "comp", "stray", F.explode("shingles").alias("token"))
+    # A shingle of one member only takes up a place in the order, but joins nothing.
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    order = F.sort_array(F.collect_list(F.struct("often", "token")))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    listed = (tokens.join(often, "token").groupBy("rep", "n", "comp", "stray").agg(order.alias("order"))
+              .select("rep", "n", "comp", "stray", F.posexplode("order"), (F.col("n") - F.size("order")).alias("alone"))
+              .withColumn("place", F.col("alone") + F.col("pos")).where(F.col("place") < prefix)
+              .select("rep", "n", "comp", "stray", F.col("col.token").alias("token"), "place"))
+    listed = stored(listed)
+    x = listed.where("stray").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
+    y = listed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # of a pair's first common shingle
+    fits = room * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return (x.join(y, "token").where((F.col("ca") != F.col("cb")) & may_reach("na", "nb", percent) & fits)
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -137,17 +170,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = stored(alike(first, sets, percent))
     found = components(links)
 
-    label = lambda df: df.join(found.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").withColumn(
-        "comp", F.coalesce("comp", "rep"))
-    placed = label(buckets)
-    mixed = (placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
-             .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1"))
-    placed = stored(placed.join(mixed.select("key", "main"), "key"))
-    stray = placed.where("comp <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = placed.select("key", "hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = (stray.join(other, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))
-                                           & may_reach("na", "nb", percent))
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rest = unresolved(buckets, found, sets, percent)
     late = stored(alike(rest, sets, percent))
     if not late.isEmpty():
         found = components(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(late))
