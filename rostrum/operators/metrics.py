@@ -43,7 +43,7 @@ def score_hits(hits: DataFrame, examples: DataFrame) -> DataFrame:
 def temporal_metrics(hits: DataFrame, examples: DataFrame, *, by: list[str] | None = None, cuts=CUTS) -> DataFrame:
     """Per example recall, mean distance and best overlap among the first k hits.
 
-    Without a bounded hit the mean distance is NaN. Examples without hits are kept.
+    Without a bounded hit the mean distance is NaN. Without ``by``, examples without hits are kept.
     """
     keys = [*(by or []), "example_id"]
     scored = score_hits(hits, examples)
@@ -55,7 +55,11 @@ def temporal_metrics(hits: DataFrame, examples: DataFrame, *, by: list[str] | No
             F.coalesce(F.avg(F.when(top, F.col("distance"))), F.lit(float("nan"))).alias(f"mean_temporal_distance@{k}"),
             F.coalesce(F.max(F.when(top, F.col("iou"))), F.lit(0.0)).alias(f"max_iou@{k}"),
         ]
-    return scored.groupBy(*keys).agg(*aggs)
+    found = scored.groupBy(*keys).agg(*aggs)
+    if by:
+        return found
+    fill = {c: F.coalesce(c, F.lit(float("nan") if c.startswith("mean") else 0.0)) for c in found.columns[1:]}
+    return examples.select("example_id").distinct().join(found, "example_id", "left").withColumns(fill)
 
 
 def gain_discount(gain: Column, rank: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import ordered_text
+from rostrum.functions.text import ordered_text, strip
 from rostrum.plans.ordered import exact_percentile, has_long_key, ordered_scan
 from rostrum.session import materialize
 
@@ -23,7 +23,7 @@ def clean_timed_words(raw: DataFrame, *, clamp_end: bool = True) -> DataFrame:
     """
     start = F.coalesce(F.expr("try_cast(trim(cast(Start as string)) as double)"), F.lit(0.0))
     end = F.coalesce(F.expr("try_cast(trim(cast(End as string)) as double)"), F.col("start"))
-    words = raw.withColumn("word", F.trim("Word")).where(F.col("word") != "")
+    words = raw.withColumn("word", strip("Word")).where(F.col("word") != "")
     words = words.withColumn("_s", start).drop("Start").withColumnRenamed("_s", "start")
     words = words.withColumn("_e", end).drop("End").withColumnRenamed("_e", "end")
     if clamp_end:

@@ -46,7 +46,7 @@ Rows = dict[str, np.ndarray]
 
 _AGGS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {
-    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
     "max": lambda a, b: F.greatest(a, b),
     "min": lambda a, b: F.least(a, b),
 }
@@ -223,10 +223,11 @@ def exact_percentile(
         F.max(F.when(inside(lo), F.col(value))).alias("_lo"),
         F.max(F.when(inside(hi), F.col(value))).alias("_hi"),
         F.max(pos - lo).alias("_frac"),
+        F.max(lo + 1 - pos).alias("_up"),
     )
-    return picked.select(
-        *keys, (F.col("_lo") * (1 - F.col("_frac")) + F.col("_hi") * F.col("_frac")).alias(out)
-    )
+    # The order of operations of Spark's own percentile, so that both plans agree to the last bit.
+    between = F.col("_up") * F.col("_lo") + F.col("_frac") * F.col("_hi")
+    return picked.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))
 
 
 def grid_join(

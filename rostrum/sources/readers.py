@@ -143,14 +143,31 @@ def _attr(raw: str | Column, name: str) -> Column:
 
 
 def _unescape(x: Column) -> Column:
+    x = _references(x)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     return x
 
 
+def _references(x: Column) -> Column:
+    """Numeric character references to their characters; text that only looks like one stays."""
+
+    def piece(s: Column, i: Column) -> Column:
+        number = F.regexp_extract(s, "^([xX][0-9A-Fa-f]+|[0-9]+);", 1)
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 20), 16, 10)).otherwise(number).try_cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when(i == 0, s).when((number == "") | ~code.between(1, 0x10FFFF), F.concat(F.lit("&#"), s))
+                .otherwise(F.concat(char, F.regexp_replace(s, "^[^;]*;", ""))))
+
+    return F.array_join(F.transform(F.split(x, "&#"), piece), "")
+
+
 def _documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(root, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")))
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .load(root).select("content", F.col("_metadata.file_name").alias("file")))
+    named = F.upper(F.regexp_extract(F.decode(F.substring("content", 1, 200), "ISO-8859-1"), "encoding\\s*=\\s*[\"']([^\"']+)[\"']", 1))
+    raw = raw.select(F.when(named.isin("ISO-8859-1", "LATIN1"), F.decode("content", "ISO-8859-1"))
+                     .when(named == "UTF-16", F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8")).alias("value"), "file")
     body = F.regexp_replace("value", r"(?s)<\?.*?\?>|<!--.*?-->", "")
     name = F.split("file", r"\.")
     return raw.select(body.alias("value"), name[0].alias("meeting"), name[1].alias("speaker"))

@@ -108,3 +108,11 @@ def test_meeting_files(spark, tmp_path):
                                 "meeting string, speaker string, path string, href string")
     have = spark.createDataFrame([("M1", "A", k) for k in ("M1.A.999", "M1.A.1,001", "M1.A.5")], "meeting string, speaker string, utt_key string")
     assert [r.utt_key for r in me.utterances_of(seg, have).orderBy("ord").collect()] == ["M1.A.999", "M1.A.1,001"]
+
+
+def test_meeting_words_decode_references_and_encodings(spark, tmp_path):
+    from rostrum.sources.readers import read_meeting_words
+
+    body = '<?xml version="1.0" encoding="ISO-8859-1"?>\n<nite:root><w nite:id="A.1" starttime="0" endtime="1">It&#39;s caf\xe9 &#xe9; &amp;#39;</w></nite:root>'
+    (tmp_path / "M1.A.words.xml").write_bytes(body.encode("latin-1"))
+    assert [r.text for r in read_meeting_words(spark, str(tmp_path)).collect()] == ["It's caf\xe9 \xe9 &#39;"]
