@@ -79,6 +79,14 @@ def clock(x: str | Column, *, millis: bool = False) -> Column:
     return F.format_string("%02d:%02d:%02d", hh, mm, F.floor(rest))
 
 
+def plain_number(x: str | Column) -> Column:
+    """A double in plain notation from a millionth up to 10^15, as ``12345678.9`` or ``0.0005``."""
+    c = _col(x).cast("double")
+    digits = F.regexp_replace(c.try_cast("decimal(38,22)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    written = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7) | (c == 0)
+    return F.when(written | (F.abs(c) < 1e-6) | (F.abs(c) >= 1e15), c.cast("string")).otherwise(F.coalesce(digits, c.cast("string")))
+
+
 def strip_key(x: str | Column) -> Column:
     """The key inside ``id(...)``."""
     tail = F.element_at(F.split(_col(x), r"id\("), -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import BLANK, clean_text, or_blank, slide_part, spoken_part, strip
+from rostrum.functions.times import plain_number
 
 # Fixed value: default length of a context.
 MAX_CHARS = 8000
@@ -27,7 +28,7 @@ def hit_header(score: Column) -> Column:
         F.when(tree, _labelled("depth=", F.col("depth"))),
         F.when(tree & (F.col("tree_path") != ""), _labelled("path=", F.col("tree_path"))),
         F.coalesce(_labelled("slide=", F.col("slide_index")), _labelled("seg=", F.col("segment_id"))),
-        F.concat(F.lit("time="), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("s")))
+        F.concat(F.lit("time="), plain_number("start"), F.lit("-"), plain_number("end"), F.lit("s")))
 
 
 def leaf_block(score: Column, *, include_ocr: bool = True) -> Column:

@@ -63,19 +63,23 @@ def best_system(scores: DataFrame, metric: str, group: list[str]) -> DataFrame:
 
 
 def count_comparison(rows: DataFrame) -> DataFrame:
-    """Segments against slides per lecture: difference and ratio."""
+    """Segments against slides per lecture: difference and ratio, or the ``reason`` to skip a lecture that lacks one."""
     diff = F.col("n_segments") - F.col("n_slides")
-    return rows.withColumns({"diff": diff, "abs_diff": F.abs(diff),
-                             "ratio": F.coalesce(F.try_divide(F.col("n_segments"), F.col("n_slides")), F.lit(float("nan")))})
+    reason = (F.when(F.col("max_gap_s").isNull(), "no_words").when(F.col("n_slides").isNull(), "no_slides")
+              .when(F.col("n_segments").isNull(), "no_segments"))
+    ratio = F.coalesce(F.try_divide(F.col("n_segments"), F.col("n_slides")), F.lit(float("nan")))
+    return rows.withColumns({"reason": reason, "diff": diff, "abs_diff": F.abs(diff), "ratio": F.when(reason.isNull(), ratio)})
 
 
 def count_summary(rows: DataFrame) -> DataFrame:
-    """Mean and median of each count, and the share of lectures per ratio band."""
+    """Mean and median of each count, and the share of lectures per ratio band, over those with no ``reason`` to skip."""
     names = ["n_slides", "n_segments", "diff", "abs_diff", "ratio", "max_gap_s"]
+    used = F.col("reason").isNull()
+    rows = rows.select("reason", *[F.when(used, F.col(c)).alias(c) for c in names])
     r = F.col("ratio")
     bands = {"ratio_lt_0_8": r < 0.8, "ratio_0_8_to_1_2": (r >= 0.8) & (r <= 1.2), "ratio_gt_1_2": (r > 1.2) & ~F.isnan(r)}
-    n = F.count_if(~F.isnan(r))
-    aggs = [F.count(F.lit(1)).alias("evaluated")]
+    n = F.count_if(r.isNotNull() & ~F.isnan(r))
+    aggs = [F.count_if(used).alias("evaluated"), F.count_if(~used).alias("skipped")]
     aggs += [finite_mean(F.col(c).cast("double")).alias(f"{c}_mean") for c in names]
     for b, cond in bands.items():
         aggs += [F.count_if(cond).alias(b), F.coalesce(F.try_divide(F.count_if(cond) * 100.0, n), F.lit(0.0)).alias(f"{b}_pct")]

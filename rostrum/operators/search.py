@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import jaccard, rerank_text, rerank_text_node, word_tokens
+from rostrum.functions.times import plain_number
 from rostrum.functions.vectors import dot, neg_squared_l2
 from rostrum.plans.ordered import deal, grid_join
 
@@ -183,4 +184,4 @@ def document_id(lecture_key: str | Column = "lecture_key") -> Column:
     path = F.when(F.col("tree_path") != "", F.col("tree_path"))
     return F.coalesce(
         part("tree", path), part("seg", F.col("segment_id")), part("slide", F.col("slide_index")),
-        F.concat(part("span", F.col("start")), F.lit("::"), F.col("end").cast("string")))
+        F.concat(part("span", plain_number("start")), F.lit("::"), plain_number("end")))

@@ -247,13 +247,13 @@ def _(t: Tables):
 
 @query("document_ids", ctes("ev", body="""SELECT ord, CASE WHEN event_type = 'view' THEN lecture_key || '::tree::*' || left(props, 1)
   WHEN event_type = 'click' THEN lecture_key || '::seg::' || ord WHEN event_type = 'error' THEN lecture_key || '::slide::' || (ord * 2)
-  ELSE lecture_key || '::span::' || value::VARCHAR || '::' || (value + 1)::VARCHAR END AS doc_id FROM ev WHERE value >= 0.01 AND value < 1000000"""))
+  ELSE lecture_key || '::span::' || value::VARCHAR || '::' || (value + 1)::VARCHAR END AS doc_id FROM ev"""))
 def _(t: Tables):
     k = F.col("event_type")
     h = t.events.select(
         "ord", "lecture_key", F.when(k == "view", F.concat(F.lit("*"), F.substring("props", 1, 1))).alias("tree_path"),
         F.when(k == "click", F.col("ord")).alias("segment_id"), F.when(k == "error", F.col("ord") * 2).alias("slide_index"),
-        F.col("value").alias("start"), (F.col("value") + 1).alias("end")).where("start >= 0.01 and start < 1000000")
+        F.col("value").alias("start"), (F.col("value") + 1).alias("end"))
     return h.select("ord", se.document_id().alias("doc_id"))
 
 

@@ -262,22 +262,26 @@ def _(t: Tables):
 
 
 _COUNTS = """, ns AS (SELECT lecture_key, count(*) AS n_slides FROM slides GROUP BY 1), ng AS (SELECT lecture_key, count(*) AS n_segments FROM leaves GROUP BY 1),
-c AS (SELECT lecture_key, n_slides, n_segments, n_segments - n_slides AS diff, abs(n_segments - n_slides) AS abs_diff, n_segments / n_slides::DOUBLE AS ratio,
-  a.max_gap_s FROM ns JOIN ng USING (lecture_key) JOIN auto_gap a USING (lecture_key))"""
+every AS (SELECT lecture_key, n_slides, n_segments, max_gap_s,
+  CASE WHEN max_gap_s IS NULL THEN 'no_words' WHEN n_slides IS NULL THEN 'no_slides' WHEN n_segments IS NULL THEN 'no_segments' END AS reason
+  FROM ns FULL JOIN ng USING (lecture_key) FULL JOIN auto_gap USING (lecture_key)),
+call AS (SELECT *, n_segments - n_slides AS diff, abs(n_segments - n_slides) AS abs_diff,
+  CASE WHEN reason IS NULL THEN n_segments / n_slides::DOUBLE END AS ratio FROM every),
+c AS (SELECT * FROM call WHERE reason IS NULL)"""
 
 
 def _counts(t: Tables):
     s = t.slides.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n_slides"))
     g = tr.leaves(t.nodes).groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n_segments"))
-    return rp.count_comparison(s.join(g, "lecture_key").join(estimate_max_gap(t.words), "lecture_key"))
+    return rp.count_comparison(s.join(g, "lecture_key", "full").join(estimate_max_gap(t.words), "lecture_key", "full"))
 
 
-@query("segment_slide_counts", ctes("slides", "leaves", "auto_gap", body=_COUNTS + "SELECT lecture_key, n_slides, n_segments, diff, abs_diff, round(ratio, 6) AS ratio, round(max_gap_s, 6) AS max_gap_s FROM c"))
+@query("segment_slide_counts", ctes("slides", "leaves", "auto_gap", body=_COUNTS + "SELECT lecture_key, n_slides, n_segments, reason, diff, abs_diff, round(ratio, 6) AS ratio, round(max_gap_s, 6) AS max_gap_s FROM call"))
 def _(t: Tables):
     return _rounded(_counts(t), "ratio", "max_gap_s")
 
 
-@query("count_summary", ctes("slides", "leaves", "auto_gap", body=_COUNTS + "SELECT count(*) AS evaluated, " + ", ".join(
+@query("count_summary", ctes("slides", "leaves", "auto_gap", body=_COUNTS + "SELECT count(*) AS evaluated, (SELECT count(*) FROM call WHERE reason IS NOT NULL) AS skipped, " + ", ".join(
     f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median" for c in ("n_slides", "n_segments", "diff", "abs_diff", "ratio", "max_gap_s")) + """,
   count_if(ratio < 0.8)::BIGINT AS ratio_lt_0_8, round(count_if(ratio < 0.8) * 100.0 / count(*), 6)::DOUBLE AS ratio_lt_0_8_pct,
   count_if(ratio BETWEEN 0.8 AND 1.2)::BIGINT AS ratio_0_8_to_1_2, round(count_if(ratio BETWEEN 0.8 AND 1.2) * 100.0 / count(*), 6)::DOUBLE AS ratio_0_8_to_1_2_pct,

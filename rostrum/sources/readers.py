@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostrum.functions.text import strip
 from rostrum.functions.times import parse_id_list
-from rostrum.operators.quality import repair_range_rows, timestamp_examples
+from rostrum.operators.quality import csv_cells, repair_range_rows, timestamp_examples
 from rostrum.plans.ordered import ordered_scan
 
 # File names of a lecture directory.
@@ -58,9 +59,9 @@ def read_slide_lines(spark: SparkSession, root: str) -> DataFrame:
     """Non-blank lines of the end-time files with their number; ``end`` is null where a line is no number."""
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", SEGMENTS_FILE).text(root)
            .select("value", "_metadata"))
-    rows = raw.withColumn("lecture_key", _lecture(F.col("_metadata.file_path"))["lecture_key"]).where(F.trim("value") != "")
+    rows = raw.withColumn("lecture_key", _lecture(F.col("_metadata.file_path"))["lecture_key"]).where(strip("value") != "")
     placed = _positions(rows, ["lecture_key"], "line").drop("_metadata")
-    return placed.select("lecture_key", "line", F.trim("value").try_cast("double").alias("end"))
+    return placed.select("lecture_key", "line", strip("value").try_cast("double").alias("end"))
 
 
 def read_slide_ends(spark: SparkSession, root: str) -> DataFrame:
@@ -83,15 +84,16 @@ def read_ocr_tokens(spark: SparkSession, root: str) -> DataFrame:
         *[whole(c) for c in ("block_num", "par_num", "line_num", "word_num")], F.col("conf").try_cast("double").alias("conf"), "text")
 
 
-def read_range_questions(spark: SparkSession, path: str, *, overflow: int = 8) -> DataFrame:
-    """Time-range questions with rows mended that an unquoted comma split."""
+def read_range_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Time-range questions with rows mended that an unquoted comma split, by however many cells."""
     named = ["question", "lecture_key", "answer_timestamps", "answer_text", "question_type"]
-    extras = [f"_x{i}" for i in range(overflow)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*named, *extras]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*named, "_record"]])
     raw = (spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE")
-           .option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path))
-    rows = _positions(raw.select(*named, *extras, "_metadata"), [], "n").drop("_metadata").withColumn("row_index", F.col("n") + 1)
-    return repair_range_rows(rows.drop("n"), extras)
+           .option("columnNameOfCorruptRecord", "_record").option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path))
+    # Spark hands over the whole record where its cells do not fit the schema.
+    more = F.slice(csv_cells("_record"), len(named) + 1, F.greatest(F.size(csv_cells("_record")), F.lit(0)))
+    rows = _positions(raw.select(*named, more.alias("_more"), "_metadata"), [], "n").drop("_metadata").withColumn("row_index", F.col("n") + 1)
+    return repair_range_rows(rows.drop("n"), "_more")
 
 
 def read_timestamp_questions(spark: SparkSession, path: str, split: str, *, limit: int | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def read_timestamp_questions(spark: SparkSession, path: str, split: str, *, limi
 def read_id_questions(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("quote", '"').option("escape", '"')
            .schema("question string, lecture_key string, asr_segment_ids string, ocr_slide_indices string").csv(path))
-    return raw.select("question", F.trim("lecture_key").alias("lecture_key"), parse_id_list("asr_segment_ids").alias("asr_segment_ids"),
+    return raw.select("question", strip("lecture_key").alias("lecture_key"), parse_id_list("asr_segment_ids").alias("asr_segment_ids"),
                       parse_id_list("ocr_slide_indices").alias("ocr_slide_indices"))
 
 

@@ -37,11 +37,14 @@ def test_lecture_directory(spark, tmp_path):
 def test_question_files(spark, tmp_path):
     p = tmp_path / "range.csv"
     p.write_text("question,lecture_key,answer_timestamps,answer_text,question_type\n"
-                 "q1,a/b/c,1-2 | 3-4,\"x, y\",summary\nq2,a/b/c,1-2,first, second,function\nq3,a/b/c,1-2,t,,process\n")
+                 "q1,a/b/c,1-2 | 3-4,\"x, y\",summary\nq2,a/b/c,1-2,first, second,function\nq3,a/b/c,1-2,t,,process\n"
+                 "q4,a/b/c,1-2,\"a \"\"b\"\", c\",d,,,,,,,,,,,,,summary\nq5,a/b/c,1-2,\"two\nlines, one\",cell,function\n")
     got = {r.question: r for r in rd.read_range_questions(spark, str(p)).collect()}
     assert (got["q1"].answer_text, got["q1"].question_type) == ("x, y", "summary")
     assert (got["q2"].answer_text, got["q2"].question_type) == ("first,second", "function")
     assert got["q3"].question_type == "process" and got["q3"].row_index == 3
+    assert (got["q4"].answer_text, got["q4"].question_type) == ('a "b", c,d', "summary")
+    assert (got["q5"].answer_text, got["q5"].question_type) == ("two\nlines, one,cell", "function")
     p = tmp_path / "ts.csv"
     p.write_text("url,id,question,answer,timestamp\nu,v,q,a,1:02\nu,,q,a,1:00:01\nu,v,q,a,zz\n")
     rows = rd.read_timestamp_questions(spark, str(p), "test").orderBy("row_index").collect()

@@ -235,3 +235,13 @@ def test_incremental_results(spark, tmp_path):
     want = rec("v1", "abcd")
     assert {r.lecture_key for r in inc.stale_lectures(want, stored).collect()} == {"b", "d"}
     assert inc.stale_lectures(want, stored, rebuild=True).count() == 4
+
+
+def test_plain_number_text(spark):
+    from rostrum.functions.times import plain_number
+
+    values = [0.0, 0.0005, 1.25, -2.5e-5, 9999999.0, 10000000.0, 12345678.9, 123456789012.5]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", plain_number("x").alias("s")).collect()
+    told = {r.x: r.s for r in rows}
+    assert told == {0.0: "0.0", 0.0005: "0.0005", 1.25: "1.25", -2.5e-5: "-0.000025", 9999999.0: "9999999.0",
+                    10000000.0: "10000000.0", 12345678.9: "12345678.9", 123456789012.5: "123456789012.5"}
