@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import lines_of, text_tokens
+from rostrum.functions.text import lines_of, ordered_text, text_tokens
 from rostrum.functions.vectors import as_double
 from rostrum.operators import metrics as mt
 from rostrum.operators import search as se
@@ -135,11 +135,14 @@ class Tables:
             F.col("label").cast("string").alias("lecture_key"), F.col("vec_id").alias("rec_id"),
             as_double("embedding").alias("embedding"))
 
-    # --- lectures made of embedding labels, each block with a document as its text ---
+    # --- lectures made of embedding labels, each block with its share of the documents as its text ---
 
     @cached_property
     def entries(self) -> DataFrame:
-        docs = self.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("composite"))
+        # Documents are dealt to the blocks in turn, so every one has a place; a block holds documents / blocks of them.
+        blocks = F.lit(max(self.table("embeddings").count(), 1))
+        docs = (self.documents.select("doc_id", "text", F.pmod("doc_id", blocks).alias("vec_id"))
+                .groupBy("vec_id").agg(ordered_text("text", "\n", "doc_id").alias("composite")))
         return self.blocks.drop("embedding").join(docs, "vec_id", "left").select(
             "lecture_key", F.col("i").alias("idx"), (F.col("i") * 10.0).alias("start"),
             (F.col("i") * 10.0 + 10.0).alias("end"), F.coalesce("composite", F.lit("<blank>")).alias("composite"))
@@ -320,7 +323,8 @@ SQL: dict[str, tuple[list[str], str]] = {
   FROM benchmark q JOIN documents d ON d.source = 'src' || (q.item_id % 20) LEFT JOIN doc_dot x ON x.query_id = q.item_id AND x.rec_id = d.doc_id"""),
     # --- topic trees ---
     "entries": (["blocks"], """SELECT lecture_key, i AS idx, i * 10.0::DOUBLE AS start, (i * 10 + 10)::DOUBLE AS "end", coalesce(d.text, '<blank>') AS composite
-  FROM blocks b LEFT JOIN documents d ON d.doc_id = b.vec_id"""),
+  FROM blocks b LEFT JOIN (SELECT doc_id % (SELECT count(*) FROM embeddings) AS vec_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1) d
+  USING (vec_id)"""),
     "pref": (["blocks"], """SELECT lecture_key, i, p, list_inner_product(p, p) AS n2 FROM (SELECT lecture_key, i, list(s ORDER BY dim) AS p FROM (
   SELECT lecture_key, i, dim, sum(v) OVER (PARTITION BY lecture_key, dim ORDER BY i) AS s FROM (
   SELECT lecture_key, i, unnest(embedding) AS v, unnest(range(64)) AS dim FROM blocks)) GROUP BY 1, 2)
