@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rostrum.functions.text import BLANK, clean_text, ordered_text, strip, word_tokens
+from rostrum.functions.text import BLANK, ordered_text, strip, word_tokens
 from rostrum.functions.vectors import add, dot, subtract, unit
 from rostrum.plans import ordered
 from rostrum.plans.ordered import (
@@ -18,10 +18,10 @@ from rostrum.plans.ordered import (
 )
 from rostrum.session import materialize
 
-# Defaults of the split, and the length of the stand-in summary.
+# Defaults of the split, and the number of terms in the stand-in summary.
 MIN_SEGMENT_SIZE = 5
 CONTEXT_WIDTH = 4
-SUMMARY_CHARS = 220
+SUMMARY_TERMS = 24
 
 # A node of up to this many blocks is finished inside one task; larger ones are split by
 # Spark jobs, level by level. At 768 dimensions this is some 100 MB of vectors.
@@ -263,9 +263,28 @@ def node_rows(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     return nodes.join(agg, [*KEY, "path"])
 
 
-def default_summary(text: Column) -> Column:
-    """Deterministic stand-in for a summarising model: whitespace-clean, first characters."""
-    return F.substring(clean_text(text), 1, SUMMARY_CHARS)
+def key_terms(nodes: DataFrame, entries: DataFrame, *, terms: int = SUMMARY_TERMS) -> DataFrame:
+    """Deterministic stand-in for a summarising model: the terms that mark an inner node within its lecture.
+
+    Every word under the node counts. Terms are counted per leaf, added up along the path, and weighted by
+    how few leaves of the lecture hold them; only counts move to the ancestors, no text.
+    """
+    cut = nodes.where("is_leaf").select(*KEY, F.col("path").alias("leaf"), "lo", "hi")
+    total = cut.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_leaves"))
+    at = cut.join(total, KEY).select(*KEY, "leaf", "n_leaves", F.explode(F.sequence("lo", "hi")).alias("idx"))
+    said = at.join(entries.select(*KEY, "idx", "composite"), [*KEY, "idx"])
+    toks = said.select(*KEY, "leaf", "n_leaves", F.explode(word_tokens("composite")).alias("term")).where(F.length("term") >= 3)
+    tf = toks.groupBy(*KEY, "leaf", "n_leaves", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = F.log((F.max("n_leaves") + 1) / (F.count(F.lit(1)) + 1)) + 1
+    weight = tf.groupBy(*KEY, "term").agg(idf.alias("idf"))
+    above = F.explode(F.slice(ancestors(F.col("leaf")), F.lit(1), F.length("leaf") - 1))
+    summed = tf.select(*KEY, "term", "tf", above.alias("path")).groupBy(*KEY, "path", "term").agg(F.sum("tf").alias("tf"))
+    scored = summed.join(weight, [*KEY, "term"]).withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    rank = F.row_number().over(Window.partitionBy(*KEY, "path").orderBy(F.desc("score"), "term"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= terms).groupBy(*KEY, "path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), " ").alias("content"))
+    inner = nodes.where(~F.col("is_leaf")).select(*KEY, "path")
+    return inner.join(best, [*KEY, "path"], "left").withColumn("content", F.coalesce("content", F.lit(BLANK)))
 
 
 def descendant_leaves(nodes: DataFrame) -> DataFrame:
@@ -275,12 +294,16 @@ def descendant_leaves(nodes: DataFrame) -> DataFrame:
 
 
 def tree_rollup(
-    nodes: DataFrame, entries: DataFrame, *, combine: Callable[[Column], Column] = default_summary
+    nodes: DataFrame, entries: DataFrame, *, combine: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """Bottom-up contents: a leaf's is its text, an inner node's ``combine`` of both children's.
+    """Contents of all nodes: a leaf's is its text, an inner node's ``combine`` of both children's.
 
-    One small job per level, deepest first; only the contents of one level are joined.
+    Without ``combine`` inner nodes get their ``key_terms``, all levels at once. With it, one small job
+    runs per level, deepest first; only the contents of one level are joined.
     """
+    if combine is None:
+        shape = materialize(nodes)
+        return _with_summaries(shape, entries, key_terms(shape, entries))
     covered = materialize(node_rows(nodes.where("is_leaf"), entries).select(
         *KEY, "path", "depth", F.col("text").alias("content")))
     shape = materialize(nodes)
@@ -298,6 +321,10 @@ def tree_rollup(
         made = materialize(both.select(*KEY, F.col("parent").alias("path"), combine(prompt).alias("content")))
         summaries = made if summaries is None else summaries.unionByName(made)
         level = made.unionByName(covered.where(F.col("depth") == depth).select(*KEY, "path", "content"))
+    return _with_summaries(shape, entries, summaries)
+
+
+def _with_summaries(shape: DataFrame, entries: DataFrame, summaries: DataFrame | None) -> DataFrame:
     raw = node_rows(shape, entries).withColumnRenamed("text", "raw_text")
     out = raw.join(descendant_leaves(shape), [*KEY, "path"])
     if summaries is None:

@@ -10,9 +10,10 @@ from rostrum.functions import vectors as vx
 from rostrum.operators import meetings as me
 from rostrum.operators import quality as qa
 from rostrum.operators import report as rp
-from rostrum.plans.fixtures import TOKENS_RE, WORDS_RE, Tables
+from rostrum.plans.fixtures import TOKENS_RE, WORDS_RE, Tables, r3
 from rostrum.plans.ordered import ordered_scan
 from rostrum.plans.registry import ctes, query
+from rostrum.plans.speech_queries import KEPT_ENDS, NOISY, noisy_ends
 from rostrum.sources import writers as wr
 from rostrum.streaming import incremental as inc
 
@@ -356,10 +357,9 @@ def _(t: Tables):
 # --- sink formats -------------------------------------------------------------------
 
 
-@query("slide_end_lines", ctes("slides", body="""SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY slide_index) - 1 AS slide_index, format('{:.2f}', round("end", 2)) AS value FROM slides WHERE "end" > 0"""))
+@query("slide_end_lines", ctes("ev", body=NOISY + KEPT_ENDS + f""" SELECT lecture_key, slide_index, format('{{:.4f}}', {r3('"end"', 4)}) AS value FROM kept"""))
 def _(t: Tables):
-    ends = t.slides.select("lecture_key", "slide_index", F.round("end", 2).alias("end"))
-    return wr.slide_end_lines(ends).withColumn("value", F.regexp_replace("value", "00$", ""))
+    return wr.slide_end_lines(noisy_ends(t))
 
 
 @query("normalized_ocr_table", """SELECT count(*) AS n, count_if(text = '')::BIGINT AS n_empty, round(avg(conf), 6) AS mean_conf, count_if(conf IS NULL)::BIGINT AS n_null, '' AS level

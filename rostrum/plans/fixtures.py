@@ -342,14 +342,17 @@ SQL: dict[str, tuple[list[str], str]] = {
     "node_text": (["nodes", "entries"], f"""SELECT n.lecture_key, n.path, count(*) AS n_utterances, arg_min(e.start, e.idx) AS start,
   arg_max(e."end", e.idx) AS "end", coalesce(nullif(regexp_replace(string_agg(e.composite, chr(10) ORDER BY e.idx), '^{WS}+|{WS}+$', '', 'g'), ''), '<blank>') AS text
   FROM nodes n JOIN entries e ON e.lecture_key = n.lecture_key AND e.idx BETWEEN n.lo AND n.hi GROUP BY 1, 2"""),
-    "roll": (["nodes", "node_text"], f"""SELECT n.lecture_key, n.path, (SELECT max(depth) FROM nodes) AS k, t.text AS content, false AS made
-  FROM nodes n JOIN node_text t USING (lecture_key, path) WHERE n.is_leaf
-  UNION ALL SELECT lecture_key, np, k - 1, CASE WHEN bool_or(up) THEN substr(trim(regexp_replace('Section A:' || chr(10)
-    || max(CASE WHEN path = np || 'L' THEN content END) || chr(10) || chr(10) || 'Section B:' || chr(10)
-    || max(CASE WHEN path = np || 'R' THEN content END), '{WS}+', ' ', 'g')), 1, 220) ELSE max(content) END, bool_or(up)
-  FROM (SELECT *, length(path) - 1 = k AS up, CASE WHEN length(path) - 1 = k THEN left(path, -1) ELSE path END AS np FROM roll WHERE k > 0)
-  GROUP BY lecture_key, np, k"""),
-    "summaries": (["roll"], "SELECT lecture_key, path, content AS summary_text FROM roll WHERE made"),
+    "leaf_tf": (["leaves", "entries"], f"""SELECT lecture_key, path, term, count(*) AS tf FROM (SELECT l.lecture_key, l.path,
+  unnest(regexp_extract_all(lower(e.composite), '{WORDS_RE}')) AS term FROM leaves l JOIN entries e ON e.lecture_key = l.lecture_key
+  AND e.idx BETWEEN l.lo AND l.hi) WHERE length(term) >= 3 GROUP BY ALL"""),
+    "leaf_df": (["leaf_tf"], """SELECT lecture_key, term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM leaf_tf
+  JOIN (SELECT lecture_key, count(*) AS n FROM leaves GROUP BY 1) USING (lecture_key) GROUP BY lecture_key, term, n"""),
+    "summaries": (["nodes", "leaf_df"], """SELECT n.lecture_key, n.path, coalesce(s.content, '<blank>') AS summary_text FROM nodes n LEFT JOIN (
+  SELECT lecture_key, path, string_agg(term, ' ' ORDER BY rk) AS content FROM (
+    SELECT *, row_number() OVER (PARTITION BY lecture_key, path ORDER BY round(tf * idf, 6) DESC, term) AS rk FROM (
+      SELECT n.lecture_key, n.path, t.term, sum(t.tf) AS tf FROM nodes n JOIN leaf_tf t ON t.lecture_key = n.lecture_key
+        AND NOT n.is_leaf AND starts_with(t.path, n.path) GROUP BY ALL) JOIN leaf_df USING (lecture_key, term))
+  WHERE rk <= 24 GROUP BY 1, 2) s USING (lecture_key, path) WHERE NOT n.is_leaf"""),
     "below": (["nodes"], """SELECT n.lecture_key, n.path, string_agg(l.path, ',' ORDER BY l.path) AS leaf_paths FROM nodes n
   JOIN nodes l ON l.lecture_key = n.lecture_key AND l.is_leaf AND starts_with(l.path, n.path) GROUP BY 1, 2"""),
     "tree_rec": (["nodes", "node_text", "summaries", "leaves", "below"], """SELECT n.lecture_key, n.path AS tree_path, l.segment_id, n.is_leaf, n.depth,

@@ -171,27 +171,33 @@ def _(t: Tables):
 
 
 # Noisy end times: every view counts, its end pulled back by its value times 600 seconds.
-_NOISY = """, noisy AS (SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY ord) - 1 AS slide_index,
+NOISY = """, noisy AS (SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY ord) - 1 AS slide_index,
   start - value * 600 AS "end" FROM ev WHERE event_type = 'view')"""
 
 
-def _noisy(t: Tables):
+def noisy_ends(t: Tables):
     v = t.events.where(F.col("event_type") == "view")
     return ordered_scan(v, KEY, "ord", number="slide_index").select(
         "lecture_key", "slide_index", (F.col("start") - F.col("value") * 600).alias("end"))
 
 
-@query("normalize_ends", ctes("ev", body=_NOISY + """,
-k AS (SELECT lecture_key, slide_index, "end", max("end") OVER (PARTITION BY lecture_key ORDER BY slide_index
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM noisy)
-SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY slide_index) - 1 AS slide_index, round("end", 6) AS "end"
-FROM k WHERE "end" > 0 AND "end" > coalesce(m, -1.0) + 1e-6"""))
+# Every step compares with the last kept end, not with the highest so far.
+KEPT_ENDS = """, f AS (SELECT lecture_key, slide_index, "end" > 0 AS ok, CASE WHEN "end" > 0 THEN "end" ELSE -1.0 END AS last FROM noisy WHERE slide_index = 0
+  UNION ALL SELECT n.lecture_key, n.slide_index, n."end" > 0 AND n."end" > f.last + 1e-6,
+  CASE WHEN n."end" > 0 AND n."end" > f.last + 1e-6 THEN n."end" ELSE f.last END
+  FROM f JOIN noisy n ON n.lecture_key = f.lecture_key AND n.slide_index = f.slide_index + 1),
+kept AS (SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY slide_index) - 1 AS slide_index, last AS "end" FROM f WHERE ok)"""
+
+
+@query("normalize_ends", ctes("ev", body=NOISY + KEPT_ENDS + """ SELECT lecture_key, slide_index, round("end", 6) AS "end" FROM kept"""))
 def _(t: Tables):
-    return sl.normalize_ends(_noisy(t)).withColumn("end", F.round("end", 6))
+    return sl.normalize_ends(noisy_ends(t)).withColumn("end", F.round("end", 6))
 
 
-# A 64-bit hash per slide out of its text: sixteen bits of a digest, so near copies occur.
-_HASHED = """, h AS (SELECT lecture_key, slide_index, "end", ('0x' || substr(md5(ocr_text), 1, 3))::bigint AS hash FROM slides)"""
+# A 64-bit hash per slide out of its text: one digit of a digest thirteen times over, so that near copies
+# occur and the sign bit is used, and three more digits that put near copies on both sides of the limit.
+_HASHED = """, h AS (SELECT lecture_key, slide_index, "end", ('0x' || repeat(substr(md5(ocr_text), 1, 1), 13) || substr(md5(ocr_text), 2, 3))::ubigint AS hash
+  FROM slides)"""
 
 
 @query("dedupe_slides", ctes("slides", body="").rstrip() + _HASHED + """,
@@ -202,7 +208,8 @@ f AS (SELECT lecture_key, slide_index, hash AS last, slide_index AS first FROM h
 SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY first) - 1 AS slide_index, first AS first_source,
   count(*) AS n_merged, round(max("end"), 6) AS "end" FROM f JOIN h USING (lecture_key, slide_index) GROUP BY lecture_key, first""")
 def _(t: Tables):
-    h = F.conv(F.substring(F.md5("ocr_text"), 1, 3), 16, 10).cast("long")
+    digest = F.md5("ocr_text")
+    h = F.conv(F.concat(F.repeat(F.substring(digest, 1, 1), 13), F.substring(digest, 2, 3)), 16, -10).cast("long")
     got = sl.dedupe_slides(t.slides.withColumn("hash", h))
     return got.withColumn("end", F.round("end", 6))
 
