@@ -96,6 +96,37 @@ def test_passages_find_planted_ones(spark):
     assert all((r.start_word, r.end_word) == (30, 90) for r in got)
 
 
+def test_passages_on_both_sides_of_a_bad_gap_are_kept(spark):
+    rnd = random.Random(9)
+    words = lambda n: [f"w{rnd.randrange(100000)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, (size, gap, other_gap) in enumerate([(60, 40, 40), (60, 60, 45), (100, 100, 100), (200, 200, 230), (200, 0, 30)]):
+        one, two = words(size), words(size)
+        rows += [(2 * k + i, " ".join([*words(20), *one, *words(g), *two, *words(20)])) for i, g in enumerate((other_gap, gap))]
+        if size < 200 or gap:
+            want |= {(2 * k + 1, 20, 20 + size), (2 * k + 1, 20 + size + gap, 20 + 2 * size + gap)}
+        else:
+            want.add((2 * k + 1, 20, 420))
+    got = ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == want
+    assert all(r.identity == 1 or r.doc_id == 9 for r in got)
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_gaps_are_aligned_whole(monkeypatch, bits):
+    monkeypatch.setattr(ps, "STORED_BITS", bits)
+    rnd = random.Random(4)
+    for n, m in [(1, 1), (5, 9), (30, 30), (41, 7), (210, 200)]:
+        x, y = (np.array([rnd.randrange(6) for _ in range(k)], dtype="<u2") for k in (n, m))
+        most = np.zeros((n + 1, m + 1), dtype=int)
+        for i in range(n):
+            for j in range(m):
+                most[i + 1, j + 1] = most[i, j] + 1 if x[i] == y[j] else max(most[i, j + 1], most[i + 1, j])
+        got = ps.subsequence(x, y)
+        assert len(got) == most[n, m] and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+
+
 def test_chains_keep_order():
     p, q = np.array([0, 10, 20, 30, 40]), np.array([100, 110, 5, 130, 140])
     assert [c.tolist() for c in ps.chains(p, q)][0] == [0, 1, 3, 4]
