@@ -112,6 +112,25 @@ def test_passages_on_both_sides_of_a_bad_gap_are_kept(spark):
     assert all(r.identity == 1 or r.doc_id == 9 for r in got)
 
 
+def test_equal_runs_with_scattered_or_repeated_seeds_are_found(spark):
+    rnd = random.Random(10)
+    words = lambda n: [f"w{rnd.randrange(100000)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, (count, size) in enumerate([(4, 15), (3, 20), (2, 30), (5, 10)] * 3):
+        lines = [words(size) for _ in range(count)]
+        rows += [(100 * k + i, " ".join([*words(20), *line, *words(20)])) for i, line in enumerate(lines)]
+        rows += [(100 * k + i, " ".join([*words(20), *sum(lines, []), *words(20)])) for i in (50, 60)]
+        want.add((100 * k + 60, 100 * k + 50, 20, 20 + count * size))
+    passage = words(50)
+    rows += [(5000, " ".join([*words(9), *passage, *words(9)])),
+             (5001, " ".join([*words(9), *passage[10:40], *words(30), *passage, *words(30), *passage, *words(9)]))]
+    want |= {(5001, 5000, 69, 119), (5001, 5000, 149, 199)}
+    rows += [(6000, "a " * 50), (6001, "b " + "a " * 70), (6002, None), (6003, "a " * 49)]
+    got = ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in got}
+    assert {(r.doc_id, r.other_id) for r in got if r.doc_id >= 6000} == {(6001, 6000)}
+
+
 @pytest.mark.parametrize("bits", [1 << 24, 64])
 def test_gaps_are_aligned_whole(monkeypatch, bits):
     monkeypatch.setattr(ps, "STORED_BITS", bits)
