@@ -274,6 +274,19 @@ def test_pii_base_equals_patterns(spark):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_pii_proposals_do_not_depend_on_the_rest_of_the_text():
+    for text in ("Write to jane [at] example.com today", "jane at example.com", "Ping fe:ab:cd:ef:aa:bc now", "mail bob(at)site(dot)org"):
+        alone, beside = pii.candidates(text)[1], pii.candidates(text + " and 7 dot [at")[1]
+        assert len(alone) == 1 and alone[0][:3] == beside[0][:3]
+    prose = ["We stayed at home. It rained", "They look at and. Then they go"] * 20
+    addresses = [f"Write to jane{i} [at] example.com today" for i in range(20)] + [f"mail bob{i} at site.dev now" for i in range(5)]
+    strict = [f"mail me: a{i}@b.org now" for i in range(20)]
+    found = {t: pii.candidates(t)[1] for t in prose + addresses + strict}
+    model = pii.classify(collections.Counter(p for t in prose + addresses + strict for *_, p in found[t]))
+    said = lambda t: any(pii.accepted(p, model, 0.5) for *_, p in found[t])
+    assert all(map(said, addresses + strict)) and not any(map(said, prose))
+
+
 def test_repetition_equals_brute_force(spark):
     docs = texts(spark)
     for r in QUERIES["op10_repetition"](spark, FOLDER).collect():
