@@ -7,7 +7,7 @@ import importlib
 from rostrum.llm.common import ORACLES, QUERIES
 
 MODULES = ("url_rules", "near_dups", "toxicity", "passages", "warc", "packing", "main_text", "decontaminate", "pii", "repetition",
-           "collocations", "filter_audit")
+           "collocations", "rule_ensemble", "filter_audit")
 
 for _name in MODULES:
     importlib.import_module(f"rostrum.llm.{_name}")
