@@ -9,10 +9,13 @@ as two independent parts, in decimals that hold the products exactly.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,10 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to lower case, marks that end a piece to a line end, tabs to spaces.
 LOWERED = bytes((b + 32) if 65 <= b <= 90 else 10 if b in ENDS else 32 if b == 9 else b for b in range(256))
 #: A task counts so many words, or different words, before it puts its windows out.
-CHUNK_WORDS, CHUNK_VOCABULARY = 4_000_000, 2_000_000
+CHUNK_WORDS, CHUNK_VOCABULARY = 2_500_000, 1_000_000
 BATCH_ROWS = 100_000
+#: A word is frequent from one of so many shares per shuffle partition on.
+SHARES = 8
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 
 
@@ -70,51 +75,179 @@ def counted_windows(ids: np.ndarray, width: int) -> tuple[list[np.ndarray], np.n
     return [found, *reversed(cols)], n
 
 
-def window_counts(docs: DataFrame, width: int) -> DataFrame:
-    """``lang, w0 .. , n``: counts of padded windows, added up within each task in chunks."""
-    names = [f"w{i}" for i in range(width)]
+class Chunks:
+    """Numbered words of the texts read so far, by language."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        vocabulary, held, size = Vocabulary(), {}, 0
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.batches = batches
 
-        def emptied():
-            words = pa.array([w if i > 1 else b"" for i, w in enumerate(vocabulary)], pa.binary()).cast(pa.string())
-            for lang, parts in held.items():
-                cols, n = counted_windows(np.concatenate(parts), width)
-                for at in range(0, len(n), BATCH_ROWS):
-                    cut = slice(at, at + BATCH_ROWS)
-                    rows = len(n[cut])
-                    yield [pa.array([lang], pa.string()).take(pa.array(np.zeros(rows, dtype=np.int64))),
-                           *[words.take(pa.array(c[cut])) for c in cols], pa.array(n[cut], pa.int64())]
-
-        for b in batches:
+    def __iter__(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """``lang, words by number, numbers`` of one chunk after the other; a text lies in one chunk."""
+        vocabulary, held, size = Vocabulary(), {}, 0
+        for b in self.batches:
             for lang, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 ids = numbered(text, vocabulary)
                 held.setdefault(lang, []).append(ids)
                 size += len(ids)
                 if size > CHUNK_WORDS or len(vocabulary) > CHUNK_VOCABULARY:
-                    yield from emptied()
+                    yield from self.taken(vocabulary, held)
                     vocabulary, held, size = Vocabulary(), {}, 0
-        yield from emptied()
+        yield from self.taken(vocabulary, held)
+
+    @staticmethod
+    def taken(vocabulary: Vocabulary, held: dict[str, list[np.ndarray]]):
+        words = list(vocabulary)
+        words[0] = b""
+        while held:
+            lang, parts = held.popitem()
+            yield lang, words, np.concatenate(parts)
+
+
+def frequent_words(docs: DataFrame, shares: int) -> dict[str, set[bytes]]:
+    """Per language the words that make up one of ``shares`` equal shares of all words, and at most as many again.
+
+    A chunk names words with half such a share of it, so a word with a whole share of everything is
+    named with at least half of its occurrences; at most ``2 * shares`` words can reach that.
+    """
+
+    def run(batches):
+        for lang, words, ids in Chunks(batches):
+            n = np.bincount(ids, minlength=len(words))
+            n[0] = 0
+            some = np.flatnonzero(n * 2 * shares >= max(n.sum(), 1))
+            yield [lang] * (len(some) + 1), [words[i] for i in some] + [None], [*n[some].tolist(), int(n.sum())]
+
+    named = map_batches(docs, run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    named = stored(named)
+    total = named.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    out: dict[str, set[bytes]] = {}
+    for r in named.where(F.col("word").isNotNull() & (F.col("n") * 2 * shares >= total)).collect():
+        out.setdefault(r.lang, set()).add(bytes(r.word))
+    return out
+
+
+def placed(cols: list[np.ndarray], words: list[bytes], often: set[bytes], partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Salt of every window, and whether all windows with its words but the last get the same.
+
+    A window whose first word is not frequent has salt 0. Any other is salted by its words up to the
+    first that is not frequent: windows that agree so far are less than one share.
+    """
+    salt = np.zeros(len(cols[0]), dtype=np.int64)
+    if not often:
+        return salt, np.ones(len(salt), dtype=bool)
+    hot = np.array([w in often for w in words])
+    crc = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
+    within = first = hot[cols[0]]
+    parted = ~within
+    for k, col in enumerate(cols[1:], 2):
+        salt = np.where(within, (salt * 31 + crc[col]) % (1 << 31), salt)
+        within = within & hot[col]
+        if k < len(cols):
+            parted |= ~within
+    return np.where(first, 1 + salt % partitions, 0), parted
+
+
+def window_counts(docs: DataFrame, width: int, min_count: int) -> DataFrame:
+    """``lang, words, longest, n``: phrases of ``width`` words that occur ``min_count`` times, and all windows summed by
+    their words but the last.
+
+    Padded windows are counted in chunks; those of a chunk that begin with one word travel as one row.
+    A frequent first word is spread by what follows it. Where all windows with the same words but the last
+    meet (``whole``) and are too few for a phrase, only their first word is told apart in the sums.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = frequent_words(docs, SHARES * partitions)
+
+    def run(batches):
+        for lang, words, ids in Chunks(batches):
+            cols, n = counted_windows(ids, width)
+            salt, whole = placed(cols, words, frequent.get(lang, set()), partitions)
+            group = (cols[0] * (partitions + 1) + salt) * 2 + whole
+            if frequent:
+                order = np.argsort(group, kind="stable")
+                cols, n, salt, whole, group = [c[order] for c in cols], n[order], salt[order], whole[order], group[order]
+            starts = np.flatnonzero(np.diff(group, prepend=-1))
+            text = pa.array(words, pa.binary()).cast(pa.string())
+            ends = np.append(starts[1:], len(group))
+            a = 0
+            while a < len(starts):  # some BATCH_ROWS windows at a time
+                z = max(a + 1, int(np.searchsorted(ends, starts[a] + BATCH_ROWS)))
+                cut = slice(starts[a], ends[z - 1])
+                rest = pc.binary_join_element_wise(*[text.take(pa.array(c[cut])) for c in cols[1:]],
+                                                   pa.array(n[cut]).cast(pa.string()), " ")
+                offsets = pa.array(np.append(starts[a:z], ends[z - 1]) - starts[a], pa.int32())
+                blocks = pc.binary_join(pa.ListArray.from_arrays(offsets, rest), "\n")
+                first = starts[a:z]
+                yield [pa.array([lang] * len(first), pa.string()), text.take(pa.array(cols[0][first])),
+                       pa.array(salt[first], pa.int32()), pa.array(whole[first]), blocks]
+                a = z
+
+    blocks = map_batches(docs, run, "lang string, w0 string, salt int, whole boolean, block string")
+    keys = ["lang", "w0", "salt", "whole"]
+    blocks = blocks.repartition(partitions, "lang", "w0", "salt").sortWithinPartitions(*keys)
+
+    def merged(batches):
+        out = Columns(4)
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
+        for (lang, w0, _, whole), same in itertools.groupby(rows, key=lambda r: r[:4]):
+            counts: dict[str, int] = {}
+            for r in same:
+                for line in r[4].split("\n"):
+                    rest, _, n = line.rpartition(" ")
+                    counts[rest] = counts.get(rest, 0) + int(n)
+            heads: dict[str, int] = {}
+            for rest, n in counts.items():
+                head, _, last = rest.rpartition(" ")
+                heads[head] = heads.get(head, 0) + n
+                if n >= min_count and last:
+                    out.add(lang, f"{w0} {rest}", True, n)
+            short = 0  # windows whose head is too rare for a phrase
+            for head, n in heads.items():
+                if whole and n < min_count:
+                    short += n
+                else:
+                    out.add(lang, f"{w0} {head}" if width > 2 else w0, False, n)
+            if short:
+                out.add(lang, w0 + " " * (width - 2), False, short)
+            if out.full():
+                yield out.take()
+        yield out.take()
+
+    return map_batches(blocks, merged, "lang string, words string, longest boolean, n long")
+
+
+class Columns:
+    """Rows on their way to the next batch."""
+
+    def __init__(self, width: int):
+        self.cols = [[] for _ in range(width)]
+
+    def add(self, *row) -> None:
+        for c, v in zip(self.cols, row):
+            c.append(v)
+
+    def full(self) -> bool:
+        return len(self.cols[0]) >= BATCH_ROWS
 
-    rows = map_batches(docs, run, ", ".join(["lang string", *[f"{c} string" for c in names], "n long"]))
-    return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    def take(self) -> list[list]:
+        out, self.cols = self.cols, [[] for _ in self.cols]
+        return out
 
 
 def phrase_counts(docs: DataFrame, width: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """``lang, size, phrase, f`` of phrases up to ``width`` words that occur ``min_count`` times; size 0 counts all words."""
-    names = [f"w{i}" for i in range(width)]
-    top = window_counts(docs, width)
-    # The longest level is counted already; ROLLUP adds up every shorter one.
-    shorter = top.rollup("lang", *names[:-1]).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
-    size = F.lit(width - 1) - F.bit_count("g")
-    shorter = shorter.where("lang IS NOT NULL").withColumn("size", size.cast("int"))
-    longest = top.where(F.col(names[-1]) != "").select("lang", F.lit(width).alias("size"), F.concat_ws(" ", *names).alias("phrase"), "n")
-    # A padded window has no phrase of its full length, so its last word must not be empty.
-    last = F.array(*[F.coalesce(c, F.lit("")) for c in names[:-1]])
-    shorter = shorter.where((F.col("size") == 0) | (F.element_at(last, F.greatest("size", F.lit(1))) != "")).select(
-        "lang", "size", F.concat_ws(" ", *names[:-1]).alias("phrase"), "n")
-    return longest.unionByName(shorter).where((F.col("n") >= min_count) | (F.col("size") == 0)).withColumnRenamed("n", "f")
+    counted = stored(window_counts(docs, width, min_count))
+    longest = counted.where("longest").select("lang", F.lit(width).alias("size"), F.col("words").alias("phrase"), "n")
+    names = [f"w{i}" for i in range(width - 1)]
+    heads = counted.where("NOT longest").select("lang", "n", *[
+        F.split_part("words", F.lit(" "), F.lit(i + 1)).alias(c) for i, c in enumerate(names)])
+    sums = heads.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("g")).where("lang IS NOT NULL")
+    size = (F.lit(width - 1) - F.bit_count("g")).cast("int")
+    words = F.array(*[F.coalesce(c, F.lit("")) for c in names])
+    # A padded or shortened prefix ends with an empty word: it is no phrase of its size.
+    sums = sums.withColumn("size", size).where((F.col("size") == 0) | (F.element_at(words, F.greatest("size", F.lit(1))) != ""))
+    sums = sums.select("lang", "size", F.concat_ws(" ", *names).alias("phrase"), "n")
+    return longest.unionByName(sums).where((F.col("n") >= min_count) | (F.col("size") == 0)).withColumnRenamed("n", "f")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: int = MAX_WORDS,
