@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import ordered_text
 from rostrum.functions.times import clock, strip_key
 from rostrum.operators.metrics import min_gap_boundaries
-from rostrum.plans.ordered import Rows, ordered_fold, ordered_scan, pick
+from rostrum.plans.ordered import Rows, Step, ordered_fold, ordered_scan, pick
 
 # Word classes kept as text, and classes glued to their neighbours.
 PLAIN_CLASSES = ("W", "TRUNCW", "ABBR", "LET", "CD")
@@ -19,6 +24,42 @@ SENTENCE_END = r"[.!?]$"
 KEYS = ["meeting", "speaker"]
 
 
+def quote_step(rows: Rows) -> str:
+    """Open quotes after a block as a function of those before it.
+
+    From ``low`` on every quote mark counts up or down by one, so the block adds ``total``. With fewer,
+    all is closed at the first mark that takes the count to 0, and the rest runs from there.
+    """
+    sums = np.concatenate([[0], np.where(rows["cls"] == "LQUOTE", 1, -1).cumsum()])
+    n = len(sums) - 1
+    falls = np.full(n + 1, n + 1)  # where the sum next falls below what it is here
+    waiting: list[int] = []
+    for t in range(n, -1, -1):
+        while waiting and sums[waiting[-1]] >= sums[t]:
+            waiting.pop()
+        falls[t] = waiting[-1] if waiting else n + 1
+        waiting.append(t)
+    after = np.zeros(n + 1, dtype=np.int64)  # left open at the end, when all is closed before mark t
+    for t in range(n - 1, -1, -1):
+        if rows["cls"][t] == "RQUOTE":
+            after[t] = after[t + 1]
+        else:  # opens; a plain quote does so as well, as nothing is open
+            u = falls[t + 1]
+            after[t] = after[u] if u <= n else 1 + sums[n] - sums[t + 1]
+    low = int(-sums.min())
+    first = np.flatnonzero(sums < np.minimum.accumulate(np.append(1, sums[:-1])))  # where 0, -1, .. is first reached
+    table = zlib.compress(after[first][:low].astype("<i4").tobytes())
+    return json.dumps([low, int(sums[n]), base64.b64encode(table).decode()])
+
+
+def after_quotes(step: str, state: str | None) -> str:
+    low, total, table = json.loads(step)
+    depth = int(state or 0)
+    if depth >= low:
+        return str(depth + total)
+    return str(int.from_bytes(zlib.decompress(base64.b64decode(table))[4 * depth:4 * depth + 4], "little"))
+
+
 def classify_words(words: DataFrame) -> DataFrame:
     """Spacing of each word by its class; words that are no text are dropped, keeping ``pos``.
 
@@ -40,7 +81,7 @@ def classify_words(words: DataFrame) -> DataFrame:
         return {**pick(rows, [*KEYS, "pos"]), "closing": closing}, str(depth)
 
     marks = kept.where(quote).select(*KEYS, "pos", "cls")
-    sides = ordered_fold(marks, KEYS, "pos", fold, ", ".join([*kinds, "closing boolean"]))
+    sides = ordered_fold(marks, KEYS, "pos", fold, ", ".join([*kinds, "closing boolean"]), step=Step(quote_step, after_quotes))
     run = kept.join(sides, [*KEYS, "pos"], "left")
     closing = F.coalesce("closing", F.lit(False))
     opening = quote & ~closing

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType
 from rostrum.functions.text import word_tokens
 from rostrum.functions.times import interval_iou, relevance_grade, temporal_distance
 from rostrum.plans import ordered
-from rostrum.plans.ordered import Rows, grid_join, ordered_fold, ordered_scan, pick
+from rostrum.plans.ordered import Rows, Step, grid_join, ordered_fold, ordered_scan, pick
 
 # Cut-offs and the tolerance in seconds.
 CUTS = (1, 3, 5)
@@ -296,7 +296,15 @@ def min_gap_boundaries(positions: DataFrame, *, min_size: int = 5, keys: list[st
             last = i if ok else last
         return pick(rows, [*keys, "i"], keep), str(last)
 
-    return ordered_fold(positions.select(*keys, "i"), keys, "i", fold, schema)
+    def make(rows: Rows) -> str:
+        first = int(rows["i"][0])
+        return json.dumps([first, [int(fold(rows, str(first - d))[1]) for d in range(1, min_size + 1)]])
+
+    def apply(step: str, state: str | None) -> str:
+        first, exits = json.loads(step)  # by the distance to the last kept one, which no longer counts from min_size on
+        return str(exits[-1 if state is None else min(first - int(state), min_size) - 1])
+
+    return ordered_fold(positions.select(*keys, "i"), keys, "i", fold, schema, step=Step(make, apply))
 
 
 def flags_from_positions(sizes: DataFrame, positions: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import jaccard, rerank_text, rerank_text_node, word_tokens
 from rostrum.functions.times import plain_number
 from rostrum.functions.vectors import dot, neg_squared_l2
-from rostrum.plans.ordered import deal, grid_join
+from rostrum.operators.knn import nearest
+from rostrum.plans.ordered import deal
 
 # Sizes of the two retrieval stages and of the evidence list.
 FIRST_STAGE = 50
@@ -37,22 +38,9 @@ def knn_search(
 
     Queries ``query_id, lecture_key, embedding``; records ``lecture_key, rec_id,
     embedding``. The score is the inner product, or the negative squared distance if
-    vectors are not normalised; higher is better, ties go to the lower ``rec_id``. Only
-    ids and scores are ranked; a crowded lecture, and the single group of a global
-    search, are spread over a grid of cells.
+    vectors are not normalised; higher is better, ties go to the lower ``rec_id``.
     """
-    q = queries.select("query_id", "lecture_key", F.col("embedding").alias("_q"))
-    r = records.select("lecture_key", "rec_id", F.col("embedding").alias("_r"))
-    if scope == "lecture":
-        pairs = grid_join(q, r, ["lecture_key"], ["query_id"], ["rec_id"])
-    else:
-        everywhere = F.lit(0)
-        pairs = grid_join(q.drop("lecture_key").withColumn("_all", everywhere), r.withColumn("_all", everywhere),
-                          ["_all"], ["query_id"], ["rec_id"]).drop("_all")
-    score = dot("_q", "_r") if normalized else neg_squared_l2("_q", "_r")
-    # Nine places, so that equal vectors tie whatever the order of the summation.
-    scored = pairs.select("query_id", "lecture_key", "rec_id", F.round(score, 9).alias("score"))
-    return top_ranked(scored, ["query_id"], "score", ["rec_id"], top_k)
+    return nearest(queries, records, top_k, scope == "lecture", normalized)
 
 
 def with_payload(hits: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import clean_text, ordered_text, strip
 from rostrum.plans.ordered import (
-    Rows, attach_per_key, interval_pairs, ordered_fold, ordered_scan, pick, row_block, value_block,
+    Rows, Step, attach_per_key, interval_pairs, ordered_fold, ordered_scan, pick, row_block, value_block,
 )
 
 # Fixed values of the boundary clean-up.
@@ -155,9 +156,25 @@ def normalize_ends(ends: DataFrame, *, eps: float = MIN_STEP_S) -> DataFrame:
             last = value if ok else last
         return pick(rows, ["lecture_key", "pos", "end"], keep), repr(float(last))
 
+    def make(rows: Rows) -> str:
+        """Which end is kept last, by the range that the last one before falls into: ``[bound, end]`` by rising bound."""
+        highest: list[float] = []  # only an end past all before it in the block can be the first one kept
+        for value in rows["end"]:
+            if value > 0 and (not highest or value > highest[-1]):
+                highest.append(float(value))
+        final = list(highest)
+        for j in range(len(highest) - 1, -1, -1):
+            k = bisect.bisect_right(highest, highest[j] + eps)
+            final[j] = final[k] if k < len(highest) else highest[j]
+        return json.dumps([[v, e] for v, e, later in zip(highest, final, [*final[1:], None]) if e != later])
+
+    def apply(step: str, state: str | None) -> str:
+        last = -1.0 if state is None else float(state)
+        return repr(next((end for bound, end in json.loads(step) if bound > last + eps), last))
+
     numbered = ordered_scan(ends.select(*KEY, "slide_index", "end"), KEY, "slide_index", number="pos")
     kept = ordered_fold(numbered.select(*KEY, "pos", "end"), KEY, "pos", fold,
-                        "lecture_key string, pos long, end double")
+                        "lecture_key string, pos long, end double", step=Step(make, apply))
     return ordered_scan(kept, KEY, "pos", number="slide_index").select(*KEY, "slide_index", "end")
 
 

@@ -27,6 +27,9 @@ SUMMARY_TERMS = 24
 # Spark jobs, level by level. At 768 dimensions this is some 100 MB of vectors.
 LOCAL_NODE_ROWS = 1 << 14
 
+# Counts of terms in leaves that one task adds up along the tree of a lecture (some 100 MB).
+LOCAL_TERM_ROWS = 1 << 21
+
 KEY = ["lecture_key"]
 NODE_SCHEMA = ("lecture_key string, path string, depth int, lo long, hi long, is_leaf boolean, "
                "split_at long, delta double")
@@ -263,12 +266,8 @@ def node_rows(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     return nodes.join(agg, [*KEY, "path"])
 
 
-def key_terms(nodes: DataFrame, entries: DataFrame, *, terms: int = SUMMARY_TERMS) -> DataFrame:
-    """Deterministic stand-in for a summarising model: the terms that mark an inner node within its lecture.
-
-    Every word under the node counts. Terms are counted per leaf, added up along the path, and weighted by
-    how few leaves of the lecture hold them; only counts move to the ancestors, no text.
-    """
+def leaf_terms(nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """How often each term stands in each leaf, and what it weighs by how few leaves of the lecture hold it."""
     cut = nodes.where("is_leaf").select(*KEY, F.col("path").alias("leaf"), "lo", "hi")
     total = cut.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_leaves"))
     at = cut.join(total, KEY).select(*KEY, "leaf", "n_leaves", F.explode(F.sequence("lo", "hi")).alias("idx"))
@@ -276,15 +275,75 @@ def key_terms(nodes: DataFrame, entries: DataFrame, *, terms: int = SUMMARY_TERM
     toks = said.select(*KEY, "leaf", "n_leaves", F.explode(word_tokens("composite")).alias("term")).where(F.length("term") >= 3)
     tf = toks.groupBy(*KEY, "leaf", "n_leaves", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.max("n_leaves") + 1) / (F.count(F.lit(1)) + 1)) + 1
-    weight = tf.groupBy(*KEY, "term").agg(idf.alias("idf"))
+    return tf.drop("n_leaves").join(tf.groupBy(*KEY, "term").agg(idf.alias("idf")), [*KEY, "term"])
+
+
+def _best_terms(terms: int) -> Callable[[Rows], Rows]:
+    """Term counts of all inner nodes of one lecture from those of its leaves, left to right.
+
+    A node is an interval of leaves. Leaves are added from the left; what can take no more is
+    merged with its sibling, so a count is added up once a level and never kept for an ancestor.
+    """
+
+    def best(rows: Rows) -> Rows:
+        words, code = np.unique(rows["term"].astype(str), return_inverse=True)
+        idf = np.zeros(len(words))
+        idf[code] = rows["idf"]
+        tf, leaf = rows["tf"].astype(np.int64), rows["leaf"]
+        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        out: dict[str, list] = {"lecture_key": [], "path": [], "content": []}
+        open_: list[tuple[str, np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(starts, [*starts[1:], len(leaf)]):
+            order = np.argsort(code[lo:hi])
+            open_.append((leaf[lo], code[lo:hi][order], tf[lo:hi][order]))
+            following = leaf[hi] if hi < len(leaf) else ""
+            while len(above := open_[-1][0][:-1]) and not following.startswith(above):
+                _, c, n = open_.pop()
+                if open_ and open_[-1][0][:-1] == above:
+                    _, c0, n0 = open_.pop()
+                    c, inverse = np.unique(np.concatenate([c0, c]), return_inverse=True)
+                    n = np.bincount(inverse, weights=np.concatenate([n0, n])).astype(np.int64)
+                open_.append((above, c, n))
+                score = np.round(n * idf[c], 6)
+                if len(c) > terms:
+                    top = np.flatnonzero(score >= np.partition(score, -terms)[-terms])
+                else:
+                    top = np.arange(len(c))
+                top = top[np.lexsort((c[top], -score[top]))][:terms]
+                out["lecture_key"].append(rows["lecture_key"][0])
+                out["path"].append(above)
+                out["content"].append(" ".join(words[c[top]]))
+        return out
+
+    return best
+
+
+def key_terms(nodes: DataFrame, entries: DataFrame, *, terms: int = SUMMARY_TERMS, local_rows: int | None = None) -> DataFrame:
+    """Deterministic stand-in for a summarising model: the terms that mark an inner node within its lecture.
+
+    Every word under the node counts. Terms are counted per leaf and weighted by how few leaves of the
+    lecture hold them. The counts of one lecture are added up along its tree inside one task; a lecture
+    with more than ``local_rows`` of them (default ``LOCAL_TERM_ROWS``) has them added up by Spark, a row
+    per term and ancestor. Both add whole numbers, so they agree. No text moves to the ancestors.
+    """
+    inner = nodes.where(~F.col("is_leaf")).select(*KEY, "path")
+    counts = materialize(leaf_terms(nodes, entries))
+    long = counts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (local_rows or LOCAL_TERM_ROWS)).select(*KEY)
+    large = long.limit(1).count() > 0
+    small = counts.join(long, KEY, "left_anti") if large else counts
+    best = map_sorted_groups(small, KEY, ["leaf"], _best_terms(terms), "lecture_key string, path string, content string")
+    if large:
+        best = best.unionByName(_summed_terms(counts.join(long, KEY, "left_semi"), terms))
+    return inner.join(best, [*KEY, "path"], "left").withColumn("content", F.coalesce("content", F.lit(BLANK)))
+
+
+def _summed_terms(counts: DataFrame, terms: int) -> DataFrame:
     above = F.explode(F.slice(ancestors(F.col("leaf")), F.lit(1), F.length("leaf") - 1))
-    summed = tf.select(*KEY, "term", "tf", above.alias("path")).groupBy(*KEY, "path", "term").agg(F.sum("tf").alias("tf"))
-    scored = summed.join(weight, [*KEY, "term"]).withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    summed = counts.select(*KEY, "term", "tf", "idf", above.alias("path")).groupBy(*KEY, "path", "term", "idf").agg(F.sum("tf").alias("tf"))
+    scored = summed.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     rank = F.row_number().over(Window.partitionBy(*KEY, "path").orderBy(F.desc("score"), "term"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= terms).groupBy(*KEY, "path").agg(
+    return scored.withColumn("rank", rank).where(F.col("rank") <= terms).groupBy(*KEY, "path").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), " ").alias("content"))
-    inner = nodes.where(~F.col("is_leaf")).select(*KEY, "path")
-    return inner.join(best, [*KEY, "path"], "left").withColumn("content", F.coalesce("content", F.lit(BLANK)))
 
 
 def descendant_leaves(nodes: DataFrame) -> DataFrame:
@@ -325,8 +384,18 @@ def tree_rollup(
 
 
 def _with_summaries(shape: DataFrame, entries: DataFrame, summaries: DataFrame | None) -> DataFrame:
-    raw = node_rows(shape, entries).withColumnRenamed("text", "raw_text")
-    out = raw.join(descendant_leaves(shape), [*KEY, "path"])
+    """Leaves with their text; inner nodes with their range, times and summary, and no text of their own.
+
+    ``node_rows`` gives the text of any node on demand. Counts and times of an inner node come from the
+    first and the last entry of its range, so no text and no row per entry moves to an ancestor.
+    """
+    leaf = node_rows(shape.where("is_leaf"), entries).withColumnRenamed("text", "raw_text")
+    inner = shape.where(~F.col("is_leaf"))
+    times = entries.select(*KEY, "idx", "start", "end")
+    inner = (inner.join(times.select(*KEY, F.col("idx").alias("lo"), "start"), [*KEY, "lo"])
+             .join(times.select(*KEY, F.col("idx").alias("hi"), "end"), [*KEY, "hi"])
+             .withColumns({"n_utterances": F.col("hi") - F.col("lo") + 1, "raw_text": F.lit(None).cast("string")}))
+    out = leaf.unionByName(inner.select(*leaf.columns)).join(descendant_leaves(shape), [*KEY, "path"])
     if summaries is None:
         return out.withColumn("summary_text", F.lit(None).cast("string"))
     return out.join(summaries.withColumnRenamed("content", "summary_text"), [*KEY, "path"], "left")

@@ -12,6 +12,7 @@ a key is smaller than the key by the size of a block. Both plans give the same r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -336,9 +337,20 @@ def map_sorted_groups(
     return placed.mapInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Step:
+    """What a block does to the state of a fold: ``make`` writes it as a string, ``apply`` gives the state after it.
+
+    The string must say so for every state, and be far shorter than the block.
+    """
+
+    make: Callable[[Rows], str]
+    apply: Callable[[str, str | None], str | None]
+
+
 def ordered_fold(
     df: DataFrame, keys: Sequence[str], order: str, fold: Callable[[Rows, str | None], tuple[Rows, str | None]],
-    schema: str, *, block_rows: int | None = None, long: bool | None = None,
+    schema: str, *, block_rows: int | None = None, long: bool | None = None, step: Step | None = None,
 ) -> DataFrame:
     """Sequential fold over the ordered rows of each key, block by block.
 
@@ -346,11 +358,14 @@ def ordered_fold(
     the very start) left by the block before, and returns output rows plus its own final
     state. ``order`` is a 0-based integer position unique within the key.
 
-    Without a long key every key is one call. Otherwise every block first guesses that it
-    is the start; then the guesses are replaced by the states really handed over, and only
-    the blocks whose entry changed run again, until nothing changes. A block whose entry
-    equals its predecessor's exit is right, block 0 is right from the start, so each
-    round settles at least one more block and the result is exact.
+    Without a long key every key is one call. With a ``step`` every block gives the state
+    that it leaves as a function of the state that it finds; the functions of a key, one row
+    a block, are applied one after the other, and every block then runs once with its state.
+    Without one every block first guesses that it is the start; then the guesses are replaced
+    by the states really handed over, and only the blocks whose entry changed run again,
+    until nothing changes. A block whose entry equals its predecessor's exit is right, block
+    0 is right from the start, so each round settles at least one more block and the result
+    is exact.
     """
     keys = list(keys)
     if long is None:
@@ -369,6 +384,23 @@ def ordered_fold(
         flat = rows.withColumn("_entry", F.lit(None).cast("string"))
         return map_sorted_groups(flat, held, [order], emit, schema)
 
+    if step is not None:
+        kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*held).dtypes)
+        rows = materialize(rows)
+
+        def functions(group: Rows) -> Rows:
+            return {**{k: group[k][:1] for k in held}, "fn": [step.make(group)]}
+
+        def chained(group: Rows) -> Rows:
+            states: list[str | None] = [None]
+            for fn in group["fn"][:-1]:
+                states.append(step.apply(fn, states[-1]))
+            return {**pick(group, held), "_entry": states}
+
+        made = map_sorted_groups(rows, held, [order], functions, f"{kinds}, fn string")
+        entries = map_sorted_groups(made, keys, ["_blk"], chained, f"{kinds}, _entry string")
+        return map_sorted_groups(rows.join(entries, held), held, [order], emit, schema)
+
     exit_schema = ", ".join(f"{c} {t}" for c, t in rows.select(*held).dtypes) + ", exit string"
     across = Window.partitionBy(*keys).orderBy("_blk")
     rows = materialize(rows)
