@@ -10,6 +10,7 @@ as two independent parts, in decimals that hold the products exactly.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -153,7 +154,7 @@ def window_counts(docs: DataFrame, width: int, min_count: int) -> DataFrame:
 
     Padded windows are counted in chunks; those of a chunk that begin with one word travel as one row.
     A frequent first word is spread by what follows it. Where all windows with the same words but the last
-    meet (``whole``) and are too few for a phrase, only their first word is told apart in the sums.
+    meet (``whole``) and are too few for a phrase, the sums leave out one word more.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequent = frequent_words(docs, SHARES * partitions)
@@ -201,14 +202,15 @@ def window_counts(docs: DataFrame, width: int, min_count: int) -> DataFrame:
                 heads[head] = heads.get(head, 0) + n
                 if n >= min_count and last:
                     out.add(lang, f"{w0} {rest}", True, n)
-            short = 0  # windows whose head is too rare for a phrase
+            short: dict[str, int] = {}  # sums of the heads that are too rare for a phrase, without their last word
             for head, n in heads.items():
-                if whole and n < min_count:
-                    short += n
+                if whole and n < min_count and width > 2:
+                    head = head.rpartition(" ")[0]
+                    short[head] = short.get(head, 0) + n
                 else:
                     out.add(lang, f"{w0} {head}" if width > 2 else w0, False, n)
-            if short:
-                out.add(lang, w0 + " " * (width - 2), False, short)
+            for head, n in short.items():
+                out.add(lang, f"{w0} {head} " if width > 3 else f"{w0} ", False, n)
             if out.full():
                 yield out.take()
         yield out.take()
@@ -282,8 +284,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     inner = inner.select("lang", "a", "w", "len", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("len") + 1)).alias("at"))
     around = inner.groupBy("lang", part(F.col("at"), F.col("len")).alias("phrase")).agg(F.max("a").alias("longer"))
     alone = scored.join(around, ["lang", "phrase"], "left").where(F.expr(f"longer IS NULL OR 100 * longer < {min_share} * a"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = alone.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("long"))
+    # Ranked in shares of a language first, so that neither step gathers more than the root of the tasks' lists.
+    shares = math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    best = alone.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     n = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     return best.where(F.col("rank") <= top).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
