@@ -119,19 +119,20 @@ def unresolved(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     similarity share one among the first of a common order, at places that leave room for
     the overlap. So members that are near, but not near enough, meet nobody, and none that is is missed.
     """
-    placed = (buckets.where(F.col("rep") != F.col("hub"))
+    placed = (buckets.where((F.col("rep") != F.col("hub")) | (F.col("same") != F.col("hub_same")))
               .join(found.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left")
-              .select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+              .select("key", "rep", "same", "n", F.coalesce("comp", "rep").alias("comp")))
     mixed = (placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
              .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1"))
-    members = stored(placed.join(mixed.select("key", "main"), "key").groupBy("rep", "n", "comp")
+    members = stored(placed.join(mixed.select("key", "main"), "key").groupBy("rep", "same", "n", "comp")
                      .agg(F.max(F.col("comp") != F.col("main")).alias("stray")))
-    tokens = members.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "n", "comp", "stray", F.explode("shingles").alias("token"))
+    sets = sets.select(F.col("doc_id").alias("rep"), "same", "shingles")
+    tokens = members.join(sets, ["rep", "same"]).select("rep", "same", "n", "comp", "stray", F.explode("shingles").alias("token"))
     # A shingle of one member only takes up a place in the order, but joins nothing.
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     order = F.sort_array(F.collect_list(F.struct("often", "token")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    listed = (tokens.join(often, "token").groupBy("rep", "n", "comp", "stray").agg(order.alias("order"))
+    listed = (tokens.join(often, "token").groupBy("rep", "same", "n", "comp", "stray").agg(order.alias("order"))
               .select("rep", "n", "comp", "stray", F.posexplode("order"), (F.col("n") - F.size("order")).alias("alone"))
               .withColumn("place", F.col("alone") + F.col("pos")).where(F.col("place") < prefix)
               .select("rep", "n", "comp", "stray", F.col("col.token").alias("token"), "place"))
@@ -153,21 +154,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     without id joins its class, and is kept only where the class has no id. Other columns are ignored.
     """
     rows = stored(sketches(docs, id_col, text_col, size))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes.select(F.col("same").alias("_same"), "rep"),
-                     (F.col("same") == F.col("_same")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "sketch").dropDuplicates(["rep"])
-    keys = reps.select("rep", "n", table_keys().alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.count("*").alias("members"))
-    buckets = stored(keys.join(hubs.where("members > 1").drop("members"), "key"))
+    known = rows.where("n > 0 AND doc_id IS NOT NULL")
+    classes = known.groupBy("same").agg(F.min("doc_id").alias("rep"))
+    # An id with several texts stands for the classes of all of them, with a sketch for each.
+    reps = known.join(classes, "same").where("doc_id = rep").select("rep", "same", "n", "sketch").dropDuplicates(["rep", "same"])
+    keys = reps.select("rep", "same", "n", table_keys().alias("key"))
+    first_of = F.struct("rep", "same", "n")
+    hubs = keys.groupBy("key").agg(F.min(first_of).alias("h"), F.count("*").alias("members")).where("members > 1").select(
+        "key", F.col("h.rep").alias("hub"), F.col("h.same").alias("hub_same"), F.col("h.n").alias("hub_n"))
+    buckets = stored(keys.join(hubs, "key"))
 
     wanted = stored(buckets.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(wanted, "doc_id", "left_semi")
-    sets = stored(add_columns(texts, ["_text"], lambda t: [[shingle_set(x, size).view(np.int64) for x in as_bytes(t)]],
-                              "shingles array<long>", keep=["doc_id"]))
+
+    def shingles(text):
+        found = [shingle_set(x, size) for x in as_bytes(text)]
+        return [[x.view(np.int64) for x in found], [xxhash.xxh3_128_digest(x.tobytes()) for x in found]]
+
+    sets = stored(add_columns(texts, ["_text"], shingles, "shingles array<long>, same binary", keep=["doc_id"]))
 
     first = (buckets.where((F.col("rep") != F.col("hub")) & may_reach("n", "hub_n", percent))
              .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    links = stored(alike(first, sets, percent))
+    # What one id has in several classes is one document.
+    several = known.groupBy("doc_id").agg(F.min("same").alias("one"), F.max("same").alias("other")).where("one <> other").select("doc_id")
+    held = known.join(several, "doc_id", "left_semi").join(classes, "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = stored(alike(first, sets, percent).unionByName(held).distinct())
     found = components(links)
 
     rest = unresolved(buckets, found, sets, percent)
@@ -175,10 +186,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if not late.isEmpty():
         found = components(found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(late))
 
-    own = rows.select("doc_id", "n", "same").join(classes, "same", "left")
-    own = own.join(found.select(F.col("u").alias("rep"), "v"), "rep", "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("v", "rep")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn(
+    # Texts without words are in no class and stay out of the joins.
+    own = rows.where("n > 0").select("doc_id", "n", "same").join(classes, "same", "left")
+    own = own.join(found.select(F.col("u").alias("rep"), "v"), "rep", "left").select("doc_id", "n", F.coalesce("v", "rep").alias("component_id"))
+    own = own.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -77,6 +77,21 @@ def test_near_copies_of_a_large_group_are_all_found(spark):
     assert got == dict(enumerate(top))
 
 
+def test_ids_with_several_texts_are_one_document(spark):
+    rnd = random.Random(6)
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(200)] for _ in range(3)]
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    a, b, c = (" ".join(t) for t in texts)
+    cases = [
+        ([(1, a), (1, b), (2, near(texts[0])), (3, near(texts[1])), (4, c)], {1: 1, 2: 1, 3: 1, 4: 4}),
+        ([(1, a), (5, a), (5, b), (7, near(texts[1])), (9, b), (None, b), (None, None), (3, "")], {1: 1, 5: 1, 7: 1, 9: 1, 3: 3}),
+        ([(8, a), (8, c), (9, near(texts[0])), (2, near(texts[2])), (2, near(texts[0]))], {8: 2, 9: 2, 2: 2}),
+    ]
+    for rows, want in cases:
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got if r.doc_id} == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.u: r.v for r in nd.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
