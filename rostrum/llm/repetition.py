@@ -98,8 +98,9 @@ def measure(text: bytes, min_words: int) -> tuple:
     repeats = 0
     if len(at):
         repeats = int(np.count_nonzero(cover(at, at + WINDOW, n)))
-        # A repeat of at least min_words >= 5 words holds a repeated window, so other texts need no suffix array.
-        starts, ends = maximal_spans(ids, max(min_words, WINDOW))
+    # A repeat of five words or more holds a repeated window, so without one such repeats need no suffix array.
+    if n > 1 and (len(at) or min_words < WINDOW):
+        starts, ends = maximal_spans(ids, min_words)
         if len(starts):
             under = cover(starts, ends, n)
             sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
@@ -116,10 +117,13 @@ def judge_repetition(docs: DataFrame, text_col: str = "text", keep: list[str] |
     ``min_words`` words), ``longest_repeat``, ``repeat_spans`` (their union, word offsets),
     ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words and fail the base rule. Rows are judged one by
+    ``min_words`` is 1 or more. Null and empty texts have no words and fail the base rule. Rows are judged one by
     one, so ties and repeated rows need no rule; columns with the names of results are replaced.
     """
 
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
+
     def run(text):
         return list(zip(*(measure(t, min_words) for t in as_bytes(text)))) or [[]] * 8
 

@@ -376,3 +376,31 @@ def test_pipeline_stages_keep_columns(spark):
         assert docs.columns == columns and left <= ids
         ids = left
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().collect()} == ids
+
+
+@pytest.mark.parametrize("least", [1, 2, 4, 5, 10])
+def test_repetition_verdict_equals_brute_force(spark, least):
+    rnd = random.Random(least)
+    texts = [None, "", "one", "a a", "a b c d x a b c d"]
+    for _ in range(60):
+        words = [f"w{rnd.randrange(12 if rnd.random() < 0.3 else 3000)}" for _ in range(rnd.randrange(60))]
+        if rnd.random() < 0.7 and len(words) > 4:
+            at, size = rnd.randrange(len(words)), rnd.randrange(2, 16)
+            words += words[at:at + size]
+        texts.append(" ".join(words))
+    got = repetition.judge_repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=least,
+                                      max_covered=0.15, max_longest=8).collect()
+    by_method = 0
+    for r in got:
+        w = (texts[r.doc_id] or "").split()
+        n, longest, under = len(w), 0, set()
+        for i in range(n):
+            size = max((next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), 0) for j in range(n) if j != i), default=0)
+            if size >= least:
+                longest = max(longest, size)
+                under.update(range(i, i + size))
+        share = sum(len(w[i]) for i in under) / max(sum(map(len, w)), 1)
+        assert r.longest_repeat == longest and r.covered_share == pytest.approx(share)
+        assert r.kept == (not r.base_failed and share <= 0.15 and longest <= 8)
+        by_method += not r.kept and not r.base_failed
+    assert by_method
