@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -65,6 +67,7 @@ def add_columns(df: DataFrame, sources: Sequence[str], fn: Callable, schema: str
             made = fn(*(b.column(i) for i in at))
             made = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, t) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], names=names)
+        give_back_memory()
 
     return df.mapInArrow(run, out)
 
@@ -78,10 +81,18 @@ def map_batches(df: DataFrame, fn: Callable, schema: str | T.StructType) -> Data
         for cols in fn(batches):
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back_memory()
 
     return df.mapInArrow(run, out)
 
 
+def give_back_memory() -> None:
+    """At the end of a task: workers are used again, and what they keep would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null is empty."""
     return [b or b"" for b in col.cast(pa.binary()).to_pylist()]

@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,20 @@ class Tokens:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        tokenizer = Tokenizer.from_file(path)  # given up at once: few texts need more than its vocabulary
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # The same merges by rank, several times as fast; added tokens are left to the tokenizer.
         self.by_rank = tiktoken.Encoding("bytes", pat_str=PATTERN, special_tokens={},
-                                         mergeable_ranks=byte_ranks(self.tokenizer.get_vocab(), self.added))
+                                         mergeable_ranks=byte_ranks(tokenizer.get_vocab(), self.added))
+        self.tokenizer = None
 
     def document(self, text: str) -> bytes:
         if any(t in text for t in self.added):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         else:
             ids = self.by_rank.encode_to_numpy(text).astype("<u4", copy=False)
@@ -122,17 +129,19 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         def emit(groups: list[list[tuple]]) -> list[list]:
             nonlocal n
-            out: list[list] = [[] for _ in range(7 + with_ids)]
+            out: list = [[] for _ in range(7)]
+            held_ids: list[bytes] = []
             for group in groups:
                 offset = 0
                 for doc, start, ids, total in group:
-                    row = [doc, start, len(ids) // 4, zlib.crc32(ids), total, base + n, offset]
-                    if with_ids:
-                        row.append(memoryview(ids).cast("I").tolist())
-                    for col, v in zip(out, row):
+                    for col, v in zip(out, (doc, start, len(ids) // 4, zlib.crc32(ids), total, base + n, offset)):
                         col.append(v)
+                    held_ids.append(ids)
                     offset += len(ids) // 4
                 n += 1
+            if with_ids:  # as buffers, a number in Python would take four times the room
+                ends = np.cumsum([0, *out[2]]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(held_ids), dtype="<u4").astype(np.int64)))
             return out
 
         def settle() -> list[list[tuple]]:
@@ -154,7 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                             ready += settle()
                         waiting.append(piece)
                         held += length
-                if len(ready) > 2_000:
+                if len(ready) > 500:
                     yield emit(ready)
                     ready = []
             if ready:

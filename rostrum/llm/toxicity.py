@@ -36,6 +36,8 @@ PREFIXES = range(4, 9)
 MAX_TOXIC, MAX_CLEAN = 20_000, 60_000
 MAX_ROUNDS = 12
 SMOOTH_WORDS = 20
+#: Terms that a task adds up before it puts them out.
+HELD_TERMS = 100_000
 THRESHOLD = 0.3
 
 
@@ -69,7 +71,7 @@ def term_counts(df: DataFrame, among: set[str] | None = None, explained: frozens
                 own = terms(t)
                 if explained.isdisjoint(own):
                     held.update(own if among is None else own & among)
-                if len(held) > 500_000:
+                if len(held) > HELD_TERMS:
                     yield list(held), list(held.values())
                     held = Counter()
         yield list(held), list(held.values())
@@ -77,14 +79,17 @@ def term_counts(df: DataFrame, among: set[str] | None = None, explained: frozens
     return map_batches(df.select("_text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
-    """Weights of the terms that tell toxic from clean beyond doubt, each family by its best member."""
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, stands_for: float = 1.0) -> dict[str, float]:
+    """Weights of the terms that tell toxic from clean beyond doubt, each family by its best member.
+
+    A clean row of the sample stands for ``stands_for`` times as many labelled rows as a toxic one.
+    """
     weight, gains = {}, {}
     for t, p in pos.items():
         n = neg.get(t, 0)
         rate = (p + n) / (n_pos + n_neg)
         gain = 2 * (p * math.log(p / n_pos / rate) + (n * math.log(n / n_neg / rate) if n else 0.0))
-        if p * n_neg >= 8 * n * n_pos and p >= 1.5 * n and gain >= 20:
+        if p * n_neg >= 8 * n * n_pos and p >= 1.5 * n * stands_for and gain >= 20:
             gains[t] = gain
             weight[t] = min(8.0, math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)))
 
@@ -137,8 +142,11 @@ class Scorer:
         return found / (t.count(" ") - 1 + SMOOTH_WORDS) if found else 0.0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels of a bounded sample: at most MAX_TOXIC and MAX_CLEAN rows, the first by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """Texts and labels of a bounded sample: at most MAX_TOXIC and MAX_CLEAN rows, the first by a hash of the id.
+
+    And how many times as many labelled rows a clean one of them stands for as a toxic one.
+    """
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
              .where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -146,13 +154,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
               .unionByName(known.where("_toxic <> 1").orderBy(*by_hash).limit(MAX_CLEAN)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.join(F.broadcast(sample), "doc_id")  # sized by the two limits
-    return stored(rows.select("_text", "_toxic", F.xxhash64("_text").alias("_same")).dropDuplicates(["_same", "_toxic"]))
+    sizes = dict(known.groupBy((F.col("_toxic") == 1).alias("t")).count().collect())
+    toxic, clean = max(sizes.get(True, 0), 1), max(sizes.get(False, 0), 1)
+    stands_for = clean / min(clean, MAX_CLEAN) / (toxic / min(toxic, MAX_TOXIC))
+    return stored(rows.select("_text", "_toxic", F.xxhash64("_text").alias("_same")).dropDuplicates(["_same", "_toxic"])), stands_for
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[dict[str, float], float]:
     """The lexicon, and the density that scores 0.3. Without toxic labels both are empty and all scores 0."""
-    rows = training_rows(docs, labels, id_col, text_col)
+    rows, stands_for = training_rows(docs, labels, id_col, text_col)
     toxic, clean = rows.where("_toxic = 1"), rows.where("_toxic <> 1")
     sizes = dict(rows.groupBy((F.col("_toxic") == 1).alias("t")).count().collect())
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     neg = dict(term_counts(clean, set(pos)).collect())
     weights: dict[str, float] = {}
     for _ in range(MAX_ROUNDS):
-        if not (more := choose(pos, neg, n_pos, max(n_neg, 1))):
+        if not (more := choose(pos, neg, n_pos, max(n_neg, 1), stands_for)):
             break
         weights |= more
         # Near copies repeat all their words; only documents that nothing explains yet speak for further terms.
@@ -180,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c")).orderBy(F.desc("bin")).collect()
     hit, wrong, scores = 0, 0, []
     for i, (b, t, c) in enumerate(table_of):
-        hit, wrong = hit + t, wrong + c
+        hit, wrong = hit + t, wrong + c * stands_for
         if b > -100:
             below = table_of[i + 1][0] + 1 if i + 1 < len(table_of) and table_of[i + 1][0] > -100 else min(b, -40)
             scores.append((2 * hit / (n_pos + hit + wrong), 2 ** ((b + max(below, -40)) / 8)))

@@ -5,6 +5,7 @@ import hashlib
 import html.parser
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -388,6 +389,8 @@ def test_repetition_verdict_equals_brute_force(spark, least):
             at, size = rnd.randrange(len(words)), rnd.randrange(2, 16)
             words += words[at:at + size]
         texts.append(" ".join(words))
+    long = [f"x{i}" for i in range(119)]
+    texts.append(" ".join([*long, *long[50:61]]))  # 22 of 130 words: the base rule lets it pass
     got = repetition.judge_repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=least,
                                       max_covered=0.15, max_longest=8).collect()
     by_method = 0
@@ -404,3 +407,26 @@ def test_repetition_verdict_equals_brute_force(spark, least):
         assert r.kept == (not r.base_failed and share <= 0.15 and longest <= 8)
         by_method += not r.kept and not r.base_failed
     assert by_method
+
+
+def test_lexicon_does_not_depend_on_the_cap_of_the_sample(spark, monkeypatch):
+    """Half the clean rows, each standing for two, choose the same terms and the same threshold."""
+    rnd = random.Random(12)
+    word = lambda: f"plain{rnd.randrange(4000)}"
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        words = [word() for _ in range(30)]
+        if toxic:
+            words[3] = "vilething"
+        if i % (18 if toxic else 40) == 0:
+            words[5] = "borderline"  # in half of the toxic rows, but told of few clean ones
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, _ = toxicity.fit(docs, known)
+    n = sum(1 for i, t in labels if not t and zlib.crc32(str(i).encode()) % 4 != 2)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", n // 3)
+    few, _ = toxicity.fit(docs, known)
+    assert set(few) == set(whole) == {toxicity.folded("vilething")}
+    assert toxicity.choose({" a ": 100}, {" a ": 60}, 100, 1000) and not toxicity.choose({" a ": 100}, {" a ": 60}, 100, 1000, 3.0)
