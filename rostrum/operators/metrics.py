@@ -12,11 +12,13 @@ from pyspark.sql.types import LongType
 from rostrum.functions.text import word_tokens
 from rostrum.functions.times import interval_iou, relevance_grade, temporal_distance
 from rostrum.plans import ordered
-from rostrum.plans.ordered import Rows, Step, grid_join, ordered_fold, ordered_scan, pick
+from rostrum.plans.ordered import Rows, Step, interval_pairs, ordered_fold, ordered_scan, pick
 
 # Cut-offs and the tolerance in seconds.
 CUTS = (1, 3, 5)
 TOLERANCE_S = 15.0
+# Width of the time buckets in which hits and answer ranges meet; it suits segments of some minutes.
+BUCKET_S = 120.0
 
 KEY = ["lecture_key"]
 
@@ -43,7 +45,8 @@ def score_hits(hits: DataFrame, examples: DataFrame) -> DataFrame:
 def temporal_metrics(hits: DataFrame, examples: DataFrame, *, by: list[str] | None = None, cuts=CUTS) -> DataFrame:
     """Per example recall, mean distance and best overlap among the first k hits.
 
-    Without a bounded hit the mean distance is NaN. Without ``by``, examples without hits are kept.
+    Without a bounded hit the mean distance is NaN. Examples without hits are kept, with ``by`` for
+    every group (say, system) that has hits at all; there are as many groups as are to be compared.
     """
     keys = [*(by or []), "example_id"]
     scored = score_hits(hits, examples)
@@ -56,28 +59,34 @@ def temporal_metrics(hits: DataFrame, examples: DataFrame, *, by: list[str] | No
             F.coalesce(F.max(F.when(top, F.col("iou"))), F.lit(0.0)).alias(f"max_iou@{k}"),
         ]
     found = scored.groupBy(*keys).agg(*aggs)
+    every = examples.select("example_id").distinct()
     if by:
-        return found
-    fill = {c: F.coalesce(c, F.lit(float("nan") if c.startswith("mean") else 0.0)) for c in found.columns[1:]}
-    return examples.select("example_id").distinct().join(found, "example_id", "left").withColumns(fill)
+        groups = hits.agg(F.collect_set(F.struct(*by)).alias("_groups")).withColumn("_one", F.lit(1))
+        every = every.withColumn("_one", F.lit(1)).join(F.broadcast(groups), "_one").select("example_id", F.inline("_groups"))
+    fill = {c: F.coalesce(c, F.lit(float("nan") if c.startswith("mean") else 0.0)) for c in found.columns[len(keys):]}
+    return every.join(found, keys, "left").withColumns(fill).select(*found.columns)
 
 
 def gain_discount(gain: Column, rank: Column) -> Column:
     return gain / F.log2(rank + 1)
 
 
-def ndcg(hits: DataFrame, examples: DataFrame, candidates: DataFrame, *, cuts=CUTS) -> DataFrame:
+def ndcg(hits: DataFrame, examples: DataFrame, candidates: DataFrame, *, cuts=CUTS, width: float = BUCKET_S) -> DataFrame:
     """Normalised discounted gain with gain = overlap in percent.
 
-    The ideal order is taken over all candidates of the lecture, ranked by gain.
+    The ideal order is taken over all candidates of the lecture, ranked by gain. Only candidates that touch an
+    answer range are paired with it; they meet in time buckets of ``width`` seconds.
     """
     cut = max(cuts)
     run = score_hits(hits, examples).withColumn("gain", relevance_grade(F.coalesce("iou", F.lit(0.0))))
     dcg = run.groupBy("example_id").agg(*[
         F.sum(F.when(F.col("rank") <= k, gain_discount(F.col("gain"), F.col("rank"))).otherwise(0.0)).alias(f"dcg{k}") for k in cuts])
-    pairs = grid_join(examples.select("example_id", *KEY, "answer_ranges"), candidates.select(*KEY, "idx", "start", "end"),
-                      KEY, ["example_id"], ["idx"])
-    gains = pairs.select("example_id", "idx", relevance_grade(F.coalesce(best_iou(), F.lit(0.0))).alias("gain")).where("gain > 0")
+    wanted = examples.select("example_id", *KEY, F.explode("answer_ranges").alias("r")).select(
+        "example_id", *KEY, F.col("r.start").alias("_from"), F.col("r.end").alias("_to"))
+    pairs = interval_pairs(candidates.select(*KEY, "idx", "start", "end"), wanted, KEY, width=width,
+                           left_span=("start", "end"), right_span=("_from", "_to"))
+    iou = F.max(interval_iou(F.col("start"), F.col("end"), F.col("_from"), F.col("_to")))
+    gains = pairs.groupBy("example_id", "idx").agg(relevance_grade(iou).alias("gain")).where("gain > 0")
     order = F.row_number().over(Window.partitionBy("example_id").orderBy(F.desc("gain"), "idx"))
     best = gains.withColumn("r", order).where(F.col("r") <= cut)
     ideal = best.groupBy("example_id").agg(*[

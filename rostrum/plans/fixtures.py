@@ -18,7 +18,7 @@ from rostrum.operators import search as se
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
 from rostrum.operators import words as wd
-from rostrum.plans.ordered import grid_join, ordered_scan, spread
+from rostrum.plans.ordered import nearest_on_line, ordered_scan, spread
 from rostrum.session import materialize
 
 # Time zero of the events table in microseconds, and seconds per day, which
@@ -204,7 +204,7 @@ class Tables:
     def _nearest(self, questions: DataFrame, at: str, side: str) -> DataFrame:
         """The five utterances whose start (or end) is nearest to a time, best first."""
         u = self.paused.select("lecture_key", "idx", "start", "end")
-        pairs = grid_join(questions, u, ["lecture_key"], ["example_id"], ["idx"])
+        pairs = nearest_on_line(questions, u, ["lecture_key"], at=at, value=side, tie="idx", k=5, width=DAY)
         near = pairs.withColumn("score", -F.abs(F.col(side) - F.col(at)))
         return se.top_ranked(near, ["example_id"], "score", ["idx"], 5)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as tx
+from rostrum.operators import bm25 as bm
 from rostrum.operators import context as cx
 from rostrum.operators import search as se
 from rostrum.operators import slides as sl
@@ -245,6 +246,42 @@ def _(t: Tables):
         "query_id", "rec_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
+def _bm25_sql(scope: str, question_scope: str) -> str:
+    return f"""WITH dw AS (SELECT {scope} AS scope, doc_id AS rec_id, regexp_extract_all(lower(text), '{WORDS_RE}') AS w FROM documents),
+st AS (SELECT scope, count(*) AS n, avg(len(w)) AS mean FROM dw GROUP BY 1),
+tf AS (SELECT scope, rec_id, len, term, count(*) AS tf FROM (SELECT scope, rec_id, len(w) AS len, unnest(w) AS term FROM dw) GROUP BY ALL),
+df AS (SELECT scope, term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf JOIN st USING (scope) GROUP BY scope, term, n),
+q AS (SELECT item_id AS query_id, {question_scope} AS scope, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS_RE}'))) AS term FROM benchmark),
+s AS (SELECT query_id, scope, rec_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score
+  FROM q JOIN df USING (scope, term) JOIN tf USING (scope, term) JOIN st USING (scope) GROUP BY ALL)"""
+
+
+_BM25_TOP = """ SELECT query_id, scope AS lecture_key, rec_id, round(score, 6) AS score, rank FROM (SELECT *,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("bm25_search", _bm25_sql("''", "''") + _BM25_TOP)
+def _(t: Tables):
+    found = bm.search(bm.build_index(t.doc_records), t.questions)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("bm25_in_lecture", _bm25_sql("source", "'src' || (item_id % 20)") + _BM25_TOP)
+def _(t: Tables):
+    found = bm.search(bm.build_index(t.doc_records, scoped=True), t.questions)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("rerank_bm25", _bm25_sql("source", "'src' || (item_id % 20)").replace("WITH ", ctes("doc_hits", body="") .rstrip() + ", ", 1) + """
+SELECT query_id, rec_id, round(b, 6) AS rerank_score, r AS rank FROM (SELECT h.query_id, h.rec_id, coalesce(s.score, 0) AS b,
+  row_number() OVER (PARTITION BY h.query_id ORDER BY coalesce(s.score, 0) DESC, h.rank) AS r
+  FROM doc_hits h LEFT JOIN s ON s.query_id = h.query_id AND s.rec_id = h.rec_id WHERE h.rank <= 50) WHERE r <= 5""")
+def _(t: Tables):
+    hits = se.knn_search(t.questions, t.doc_records, top_k=50)
+    best = bm.rerank_by_index(bm.build_index(t.doc_records, scoped=True), hits, t.questions, top_n=5)
+    return best.select("query_id", "rec_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 @query("document_ids", ctes("ev", body="""SELECT ord, CASE WHEN event_type = 'view' THEN lecture_key || '::tree::*' || left(props, 1)
   WHEN event_type = 'click' THEN lecture_key || '::seg::' || ord WHEN event_type = 'error' THEN lecture_key || '::slide::' || (ord * 2)
   ELSE lecture_key || '::span::' || value::VARCHAR || '::' || (value + 1)::VARCHAR END AS doc_id FROM ev"""))

@@ -231,38 +231,35 @@ def exact_percentile(
     return picked.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))
 
 
-def grid_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Sequence[str],
-    right_id: Sequence[str], *, left_rows: int = 1 << 14, right_rows: int = 1 << 16,
+def nearest_on_line(
+    points: DataFrame, rows: DataFrame, keys: Sequence[str], *, at: str, value: str, tie: str, k: int, width: float,
 ) -> DataFrame:
-    """Many-to-many equi join in which a hot key becomes a grid of cells.
+    """For every point the ``k`` rows of its key at or before it and the ``k`` after it, on one line of values.
 
-    A key with more than ``left_rows`` left or ``right_rows`` right rows is cut into
-    cells; every pair of rows still meets in exactly one cell. The table of hot keys has
-    at most ``rows / left_rows + rows / right_rows`` entries, which is what bounds the
-    broadcast below.
+    One walk over the merged line counts the rows up to each point; the rows themselves are numbered in
+    their order, and a point is joined to its ``2 k`` numbers by equality. So there is no row per pair, and a
+    hot key is no join key. Of rows with one value those with the lower ``tie`` are nearer, on both sides.
+    Points and rows without a value, and keys that are null, are left out.
     """
-    keys = list(keys)
-    if keys and not has_long_key(right, keys) and not has_long_key(left, keys):
-        return left.join(right, keys)
-
-    def hot(df: DataFrame, limit: int, name: str) -> DataFrame:
-        per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > limit)
-        return per_key.select(*keys, F.ceil(F.col("_c") / F.lit(limit)).alias(name))
-
-    cells = hot(left, left_rows, "_nl").join(hot(right, right_rows, "_nr"), keys, "full_outer")
-    cells = F.broadcast(cells)
-
-    def spread(df: DataFrame, ids: Sequence[str], own: str, other: str) -> DataFrame:
-        own_n, other_n = (F.coalesce(F.col(f"_n{s}"), F.lit(1)) for s in (own, other))
-        out = df.join(cells, keys, "left")
-        out = out.withColumn(f"_s{own}", F.pmod(F.xxhash64(*ids), own_n))
-        out = out.withColumn(f"_s{other}", F.explode(F.sequence(F.lit(0).cast("long"), other_n - 1)))
-        return out.drop("_nl", "_nr")
-
-    a = spread(left, left_id, "l", "r")
-    b = spread(right, right_id, "r", "l")
-    return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
+    points, rows = (df.where(F.col(c).isNotNull()) for df, c in ((points, at), (rows, value)))
+    line = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("_at"))
+    marks = points.withColumn("_point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    line = line.withColumn("_point", F.lit(None).cast(marks.schema["_point"].dataType)).unionByName(
+        marks.select(*keys, F.col(at).cast("double").alias("_v"), F.lit(1).alias("_side"), F.to_json("_point").alias("_at"), "_point"))
+    long = has_long_key(line.select(*keys), keys)
+    block = value_block("_v", width)
+    counted = ordered_scan(line, keys, ["_v", "_side", "_at"], block=block, long=long,
+                           running={"_n": ("sum", F.lit(1) - F.col("_side"))}).where("_side = 1")
+    spots = counted.select(*keys, "_point", "_n", F.explode(F.sequence(F.lit(-k), F.lit(k - 1))).alias("_o"))
+    spots = spots.select(*keys, "_point", (F.col("_n") + F.col("_o")).alias("_i"), (F.col("_o") < 0).alias("_before"))
+
+    def numbered(before: bool) -> DataFrame:
+        turned = rows.withColumns({"_v": F.col(value).cast("double"), "_t": -F.col(tie) if before else F.col(tie)})
+        return ordered_scan(turned, keys, ["_v", "_t"], block=block, number="_i", long=long).drop("_v", "_t").withColumn("_before", F.lit(before))
+
+    found = spots.join(numbered(True).unionByName(numbered(False)), [*keys, "_i", "_before"])
+    own = [c for c in points.columns if c not in keys]
+    return found.select(*keys, *[F.col(f"_point.`{c}`") for c in own], *[c for c in rows.columns if c not in keys])
 
 
 def interval_pairs(

@@ -9,7 +9,7 @@ from rostrum.operators import metrics as mt
 from rostrum.operators import report as rp
 from rostrum.operators import tree as tr
 from rostrum.operators.words import estimate_max_gap
-from rostrum.plans.fixtures import WORDS_RE, Tables
+from rostrum.plans.fixtures import DAY, WORDS_RE, Tables
 from rostrum.plans.ordered import has_long_key, interval_pairs, ordered_scan
 from rostrum.plans.registry import ctes, query
 
@@ -58,7 +58,7 @@ FROM rq LEFT JOIN a USING (example_id) LEFT JOIN b USING (example_id)"""
 
 @query("ndcg", ctes("rhits", body=_NDCG))
 def _(t: Tables):
-    m = mt.ndcg(t.range_hits, t.range_questions, t.paused)
+    m = mt.ndcg(t.range_hits, t.range_questions, t.paused, width=DAY)
     return _rounded(m, "ndcg@1", "ndcg@3", "ndcg@5")
 
 

@@ -124,13 +124,6 @@ def test_context_blocks_across_blocks(spark, tiny_blocks):
     assert len(got) == 50 and got[0] == "t0" and got[9] == "t5\nt6\nt7\nt8\nt9"
 
 
-def test_grid_join_meets_every_pair_once(spark, tiny_blocks):
-    left = spark.createDataFrame([("h", i) for i in range(40)] + [("c", 99)], "k string, a long")
-    right = spark.createDataFrame([("h", i) for i in range(30)] + [("c", 7)], "k string, b long")
-    got = ordered.grid_join(left, right, ["k"], ["a"], ["b"], left_rows=6, right_rows=5)
-    assert got.count() == 40 * 30 + 1 == got.distinct().count()
-
-
 def test_percentile_plans_agree_to_the_bit(spark):
     rnd = random.Random(3)
     rows = [("tied", 1.933)] * 1307 + [("mixed", rnd.expovariate(1)) for _ in range(999)] + [("few", 0.1), ("few", 0.7)]
@@ -146,6 +139,10 @@ def test_examples_without_hits_stay(spark):
                                      "example_id long, answer_ranges array<struct<start:double,end:double>>")
     got = {r.example_id: r["recall@1"] for r in mt.temporal_metrics(hits, examples, cuts=(1,)).collect()}
     assert got == {1: 1.0, 2: 0.0}
+    two = hits.withColumn("system", F.lit("a")).unionByName(hits.withColumns({"system": F.lit("b"), "example_id": F.lit(2).cast("long")}))
+    rows = mt.temporal_metrics(two, examples, by=["system"], cuts=(1,)).collect()
+    assert {(r.system, r.example_id): r["recall@1"] for r in rows} == {("a", 1): 1.0, ("a", 2): 0.0, ("b", 1): 0.0, ("b", 2): 1.0}
+    assert all((r["mean_temporal_distance@1"] != r["mean_temporal_distance@1"]) == ((r.system, r.example_id) in {("a", 2), ("b", 1)}) for r in rows)
 
 
 def test_percentile_of_a_hot_key(spark, tiny_blocks):

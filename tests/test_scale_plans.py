@@ -155,3 +155,57 @@ def test_term_sums_of_both_plans_agree(spark):
         assert (r.n_utterances, r.start, r.end) == (row.n_utterances, row.start, row.end)
         assert r.raw_text == (row.text if r.is_leaf else None)
     entries.unpersist(), nodes.unpersist()
+
+
+def test_nearest_on_a_line_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(rnd.choice("aab"), i, rnd.choice([float(rnd.randrange(20)), rnd.uniform(0, 20)])) for i in range(150)] + [("a", 900, None), (None, 901, 3.0)]
+    points = [(i, rnd.choice("aabc"), rnd.choice([float(rnd.randrange(22)) - 1, rnd.uniform(-1, 21)])) for i in range(60)] + [(99, "a", None), (98, None, 1.0)]
+    want = set()
+    for p, key, at in points:
+        if at is not None:
+            near = sorted((abs(v - at), i) for k, i, v in rows if k == key and v is not None and key)
+            want |= {(p, i) for _, i in near[:4]}
+    for block in (None, 8):
+        if block:
+            monkeypatch.setattr(ordered, "LONG_KEY_ROWS", 10)
+        got = ordered.nearest_on_line(
+            spark.createDataFrame(points, "example_id long, k string, at double"), spark.createDataFrame(rows, "k string, idx long, v double"),
+            ["k"], at="at", value="v", tie="idx", k=4, width=3.0).collect()
+        assert len(got) <= 8 * len(points) and len({(r.example_id, r.idx) for r in got}) == len(got)
+        best = {}
+        for r in got:
+            best.setdefault(r.example_id, []).append((abs(r.v - r.at), r.idx))
+        assert {(p, i) for p, found in best.items() for _, i in sorted(found)[:4]} == want
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_bm25_equals_brute_force_and_skips_common_words(spark, scoped):
+    import math
+
+    from rostrum.operators import bm25
+
+    rnd = random.Random(7)
+    vocabulary = ["the"] * 30 + ["of"] * 15 + [f"w{i}" for i in range(60) for _ in range(1 + i // 20)]
+    docs = [(rnd.choice(["a", "a", "b", None]), i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(25)))) for i in range(180)] + [("a", 500, None)]
+    asked = [(i, rnd.choice(["a", "b", "z", None]), " ".join(["the", "Of", *rnd.sample(vocabulary, 3)])) for i in range(25)] + [(90, "a", None), (91, "a", "unknown")]
+    index = bm25.build_index(spark.createDataFrame(docs, "lecture_key string, rec_id long, text string"), scoped=scoped, k=5)
+    queries = spark.createDataFrame(asked, "query_id long, lecture_key string, question string")
+    want = set()
+    for q, key, text in asked:
+        pool = [(i, (t or "").split()) for k, i, t in docs if not scoped or (k == key and key)]
+        mean = sum(len(w) for _, w in pool) / max(len(pool), 1)
+        scores = {}
+        for term in set((text or "").lower().split()):
+            df = sum(term in w for _, w in pool)
+            for i, w in pool:
+                if tf := w.count(term):
+                    idf = math.log(1 + (len(pool) - df + 0.5) / (df + 0.5))
+                    scores[i] = scores.get(i, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        want |= {(q, i, round(s, 6), r) for r, (s, i) in enumerate(sorted((-round(s, 9), i) for i, s in scores.items())[:5], 1)}
+    got = {(r.query_id, r.rec_id, round(-r.score, 6), r.rank) for r in bm25.search(index, queries).collect()}
+    assert got == want
+    terms = bm25.query_terms(index, queries)
+    assert terms.where("NOT essential AND term IN ('the', 'of')").count() > 0 and terms.where("essential").count() > 0
+    with pytest.raises(ValueError):
+        bm25.search(index, queries, top_k=6)
