@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -11,8 +12,7 @@ from pyspark.sql.types import LongType
 
 from rostrum.functions.text import word_tokens
 from rostrum.functions.times import interval_iou, relevance_grade, temporal_distance
-from rostrum.plans import ordered
-from rostrum.plans.ordered import Rows, Step, interval_pairs, ordered_fold, ordered_scan, pick
+from rostrum.plans.ordered import Rows, Step, deal, interval_pairs, ordered_fold, ordered_scan, pick
 
 # Cut-offs and the tolerance in seconds.
 CUTS = (1, 3, 5)
@@ -235,19 +235,40 @@ def fixed_boundaries(sizes: DataFrame) -> DataFrame:
     return ok.withColumn("j", j).select(*KEY, F.greatest(pos, F.lit(0).cast("long")).alias("i")).distinct()
 
 
+def permuted(key: str, size: int, i: int) -> int:
+    """Place of ``i`` in a permutation of ``0 .. size - 1`` that the key decides.
+
+    A Feistel network of four rounds permutes the numbers of an even number of bits that hold ``size``;
+    a place beyond the size is permuted again, which ends within ``size`` as ``i`` itself lies there.
+    """
+    half = max(1, (max(size - 1, 0).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for r in range(4):
+            digest = hashlib.md5(f"{key}|{r}|{right}".encode()).hexdigest()
+            left, right = right, left ^ (int(digest[:8], 16) & mask)
+        i = left << half | right
+        if i < size:
+            return i
+
+
+@F.pandas_udf(LongType())
+def _permuted(key: pd.Series, size: pd.Series, i: pd.Series) -> pd.Series:
+    return pd.Series([permuted(k, int(n), int(j)) for k, n, j in zip(key, size, i)], dtype="int64")
+
+
 def random_boundaries(sizes: DataFrame, *, trials: int = 100, seed: int = 42) -> DataFrame:
     """Per trial, ``n_boundaries`` distinct positions drawn from the first n - 1.
 
-    Positions are ranked by a seeded hash, so a lost task draws the same ones again.
+    The first numbers of a keyed permutation are drawn, a row each: nothing is ranked, and no position
+    that is not drawn is looked at. A lost task draws the same ones again.
     """
     ok = sizes.where((F.col("n_boundaries") > 0) & (F.col("n") >= 2))
     spots = ok.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)))
-    spots = spots.withColumn("_draw", F.xxhash64(F.lit(seed), *KEY, "trial", "i"))
-    # Draws are spread evenly, so their leading bits cut a long lecture into even blocks.
-    long = ok.where(F.col("n") > ordered.LONG_KEY_ROWS).limit(1).count() > 0
-    ranked = ordered_scan(spots, [*KEY, "trial"], ["_draw", "i"], block=F.shiftright("_draw", 52), number="_r", long=long)
-    return ranked.where(F.col("_r") < F.col("n_boundaries")).select(*KEY, "trial", "i")
+        "j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n_boundaries"), F.col("n") - 1) - 1)))
+    key = F.concat_ws("|", F.lit(str(seed)), *KEY, F.col("trial").cast("string"))
+    return deal(spots).select(*KEY, "trial", _permuted(key, F.col("n") - 1, F.col("j")).alias("i"))
 
 
 def tolerance_match(flags: DataFrame, *, tolerance: int = 2) -> DataFrame:

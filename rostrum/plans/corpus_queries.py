@@ -249,6 +249,30 @@ def _(t: Tables):
     return inc.stale_lectures(want, old).select("lecture_key")
 
 
+@query("fingerprints", """SELECT doc_id, sha256('{"version":"v2","doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source
+  || '","settings":"{\\"lowercase\\":true,\\"tree\\":{\\"max\\":null,\\"min\\":5}}"}') AS fingerprint FROM documents""")
+def _(t: Tables):
+    settings = {"tree": {"min": 5, "max": None}, "lowercase": True}
+    return t.documents.select("doc_id", inc.fingerprint("source", "n_chars", "lang", "doc_id", version="v2", settings=settings).alias("fingerprint"))
+
+
+_STEPS = ("transcript", "segments", "slides", "ocr", "audio")
+
+
+@query("bundle_outcomes", """WITH b AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'asr_only' ELSE 'full' END AS mode, CASE WHEN doc_id % 11 = 0 THEN 'ocr' END AS error_stage, quality,
+  (doc_id // 4) % 2 = 1 AS transcript, (doc_id // 4) % 8 >= 2 AS others FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, mode, CASE WHEN error_stage IS NOT NULL OR quality = 0 THEN 'failed' WHEN transcript AND (mode = 'asr_only' OR others) THEN 'skipped_existing' ELSE 'success' END AS status,
+  coalesce(error_stage, CASE WHEN quality = 0 THEN 'validate' END) AS error_stage FROM b""")
+def _(t: Tables):
+    d = t.documents.select("doc_id", "lang").join(t.table("labels").select("doc_id", "quality"), "doc_id", "left")
+    k = F.expr("doc_id div 4")
+    reused = F.concat(F.when(k % 2 == 1, F.array(F.lit(_STEPS[0]))).otherwise(F.array().cast("array<string>")),
+                      F.when(k % 8 >= 2, F.array(*map(F.lit, _STEPS[1:]))).otherwise(F.array(F.lit(_STEPS[1]))))
+    rows = d.select("doc_id", F.when(F.col("lang") == "en", "asr_only").otherwise("full").alias("mode"),
+                    F.when(F.col("doc_id") % 11 == 0, "ocr").alias("error_stage"), (F.col("quality") != 0).alias("valid"), reused.alias("reused_steps"))
+    return inc.outcome(rows).select("doc_id", "mode", "status", "error_stage")
+
+
 @query("request_status", """SELECT CAST(doc_id AS VARCHAR) AS lecture_key, CASE WHEN quality = 1 THEN 'skipped_existing' ELSE 'to_process' END AS status FROM documents LEFT JOIN labels USING (doc_id)""")
 def _(t: Tables):
     key = F.col("doc_id").cast("string").alias("lecture_key")

@@ -151,6 +151,12 @@ class Tables:
     def nodes(self) -> DataFrame:
         return tr.segment_tree(self.blocks)
 
+    @cached_property
+    def block_slides(self) -> DataFrame:
+        """Slides of the same lectures: one ends within every block whose vector number is a multiple of six."""
+        ends = self.blocks.where("vec_id % 6 = 0").select("lecture_key", "i", (F.col("i") * 10.0 + 5.0).alias("end"))
+        return ordered_scan(ends, ["lecture_key"], "i", number="slide_index").select("lecture_key", "slide_index", "end")
+
     @cached_property
     def tree_records(self) -> DataFrame:
         rec = tr.tree_records(tr.tree_rollup(self.nodes, self.entries))
@@ -267,6 +273,33 @@ NL = r"[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORDS_RE = r"[\p{L}\p{N}_]+"
 TOKENS_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
+def permuted_sql(x: str, source: str) -> str:
+    """One run of the keyed permutation over column ``x`` of ``lecture_key, trial, j, m, h``."""
+    inner = f"SELECT *, {x} >> h AS l0, {x} & ((1 << h) - 1) AS r0 FROM {source}"
+    for r in range(4):
+        inner = f"""SELECT *, r{r} AS l{r + 1}, xor(l{r}, ('0x' || substr(md5('42|' || lecture_key || '|' || trial || '|{r}|' || r{r}), 1, 8))::BIGINT
+  & ((1 << h) - 1)) AS r{r + 1} FROM ({inner})"""
+    return f"SELECT lecture_key, trial, j, m, h, (l4 << h) | r4 AS x FROM ({inner})"
+
+
+def draws_sql(sizes: str, trials: int = 100) -> str:
+    """Parts ``walk`` and ``draws`` of a recursive WITH query: positions drawn for ``lecture_key, n, nb``."""
+    start = f"""(SELECT lecture_key, trial, unnest(range(least(nb, n - 1)))::BIGINT AS j, n - 1 AS m, greatest(1, (length(bin(n - 2)) + 1) // 2)::BIGINT AS h
+  FROM (SELECT lecture_key, n::BIGINT AS n, nb::BIGINT AS nb, unnest(range(1, {trials} + 1)) AS trial FROM {sizes} WHERE nb > 0 AND n >= 2))"""
+    return f"""walk AS ({permuted_sql('j', start)} UNION ALL {permuted_sql('x', '(SELECT * FROM walk WHERE x >= m)')}),
+draws AS (SELECT lecture_key, trial, x AS i FROM walk WHERE x < m)"""
+
+
+def errors_sql(flags: str) -> str:
+    """Parts ``g`` and ``wd`` of a WITH query: WindowDiff and Pk of ``flags`` per lecture, method and trial."""
+    return f"""g AS (SELECT lecture_key, method, trial, i, n, greatest(1, least(round_even(n / (tr + 1)::DOUBLE / 2.0, 0)::BIGINT, n - 1)) AS k, r, h, tr, th FROM (
+  SELECT *, sum(ref) OVER w - ref AS r, sum(hyp) OVER w - hyp AS h, sum(ref) OVER v AS tr, sum(hyp) OVER v AS th, count(*) OVER v AS n FROM {flags}
+  WINDOW w AS (PARTITION BY lecture_key, method, trial ORDER BY i), v AS (PARTITION BY lecture_key, method, trial))),
+wd AS (SELECT a.lecture_key, a.method, a.trial, avg((coalesce(b.r, a.tr) - a.r <> coalesce(b.h, a.th) - a.h)::INT) AS wd,
+  avg(((coalesce(b.r, a.tr) - a.r = 0) <> (coalesce(b.h, a.th) - a.h = 0))::INT) AS pk
+  FROM g a LEFT JOIN g b ON b.lecture_key = a.lecture_key AND b.method = a.method AND b.trial = a.trial AND b.i = a.i + a.k WHERE a.i <= a.n - a.k GROUP BY 1, 2, 3)"""
+
+
 SQL: dict[str, tuple[list[str], str]] = {
     "ev": ([], f"""SELECT CAST(user_id AS VARCHAR) AS lecture_key, event_id AS ord, event_type, value, props,
   (epoch_us(ts) - {EPOCH_US}) / 1e6 AS start FROM events"""),
@@ -404,6 +437,15 @@ SQL: dict[str, tuple[list[str], str]] = {
   FROM (SELECT *, unnest(range(1, nb + 1)) AS j FROM sizes WHERE nb > 0 AND n >= 2)"""),
     "bflags": (["refs", "fixed"], """SELECT r.*, CASE WHEN f.i IS NULL THEN 0 ELSE 1 END AS hyp FROM refs r LEFT JOIN fixed f
   ON f.lecture_key = r.lecture_key AND f.i = r.i"""),
+    # --- segmentation of the embedding lectures against slides ---
+    "bslides": (["blocks"], """SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY i) - 1 AS slide_index, i * 10.0::DOUBLE + 5 AS "end"
+  FROM blocks WHERE vec_id % 6 = 0"""),
+    "brefs": (["blocks", "bslides"], """SELECT lecture_key, i, coalesce((lead(s) OVER (PARTITION BY lecture_key ORDER BY i) <> s)::INT, 0) AS ref FROM (
+  SELECT b.lecture_key, b.i, least(count(*) FILTER (s."end" < b.i * 10.0), max(s.slide_index)) AS s
+  FROM blocks b JOIN bslides s USING (lecture_key) GROUP BY 1, 2)"""),
+    "bcases": (["brefs", "bslides"], """SELECT lecture_key, coalesce(n, 0)::BIGINT AS n, coalesce(n_ref, 0)::BIGINT AS n_ref, n_slides, n_slides - 1 AS nb,
+  CASE WHEN n_slides < 2 THEN 'too_few_slides' WHEN coalesce(n, 0) < 2 THEN 'too_few_utterances' WHEN n_ref = 0 THEN 'no_slide_change' END AS reason
+  FROM (SELECT lecture_key, count(*) AS n, sum(ref) AS n_ref FROM brefs GROUP BY 1) FULL JOIN (SELECT lecture_key, count(*) AS n_slides FROM bslides GROUP BY 1) USING (lecture_key)"""),
     "manifest": ([], """SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic, CASE WHEN l.quality IS NULL THEN 'failed' WHEN toxic = 1 THEN 'dry_run'
   WHEN quality = 0 THEN 'skipped_existing' ELSE 'success' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)"""),
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.functions import times as tm
+from rostrum.operators import evaluation as ev
 from rostrum.operators import metrics as mt
 from rostrum.operators import report as rp
 from rostrum.operators import tree as tr
 from rostrum.operators.words import estimate_max_gap
-from rostrum.plans.fixtures import DAY, WORDS_RE, Tables
+from rostrum.plans.fixtures import DAY, WORDS_RE, Tables, draws_sql, errors_sql
 from rostrum.plans.ordered import has_long_key, interval_pairs, ordered_scan
 from rostrum.plans.registry import ctes, query
 
@@ -181,7 +182,11 @@ def _(t: Tables):
 TRIALS = 100
 
 
-@query("random_boundary_trials")
+@query("random_boundary_trials", ctes("sizes", body=f""", {draws_sql("sizes", TRIALS)},
+fl AS (SELECT r.lecture_key, 'random' AS method, t.trial, r.i, r.ref, (d.i IS NOT NULL)::INT AS hyp FROM refs r CROSS JOIN (SELECT unnest(range(1, {TRIALS} + 1)) AS trial) t
+  LEFT JOIN draws d ON d.lecture_key = r.lecture_key AND d.trial = t.trial AND d.i = r.i), {errors_sql("fl")}
+SELECT lecture_key, count(*) AS n_trials, round(avg(wd), 6) AS wd_mean, round(stddev_pop(wd), 6) AS wd_std, round(avg(pk), 6) AS pk_mean,
+  round(stddev_pop(pk), 6) AS pk_std FROM wd GROUP BY 1"""))
 def _(t: Tables):
     draws = mt.random_boundaries(t.sizes, trials=TRIALS).withColumn("hyp", F.lit(1))
     every = t.boundary_flags.select("lecture_key", "i", "ref").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
@@ -191,6 +196,46 @@ def _(t: Tables):
     return _rounded(rp.trial_summary(errors), "wd_mean", "wd_std", "pk_mean", "pk_std")
 
 
+@query("random_boundaries", ctes("sizes", body=f", {draws_sql('sizes', 5)} SELECT * FROM draws"))
+def _(t: Tables):
+    return mt.random_boundaries(t.sizes, trials=5).withColumn("trial", F.col("trial").cast("long"))
+
+
+_SEGMENTED = f""", {draws_sql("(SELECT * FROM bcases WHERE reason IS NULL)", TRIALS)},
+able AS (SELECT r.*, c.n, c.nb FROM brefs r JOIN bcases c USING (lecture_key) WHERE c.reason IS NULL),
+bfixed AS (SELECT DISTINCT lecture_key, greatest(least(round_even(j * (n / (nb + 1)::DOUBLE), 0)::BIGINT - 1, n - 2), 0) AS i
+  FROM (SELECT *, unnest(range(1, nb + 1)) AS j FROM bcases WHERE reason IS NULL)),
+bends AS (SELECT lecture_key, hi AS i FROM (SELECT *, max(hi) OVER (PARTITION BY lecture_key) AS m FROM leaves) WHERE hi < m),
+fl AS (SELECT a.lecture_key, 'tree' AS method, 0 AS trial, a.i, ref, (c.i IS NOT NULL)::INT AS hyp FROM able a LEFT JOIN bends c ON c.lecture_key = a.lecture_key AND c.i = a.i
+  UNION ALL SELECT a.lecture_key, 'fixed_window', 0, a.i, ref, (c.i IS NOT NULL)::INT FROM able a LEFT JOIN bfixed c ON c.lecture_key = a.lecture_key AND c.i = a.i
+  UNION ALL SELECT a.lecture_key, 'random', t.trial, a.i, ref, (d.i IS NOT NULL)::INT FROM able a CROSS JOIN (SELECT unnest(range(1, {TRIALS} + 1)) AS trial) t
+    LEFT JOIN draws d ON d.lecture_key = a.lecture_key AND d.trial = t.trial AND d.i = a.i), {errors_sql("fl")},
+er AS (SELECT lecture_key, method, avg(wd) AS wd, avg(pk) AS pk, CASE WHEN method = 'random' THEN stddev_pop(wd) END AS wd_std,
+  CASE WHEN method = 'random' THEN stddev_pop(pk) END AS pk_std FROM wd GROUP BY 1, 2)"""
+
+
+def _segmentation_errors(t: Tables):
+    ref, cases = ev.segmentation_cases(t.entries.select("lecture_key", "idx", "start", "end"), t.block_slides, block_seconds=300.0)
+    return ev.segmentation_errors(ref, cases, t.nodes, trials=TRIALS, long=has_long_key(t.blocks, ["lecture_key"]))
+
+
+@query("segmentation_cases", ctes("bcases", body="SELECT lecture_key, n, n_ref, n_slides, reason, nb AS n_boundaries FROM bcases"))
+def _(t: Tables):
+    return ev.segmentation_cases(t.entries.select("lecture_key", "idx", "start", "end"), t.block_slides, block_seconds=300.0)[1]
+
+
+@query("segmentation_errors", ctes("leaves", "bcases", body=_SEGMENTED + """SELECT lecture_key, method, round(wd, 6) AS wd, round(pk, 6) AS pk,
+  round(wd_std, 6) AS wd_std, round(pk_std, 6) AS pk_std FROM er"""))
+def _(t: Tables):
+    return _rounded(_segmentation_errors(t), "wd", "pk", "wd_std", "pk_std")
+
+
+@query("segmentation_evaluation", ctes("leaves", "bcases", body=_SEGMENTED + """SELECT method, count(*) AS n_lectures, round(avg(wd), 6) AS wd, round(avg(pk), 6) AS pk,
+  round(avg(wd_std), 6) AS wd_std, round(avg(pk_std), 6) AS pk_std FROM er GROUP BY 1"""))
+def _(t: Tables):
+    return _rounded(ev.evaluation_means(_segmentation_errors(t)), "wd", "pk", "wd_std", "pk_std")
+
+
 @query("tolerance_match", ctes("bflags", body="""
 , nn AS (SELECT lecture_key, list(i ORDER BY i) FILTER (ref = 1) AS rs, list(i ORDER BY i) FILTER (hyp = 1) AS hs, sum(ref) AS nr, sum(hyp) AS nh FROM bflags GROUP BY 1),
 f AS (SELECT lecture_key, 0::BIGINT AS j, -1::BIGINT AS last, 0::BIGINT AS hits FROM nn

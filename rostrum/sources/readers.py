@@ -206,36 +206,44 @@ def read_meeting_segments(spark: SparkSession, root: str) -> DataFrame:
 def read_topic_tree(spark: SparkSession, root: str) -> DataFrame:
     """Nodes of the topic files: path ``*.0.1``, whether a leaf, and the child references of leaves.
 
-    Loose references between topics become leaves of their own. A topic file is one small
-    document per meeting, walked within its row.
+    Loose references between topics become leaves of their own. A topic with neither topics nor references
+    is a leaf with no reference and ``error`` ``empty_topic``, which counts as a place among its siblings; a file that is
+    no XML is one row, the root, with ``error`` ``unreadable``. A topic file is one small document per meeting,
+    walked within its row.
     """
     import xml.etree.ElementTree as ET
 
     import pandas as pd
 
-    def walk(node, path: str) -> list[tuple[str, bool, list[str]]]:
+    def walk(node, path: str) -> list[tuple[str, bool, list[str], str | None]]:
         kids = [k for k in node if "pointer" not in k.tag]
         refs = lambda ks: [k.attrib["href"] for k in ks if k.attrib.get("href")]
         if not any(k.tag == "topic" for k in kids):
-            return [(path, True, refs(kids))]
-        out, loose, n = [(path, False, [])], [], 0
+            return [(path, True, refs(kids), None if refs(kids) else "empty_topic")]
+        out, loose, n = [(path, False, [], None)], [], 0
         for kid in [*kids, None]:
             if kid is not None and kid.tag != "topic":
                 loose.append(kid)
                 continue
             if refs(loose):
-                out.append((f"{path}.{n}", True, refs(loose)))
+                out.append((f"{path}.{n}", True, refs(loose), None))
                 n += 1
             loose = []
-            if kid is not None and len(kid):
+            if kid is not None:
                 out += walk(kid, f"{path}.{n}")
                 n += 1
         return out
 
+    def rows_of(text: str) -> list[tuple[str, bool, list[str], str | None]]:
+        try:
+            return walk(ET.fromstring(text), "*")
+        except ET.ParseError:
+            return [("*", True, [], "unreadable")]
+
     def parse(batches):
         for pdf in batches:
-            rows = [(m, *r) for m, v in zip(pdf["meeting"], pdf["value"]) for r in walk(ET.fromstring(v), "*")]
-            yield pd.DataFrame(rows, columns=["meeting", "path", "is_leaf", "refs"])
+            rows = [(m, *r) for m, v in zip(pdf["meeting"], pdf["value"]) for r in rows_of(v)]
+            yield pd.DataFrame(rows, columns=["meeting", "path", "is_leaf", "refs", "error"])
 
     docs = _documents(spark, root, "*.topic.xml").select("meeting", "value")
-    return docs.mapInPandas(parse, "meeting string, path string, is_leaf boolean, refs array<string>")
+    return docs.mapInPandas(parse, "meeting string, path string, is_leaf boolean, refs array<string>, error string")

@@ -107,6 +107,11 @@ def test_meeting_files(spark, tmp_path):
     assert utt.text == "Well, R&D."
     topics = rd.read_topic_tree(spark, root).orderBy("path").collect()
     assert [(r.path, r.is_leaf) for r in topics] == [("*", False), ("*.0", False), ("*.0.0", True), ("*.0.1", True)]
+    (tmp_path / "M2.topic.xml").write_text(f'<nite:root {NS}><topic nite:id="t1"/><topic nite:id="t2"><nite:child href="x#id(a)"/></topic></nite:root>')
+    (tmp_path / "M3.topic.xml").write_text("no xml")
+    topics = rd.read_topic_tree(spark, root).where("meeting <> 'M1'").orderBy("meeting", "path").collect()
+    assert [(r.meeting, r.path, r.is_leaf, r.error) for r in topics] == [
+        ("M2", "*", False, None), ("M2", "*.0", True, "empty_topic"), ("M2", "*.1", True, None), ("M3", "*", True, "unreadable")]
     seg = spark.createDataFrame([("M1", "A", "*.0.1", "M1.A.segs.xml#id(M1.A.999)..id(M1.A.1,001)")],
                                 "meeting string, speaker string, path string, href string")
     have = spark.createDataFrame([("M1", "A", k) for k in ("M1.A.999", "M1.A.1,001", "M1.A.5")], "meeting string, speaker string, utt_key string")

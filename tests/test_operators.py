@@ -197,6 +197,19 @@ def test_random_boundaries_are_repeatable(spark):
     assert a == b and len(a) == 15 and all(0 <= i < 29 for _, _, i in a)
 
 
+def test_places_are_a_permutation():
+    for size in (1, 2, 3, 4, 5, 16, 17, 100, 257):
+        assert sorted(mt.permuted("42|l|1", size, i) for i in range(size)) == list(range(size))
+    assert [mt.permuted("42|l|1", 100, i) for i in range(20)] != [mt.permuted("42|l|2", 100, i) for i in range(20)]
+    assert 0 <= mt.permuted("k", 10**15, 10**14) < 10**15
+
+
+def test_as_many_draws_as_there_are_positions(spark):
+    sizes = spark.createDataFrame([("all", 6, 9), ("one", 2, 1), ("none", 9, 0), ("short", 1, 1)], "lecture_key string, n long, n_boundaries long")
+    got = mt.random_boundaries(sizes, trials=2).collect()
+    assert sorted((r.lecture_key, r.i) for r in got if r.trial == 1) == [*(("all", i) for i in range(5)), ("one", 0)]
+
+
 def test_ends_are_cleaned_in_any_block_size(spark, tiny_blocks):
     rnd = random.Random(4)
     values = [rnd.uniform(-1, 50) for _ in range(60)]
@@ -223,15 +236,44 @@ def test_choice_of_lecture(spark):
 
 
 def test_incremental_results(spark, tmp_path):
-    rec = lambda v, keys: spark.createDataFrame([(k, v, 1) for k in keys], "lecture_key string, fingerprint string, segment_id int")
+    schema = "lecture_key string, fingerprint string, segment_id int"
+    rec = lambda v, keys: spark.createDataFrame([(k, v, i) for k in keys for i in range(3)], schema)
     path = str(tmp_path / "store")
-    inc.write_results(rec("v1", "abc"), path)
-    inc.write_results(rec("v2", "b"), path)
-    stored = spark.read.parquet(path)
-    assert {(r.lecture_key, r.fingerprint) for r in stored.collect()} == {("a", "v1"), ("b", "v2"), ("c", "v1")}
-    want = rec("v1", "abcd")
+    read = lambda: inc.read_results(spark, path, schema)
+    assert read().count() == 0 and read().columns == ["lecture_key", "segment_id", "fingerprint"]
+    inc.write_results(rec("v1", "abc"), path, build=1)
+    inc.write_results(rec("v2", "b"), path, build=2)
+    stored = read()
+    assert sorted((r.lecture_key, r.fingerprint, r.segment_id) for r in stored.collect()) == [
+        (k, v, i) for k, v in (("a", "v1"), ("b", "v2"), ("c", "v1")) for i in range(3)]
+    want = rec("v1", "abcd").drop("segment_id").distinct()
     assert {r.lecture_key for r in inc.stale_lectures(want, stored).collect()} == {"b", "d"}
     assert inc.stale_lectures(want, stored, rebuild=True).count() == 4
+    spark.createDataFrame([("c", "v1", 9, 1, 3)], "lecture_key string, fingerprint string, segment_id int, _build long, _rows long").withColumn(
+        "_bucket", F.pmod(F.xxhash64("lecture_key"), F.lit(inc.BUCKETS)).cast("int")).write.mode("append").partitionBy("_bucket").parquet(path)
+    assert {r.lecture_key for r in read().collect()} == {"a", "b"}  # a lecture with a row too many is not whole
+    bad = next(p for p in (tmp_path / "store").rglob("*.parquet") if spark.read.parquet(str(p)).where("lecture_key = 'a'").count())
+    bad.write_bytes(b"no parquet")
+    spark.catalog.clearCache()
+    assert {r.lecture_key for r in read().collect()} == {"b"}
+
+
+def test_files_have_fingerprints(spark, tmp_path):
+    import os
+
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}_transcripts.csv").write_text("Word,Start,End")
+        os.utime(tmp_path / name / f"{name}_transcripts.csv", (1000, 1000))
+    (tmp_path / "a" / "other.txt").write_text("x")
+    told = lambda **s: {r.path.rsplit("/", 1)[1]: r.fingerprint for r in inc.file_fingerprints(
+        spark, str(tmp_path), "*_transcripts.csv", settings=s).collect()}
+    first = told(gap=1, nested={"b": 1, "a": 2})
+    assert len(set(first.values())) == 2 and first == told(nested={"a": 2, "b": 1}, gap=1)
+    assert first != told(gap=2, nested={"a": 2, "b": 1})
+    os.utime(tmp_path / "b" / "b_transcripts.csv", (1001, 1001))
+    later = told(gap=1, nested={"b": 1, "a": 2})
+    assert later["a_transcripts.csv"] == first["a_transcripts.csv"] and later["b_transcripts.csv"] != first["b_transcripts.csv"]
 
 
 def test_plain_number_text(spark):

@@ -17,7 +17,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     n, _, bad, _ = harness.compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
     assert bad is None, bad
-    assert n >= 0
+    assert n > 0 or name in entry.oracle_sql()
 
 
 LONG = ["utterances", "estimated_max_gap", "gap_histogram", "attach_slides_by_midpoint", "attach_slide_text_all",
