@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -469,12 +470,50 @@ def keyword_profile(texts: DataFrame, keys: list[str], *, top: int = 5) -> DataF
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(*keys, "rank", "term", "tf", "df", "score")
 
 
+def principal_axes(vectors: DataFrame, column: str = "vector", *, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the first ``k`` principal axes (rows) and their variances.
+
+    Tasks add up the products of coordinates of their rows; Spark adds up the tasks. What reaches the driver is one
+    number per pair of coordinates, however many rows there are. An axis points to where its largest coordinate,
+    the first one of those, is positive. Rows with a null vector are left out; all vectors have one length.
+    """
+    some = vectors.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
+                x = np.hstack([x, np.ones((len(x), 1))])  # the last row and column hold sums and the count
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n)), pa.array(total.ravel())], names=["a", "b", "s"])
+
+    sums = some.mapInArrow(products, "a long, b long, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toPandas()
+    if not len(sums):
+        return np.empty(0), np.empty((0, 0)), np.empty(0)
+    size = int(sums["a"].max()) + 1
+    full = np.zeros((size, size))
+    full[sums["a"], sums["b"]] = sums["s"]
+    n, mean = full[-1, -1], full[-1, :-1] / full[-1, -1]
+    spread = (full[:-1, :-1] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values, axes = np.linalg.eigh((spread + spread.T) / 2)
+    axes, values = axes.T[::-1][:k], values[::-1][:k]
+    lead = np.abs(axes).round(12).argmax(1)
+    return mean, axes * np.sign(axes[np.arange(len(axes)), lead])[:, None], np.maximum(values, 0.0)
+
+
+def project(vectors: DataFrame, column: str = "vector", *, k: int = 2) -> DataFrame:
+    """Coordinates ``pc1, pc2 ..`` along the first principal axes; null for a null vector."""
+    mean, axes, _ = principal_axes(vectors, column, k=k)
+    if not len(mean):
+        return vectors.withColumns({f"pc{i}": F.lit(None).cast("double") for i in range(1, k + 1)})
+    centred = subtract(F.col(column).cast("array<double>"), F.array(*[F.lit(float(m)) for m in mean]))
+    return vectors.withColumns({f"pc{i}": dot(centred, F.array(*[F.lit(float(v)) for v in axis])) for i, axis in enumerate(axes, 1)})
+
+
 def project_2d(vectors: DataFrame, column: str = "vector") -> DataFrame:
     """First two principal components of the vectors."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    feats = vectors.withColumn("_f", array_to_vector(F.col(column)))
-    model = PCA(k=2, inputCol="_f", outputCol="_p").fit(feats)
-    out = model.transform(feats).withColumn("_a", vector_to_array("_p"))
-    return out.withColumns({"pc1": F.col("_a")[0], "pc2": F.col("_a")[1]}).drop("_f", "_p", "_a")
+    return project(vectors, column, k=2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as tx
 from rostrum.operators import bm25 as bm
 from rostrum.operators import context as cx
+from rostrum.operators import phrases as kp
 from rostrum.operators import search as se
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
@@ -149,6 +150,36 @@ def _(t: Tables):
     return p.select("lecture_key", "segment_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
+# The two largest eigenvalues of the covariances by power iteration, the second after taking out the first.
+_AXES = """, xc AS (SELECT lecture_key || '/' || segment_id AS id, dim, u - avg(u) OVER (PARTITION BY dim) AS c FROM sv),
+co AS (SELECT a.dim AS a, b.dim AS b, sum(a.c * b.c) / (count(*) - 1) AS s FROM xc a JOIN xc b USING (id) GROUP BY 1, 2),
+cm AS (SELECT list(r ORDER BY a) AS m, list_sum(list_transform(range(1, 65), lambda j: list(r ORDER BY a)[j][j])) AS trace FROM (SELECT a, list(s ORDER BY b) AS r FROM co GROUP BY 1)),
+it1 AS (SELECT 0 AS k, list_transform(range(1, 65), lambda j: 1 / (j + 7.0)::DOUBLE) AS v
+  UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+    SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM it1, cm WHERE k < 1500)),
+e1 AS (SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l, m FROM (SELECT arg_max(v, k) AS v FROM it1), cm),
+dm AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM e1),
+it2 AS (SELECT 0 AS k, list_transform(range(1, 65), lambda j: 1 / (j + 3.0)::DOUBLE) AS v
+  UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (
+    SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM it2, dm WHERE k < 1500)),
+e2 AS (SELECT list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM (SELECT arg_max(v, k) AS v FROM it2), dm)
+SELECT (SELECT count(DISTINCT id) FROM xc) AS n, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS covariance, round(e1.l, 6) AS variance1,
+  round(e2.l, 6) AS variance2, round((e1.l + e2.l) / trace, 6) AS explained, 64::BIGINT AS n_dims FROM e1, e2, cm"""
+
+
+@query("projection_moments", ctes("leaves", body=_SEG_VEC + _AXES))
+def _(t: Tables):
+    """The projection is centred, its axes are uncorrelated, and no two axes hold more of the variance."""
+    v = tr.segment_vectors(t.nodes, t.blocks)
+    p = tr.project_2d(v)
+    total = v.select(F.posexplode("vector").alias("d", "x")).groupBy("d").agg(F.var_samp("x").alias("v")).agg(
+        F.sum("v").alias("total"), F.count(F.lit(1)).alias("n_dims")).withColumn("_one", F.lit(1))
+    m = p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pc1"), 6).alias("mean1"), F.round(F.avg("pc2"), 6).alias("mean2"),
+              F.round(F.covar_samp("pc1", "pc2"), 6).alias("covariance"), F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2")).withColumn("_one", F.lit(1))
+    return m.join(total, "_one").select("n", "mean1", "mean2", "covariance", F.round("v1", 6).alias("variance1"), F.round("v2", 6).alias("variance2"),
+                                        F.round((F.col("v1") + F.col("v2")) / F.col("total"), 6).alias("explained"), "n_dims")
+
+
 @query("keyword_profile", f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS_RE}')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM k WHERE length(term) >= 3 GROUP BY 1, 2),
 d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -158,6 +189,30 @@ def _(t: Tables):
     return tr.keyword_profile(t.documents.select("doc_id", "text"), ["doc_id"])
 
 
+@query("key_phrases", f"""WITH sn AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: regexp_extract_all(x, '{WORDS_RE}')), lambda w: len(w) > 0) AS l FROM documents),
+li AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS s FROM sn),
+wd AS (SELECT doc_id, s, unnest(w) AS raw, unnest(range(len(w))) AS p FROM li),
+ao AS (SELECT *, lower(raw) AS term, lag(lower(raw)) OVER k AS b, lead(lower(raw)) OVER k AS a FROM wd WINDOW k AS (PARTITION BY doc_id, s ORDER BY p)),
+own AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (raw = upper(raw) AND raw <> lower(raw) AND length(raw) > 1) AS caps,
+  count(*) FILTER (left(raw, 1) = upper(left(raw, 1)) AND left(raw, 1) <> lower(left(raw, 1)) AND p > 0) AS title, median(s) AS m,
+  count(b) AS lb, count(a) AS ra, count(DISTINCT b) AS ld, count(DISTINCT a) AS rd, count(DISTINCT s) AS sd FROM ao GROUP BY 1, 2),
+al AS (SELECT *, avg(CASE WHEN length(term) >= 3 THEN tf END) OVER d AS mean, stddev_pop(CASE WHEN length(term) >= 3 THEN tf END) OVER d AS std, max(tf) OVER d AS mx,
+  (SELECT max(s) + 1 FROM li WHERE li.doc_id = own.doc_id) AS n FROM own WINDOW d AS (PARTITION BY doc_id)),
+ft AS (SELECT doc_id, term, 1 + (coalesce(ld / nullif(lb, 0)::DOUBLE, 0) + coalesce(rd / nullif(ra, 0)::DOUBLE, 0)) * tf / mx AS rel, ln(ln(3 + m)) AS pos,
+  greatest(caps, title) / (1 + ln(tf)) AS cs, coalesce(tf / nullif(mean + std, 0), 0) AS norm, sd / n::DOUBLE AS spread FROM al),
+we AS (SELECT doc_id, term, rel * pos / (cs + norm / rel + spread / rel) AS weight FROM ft),
+tw AS (SELECT ao.doc_id, s, p, ao.term, weight FROM ao JOIN we ON we.doc_id = ao.doc_id AND we.term = ao.term),
+ld AS (SELECT *, lead(term, 1) OVER k AS t1, lead(weight, 1) OVER k AS w1, lead(term, 2) OVER k AS t2, lead(weight, 2) OVER k AS w2 FROM tw WINDOW k AS (PARTITION BY doc_id, s ORDER BY p)),
+ph AS (SELECT doc_id, term AS phrase, term AS z, term AS f, weight AS pr, weight AS su FROM ld
+  UNION ALL SELECT doc_id, term || ' ' || t1, t1, term, weight * w1, weight + w1 FROM ld WHERE t1 IS NOT NULL
+  UNION ALL SELECT doc_id, term || ' ' || t1 || ' ' || t2, t2, term, weight * w1 * w2, weight + w1 + w2 FROM ld WHERE t2 IS NOT NULL),
+sc AS (SELECT doc_id, phrase, count(*) AS tf, round(any_value(pr) / (count(*) * (1 + any_value(su))), 9) AS score FROM ph WHERE length(f) >= 3 AND length(z) >= 3 GROUP BY 1, 2),
+st AS (SELECT *, row_number() OVER (PARTITION BY doc_id, array_to_string(list_transform(string_split(phrase, ' '), lambda x: left(x, 5)), ' ') ORDER BY score, phrase) AS r FROM sc)
+SELECT doc_id, rank, phrase, tf, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, phrase) AS rank FROM st WHERE r = 1) WHERE rank <= 5""")
+def _(t: Tables):
+    return kp.key_phrases(t.documents.select("doc_id", "text"), ["doc_id"]).withColumn("score", F.round("score", 6))
+
+
 # --- search -------------------------------------------------------------------------
 
 
