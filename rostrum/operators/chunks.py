@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import BLANK, clean_text, compose_chunk_text, ordered_text, text_tokens
 from rostrum.operators.slides import overlapping_slides
 from rostrum.plans.ordered import Rows, has_long_key, ordered_fold, ordered_scan
+from rostrum.session import materialize
 
 # The default grid of chunk configurations.
 STRATEGIES = ("utterance_packed", "raw_token_window")
@@ -183,3 +184,27 @@ def pack_units(units: DataFrame, *, size: int, overlap: int = 0, block_rows: int
         F.min_by("idx", "t").alias("source_item_start"), F.max_by("idx", "t").alias("source_item_end"),
         F.array_distinct(F.transform(slides, lambda s: s["slide_index"])).alias("ocr_slide_indices"),
     ).withColumn("text", F.when(F.trim("text") == "", F.lit(BLANK)).otherwise(F.col("text")))
+
+
+def grid_chunks(
+    words: DataFrame, utts: DataFrame, slides: DataFrame, *, strategies=STRATEGIES, sizes=SIZES, overlaps=OVERLAP_PERCENTS,
+    modes=OCR_MODES, bucket_seconds: float = 3600.0,
+) -> DataFrame:
+    """The chunks of every configuration of the grid, with its settings and system name.
+
+    ``words`` for the token windows; ``utts`` with ``slide_index`` and ``ocr_text`` for the packed units; ``slides``
+    (``slide_index, start, end, text``) for the windows that carry slide text.
+    """
+    words, utts, slides = (materialize(df) for df in (words, utts, slides))  # every configuration reads them
+    out = None
+    for config in config_grid(words.sparkSession, strategies, sizes, overlaps, modes).collect():  # as many rows as settings asked for
+        size, overlap, ocr = config.chunk_size_tokens, config.overlap_tokens, config.attach_ocr
+        if config.chunk_strategy == "raw_token_window":
+            made = token_windows(words, size=size, overlap=overlap, slides=slides if ocr else None, bucket_seconds=bucket_seconds)
+        else:
+            made = pack_units(utterance_units(utts, attach_ocr=ocr), size=size, overlap=overlap)
+        made = made.select(
+            F.lit(config.system).alias("system"), F.lit(config.chunk_strategy).alias("chunk_strategy"), F.lit(config.ocr_mode).alias("ocr_mode"),
+            *KEY, "chunk_id", "text", "start", "end", "token_count", "source_item_start", "source_item_end", "ocr_slide_indices")
+        out = made if out is None else out.unionByName(made)
+    return out

@@ -68,6 +68,11 @@ class Tables:
         """Utterances with a fixed pause of three hours, about forty per lecture."""
         return wd.group_utterances(self.words, wd.resolve_max_gap(self.words, 10800.0))
 
+    @cached_property
+    def shown(self) -> DataFrame:
+        """The same utterances with their slide, the first of each slide with its text."""
+        return sl.attach_slide_text(sl.attach_slides(self.paused, self.slides, block_seconds=DAY), self.slides)
+
     @staticmethod
     def _as_raw(words: DataFrame) -> DataFrame:
         return words.select("lecture_key", "ord", F.col("word").alias("Word"),
@@ -331,6 +336,9 @@ SQL: dict[str, tuple[list[str], str]] = {
     "attached": (["paused", "spans"], f"""SELECT u.*, s.slide_index, {r3('s.start')} AS slide_start, {r3('s."end"')} AS slide_end
   FROM paused u LEFT JOIN (SELECT *, CASE WHEN slide_index = 0 THEN -1e18 ELSE start END AS lo FROM spans) s
   ON u.lecture_key = s.lecture_key AND s.lo < (u.start + u."end") / 2 AND (u.start + u."end") / 2 <= s."end" """),
+    "shown": (["attached", "slides"], """SELECT a.lecture_key, a.idx, a.text, CASE WHEN r <= 1 THEN s.ocr_text END AS ocr_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY lecture_key, slide_index ORDER BY idx) AS r FROM attached) a
+  LEFT JOIN slides s ON s.lecture_key = a.lecture_key AND s.slide_index = a.slide_index"""),
     "turns": ([], "SELECT CAST(conv_id AS VARCHAR) AS lecture_key, turn AS idx, role AS speaker, text FROM conversations"),
     "units": ([], """SELECT CAST(doc_id AS VARCHAR) AS lecture_key, unnest(string_split(text, chr(10))) AS text,
   unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents"""),

@@ -316,3 +316,62 @@ for _size, _over in ((128, 0), (128, 13), (512, 51)):
         got = ch.pack_units(units, size=size, overlap=over)
         return got.select("lecture_key", "chunk_id", "token_count", "source_item_start", "source_item_end",
                           F.md5("text").alias("text_md5"))
+
+
+# --- the chunk grid over the lectures of users ---
+
+_GRID = {"sizes": (8, 24), "overlaps": (0, 25)}
+
+
+def _grid_pack_sql(n: int, system: str, size: int, overlap: int, ocr: bool) -> tuple[str, str]:
+    """Parts of a recursive WITH query, and the chunks of one packing: system, lecture, tokens, characters, slides."""
+    text = "CASE WHEN ocr_text IS NULL THEN text ELSE text || chr(10) || '[SLIDE] ' || ocr_text END" if ocr else "text"
+    slide = "(ocr_text IS NOT NULL)::INT" if ocr else "0"
+    parts = f"""k{n} AS (SELECT lecture_key, idx, {text} AS text, regexp_extract_all({text}, '{TOKENS_RE}') AS toks, {slide} AS shows FROM shown),
+u{n} AS (SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY idx, j) - 1 AS t, shows, idx,
+  CASE WHEN len(toks) > {size} THEN list_aggregate(toks[j * {size} + 1 : j * {size} + {size}], 'string_agg', ' ') ELSE text END AS text, least({size}, len(toks) - j * {size}) AS c
+  FROM (SELECT *, unnest(range(ceil(len(toks) / {size}.0)::BIGINT)) AS j FROM k{n})),
+x{n} AS (SELECT lecture_key, t, c, (sum(c) OVER (PARTITION BY lecture_key ORDER BY t) - c)::BIGINT AS x, max(t) OVER (PARTITION BY lecture_key) AS n
+  FROM (SELECT lecture_key, t, c FROM u{n} UNION ALL SELECT lecture_key, max(t) + 1, 0 FROM u{n} GROUP BY 1)),
+p{n} AS (SELECT *, max(t) OVER (PARTITION BY lecture_key ORDER BY x RANGE BETWEEN CURRENT ROW AND {size} FOLLOWING) AS stop,
+  max(t) OVER (PARTITION BY lecture_key ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND {max(overlap, 1)} PRECEDING) AS back FROM x{n}),
+n{n} AS (SELECT p.lecture_key, p.t, p.stop, CASE WHEN p.stop >= p.n THEN p.n WHEN {overlap} = 0 THEN p.stop ELSE greatest(p.t + 1, coalesce(b.back, 0)) END AS nxt
+  FROM p{n} p JOIN p{n} b ON b.lecture_key = p.lecture_key AND b.t = p.stop WHERE p.t < p.n),
+f{n} AS (SELECT lecture_key, t, stop, nxt FROM n{n} WHERE t = 0
+  UNION ALL SELECT x.lecture_key, x.t, x.stop, x.nxt FROM f{n} f JOIN n{n} x ON x.lecture_key = f.lecture_key AND x.t = f.nxt)"""
+    chunks = f"""SELECT '{system}' AS system, f.lecture_key, sum(c)::BIGINT AS tokens, length(string_agg(text, chr(10) ORDER BY u.t)) AS chars,
+  count(DISTINCT CASE WHEN shows = 1 THEN idx END) AS shows FROM f{n} f JOIN u{n} u ON u.lecture_key = f.lecture_key AND u.t >= f.t AND u.t < f.stop GROUP BY f.lecture_key, f.t"""
+    return parts, chunks
+
+
+def _grid_window_sql(system: str, size: int, overlap: int, ocr: bool) -> str:
+    step = max(1, size - overlap)
+    spoken = f"""SELECT lecture_key, win, count(*) AS tokens, arg_min(start, pos) AS s, arg_max("end", pos) AS e, string_agg(word, ' ' ORDER BY pos) AS spoken FROM (
+  SELECT *, unnest(range(greatest(ceil((pos - {size} + 1) / {step}.0), 0)::BIGINT, least(pos // {step}, greatest(ceil((n - {size}) / {step}.0), 0)::BIGINT) + 1)) AS win FROM wpos)
+  GROUP BY 1, 2"""
+    if not ocr:
+        return f"SELECT '{system}', lecture_key, tokens, length(spoken), 0 FROM ({spoken})"
+    return f"""SELECT '{system}', c.lecture_key, any_value(tokens), length(spoken || coalesce(chr(10) || string_agg('[SLIDE] ' || r.text, chr(10) ORDER BY r.slide_index), '')), count(r.slide_index)
+  FROM ({spoken}) c LEFT JOIN slide_rows r ON r.lecture_key = c.lecture_key AND r.start <= c.e AND r."end" >= c.s GROUP BY c.lecture_key, win, spoken"""
+
+
+def _grid_sql() -> str:
+    parts, rows = ["""wpos AS (SELECT *, row_number() OVER (PARTITION BY lecture_key ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY lecture_key) AS n FROM words)"""], []
+    for size in _GRID["sizes"]:
+        for percent in _GRID["overlaps"]:
+            for mode in ch.OCR_MODES:
+                over, ocr = round(size * percent / 100), mode == "combined_ocr"
+                name = "baseline__{}__" + f"{size}tok__ov{percent}__{mode}"
+                made, packed = _grid_pack_sql(len(rows), name.format("utterance_packed"), size, over, ocr)
+                parts.append(made)
+                rows += [packed, _grid_window_sql(name.format("raw_token_window"), size, over, ocr)]
+    return ctes("shown", "words", "slide_rows", body=", " + ",\n".join(parts) + ", every AS (" + "\nUNION ALL ".join(rows) + """)
+SELECT system, lecture_key, count(*) AS n_chunks, sum(tokens)::BIGINT AS n_tokens, sum(chars)::BIGINT AS n_chars, sum(shows)::BIGINT AS n_slides FROM every GROUP BY 1, 2""")
+
+
+@query("grid_chunks", _grid_sql())
+def _(t: Tables):
+    made = ch.grid_chunks(t.words, t.shown, t.slide_rows, **_GRID, bucket_seconds=DAY)
+    return made.groupBy("system", "lecture_key").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.sum(F.length("text").cast("long")).alias("n_chars"),
+        F.sum(F.size("ocr_slide_indices").cast("long")).alias("n_slides"))
