@@ -1,4 +1,4 @@
-"""Whole evaluations: segmentations of lectures against their slides."""
+"""Whole evaluations: retrieval systems against answer times, segmentations of lectures against their slides."""
 
 from __future__ import annotations
 
@@ -6,12 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.operators import metrics as mt
+from rostrum.operators import search as se
 from rostrum.operators import tree as tr
 from rostrum.operators.slides import reference_boundaries
+from rostrum.session import materialize
 
 KEY = ["lecture_key"]
 
 
+def retrieval_scores(
+    systems: dict[str, tuple[DataFrame, bool]], queries: DataFrame, examples: DataFrame, *, first: int = se.FIRST_STAGE,
+    final: int = se.FINAL_HITS, cuts=mt.CUTS, width: float = mt.BUCKET_S,
+) -> DataFrame:
+    """Per system and question: recall, mean distance, best overlap and nDCG of the hits that a two-stage search keeps.
+
+    A system is its records (``lecture_key, rec_id, text, start, end, embedding``, tree columns if any) and whether these are a
+    tree, whose inner nodes bring evidence and whose overlapping hits go. The ideal order of the gain is taken over all
+    records of the lecture. ``examples`` are ``example_id, lecture_key, answer_ranges``; questions without hits count with nothing found.
+    """
+    out = None
+    for name, (records, tree) in systems.items():
+        found = se.two_stage_search(queries, records, top_k=first, top_n=final, tree=tree)
+        hits = materialize(found.select(F.col("query_id").alias("example_id"), "rank", "start", "end"))
+        candidates = records.select(*KEY, F.col("rec_id").alias("idx"), "start", "end")
+        scores = mt.temporal_metrics(hits, examples, cuts=cuts).join(mt.ndcg(hits, examples, candidates, cuts=cuts, width=width), "example_id")
+        scores = scores.withColumn("system", F.lit(name))
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 def segmentation_cases(utts: DataFrame, slides: DataFrame, *, block_seconds: float = 3600.0) -> tuple[DataFrame, DataFrame]:
     """Reference flags of every utterance, and one row per lecture: can it be evaluated, and with how many baseline cuts.
 

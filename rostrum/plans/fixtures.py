@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import lines_of, ordered_text, text_tokens
 from rostrum.functions.vectors import as_double
+from rostrum.operators import chunks as ck
 from rostrum.operators import metrics as mt
 from rostrum.operators import search as se
 from rostrum.operators import slides as sl
@@ -156,6 +157,29 @@ class Tables:
     def nodes(self) -> DataFrame:
         return tr.segment_tree(self.blocks)
 
+    @cached_property
+    def block_words(self) -> DataFrame:
+        """The texts of the same lectures as words, each as long as its block."""
+        w = self.entries.select("lecture_key", "idx", "start", "end", F.posexplode(F.split("composite", r"[ \n]")).alias("_p", "word"))
+        return ordered_scan(w, ["lecture_key"], ["idx", "_p"], number="ord").select("lecture_key", "ord", "word", "start", "end")
+
+    @cached_property
+    def window_records(self) -> DataFrame:
+        """Windows of 512 tokens over them as records."""
+        made = ck.token_windows(self.block_words, size=512, overlap=51)
+        rec = made.select("lecture_key", F.col("chunk_id").alias("rec_id"), "text", "start", "end")
+        return materialize(tr.hashed_embedding(rec))
+
+    @cached_property
+    def tree_examples(self) -> DataFrame:
+        """Two stretches of its lecture as the answer of each question."""
+        n = self.blocks.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n"))
+        q = self.tree_questions.select(F.col("query_id").alias("example_id"), "lecture_key").join(n, "lecture_key")
+        at = lambda k, off: (F.col("example_id") * k % F.col("n")) * 10.0 + off
+        one = F.struct(at(37, 0.0).alias("start"), at(37, 25.0).alias("end"))
+        two = F.struct(at(101, 3.0).alias("start"), at(101, 18.0).alias("end"))
+        return q.select("example_id", "lecture_key", F.array(one, two).alias("answer_ranges"))
+
     @cached_property
     def block_slides(self) -> DataFrame:
         """Slides of the same lectures: one ends within every block whose vector number is a multiple of six."""
@@ -445,6 +469,24 @@ SQL: dict[str, tuple[list[str], str]] = {
   FROM (SELECT *, unnest(range(1, nb + 1)) AS j FROM sizes WHERE nb > 0 AND n >= 2)"""),
     "bflags": (["refs", "fixed"], """SELECT r.*, CASE WHEN f.i IS NULL THEN 0 ELSE 1 END AS hyp FROM refs r LEFT JOIN fixed f
   ON f.lecture_key = r.lecture_key AND f.i = r.i"""),
+    # --- retrieval in the embedding lectures ---
+    "win_tok": (["entries"], f"""SELECT lecture_key, tok, s, e, row_number() OVER (PARTITION BY lecture_key ORDER BY idx, p, j) - 1 AS pos, count(*) OVER (PARTITION BY lecture_key) AS n FROM (
+  SELECT lecture_key, idx, p, s, e, unnest(t) AS tok, unnest(range(len(t))) AS j FROM (SELECT lecture_key, idx, start AS s, "end" AS e, p, regexp_extract_all(lower(w), '{TOKENS_RE}') AS t FROM (
+  SELECT *, unnest(regexp_split_to_array(composite, '[ \\n]')) AS w, unnest(range(len(regexp_split_to_array(composite, '[ \\n]')))) AS p FROM entries)))"""),
+    "win_rec": (["win_tok"], """SELECT lecture_key, win + 1 AS rec_id, string_agg(tok, ' ' ORDER BY pos) AS text, arg_min(s, pos) AS start, arg_max(e, pos) AS "end" FROM (
+  SELECT *, unnest(range(greatest(ceil((pos - 511) / 461.0), 0)::BIGINT, least(pos // 461, greatest(ceil((n - 512) / 461.0), 0)::BIGINT) + 1)) AS win FROM win_tok) GROUP BY 1, 2"""),
+    "win_n": (["win_rec"], f"""SELECT lecture_key, rec_id, b, count(*)::DOUBLE AS n FROM (SELECT lecture_key, rec_id, {_MD5.format('t')} % 64 AS b FROM (
+  SELECT lecture_key, rec_id, unnest(regexp_extract_all(text, '{WORDS_RE}')) AS t FROM win_rec)) GROUP BY ALL"""),
+    "win_vec": (["win_n"], "SELECT lecture_key, rec_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY lecture_key, rec_id)) AS w FROM win_n"),
+    "win_hits": (["win_vec", "q_vec"], """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rec_id) AS rank FROM (
+  SELECT q.item_id AS query_id, q.text AS question, r.*, round(coalesce(s, 0), 9) AS score FROM benchmark q JOIN win_rec r ON r.lecture_key = CAST(q.item_id % 10 AS VARCHAR)
+  LEFT JOIN (SELECT query_id, lecture_key, rec_id, sum(q.w * d.w) AS s FROM q_vec q JOIN win_vec d USING (b) WHERE d.lecture_key = CAST(query_id % 10 AS VARCHAR) GROUP BY ALL) x
+    ON x.query_id = q.item_id AND x.lecture_key = r.lecture_key AND x.rec_id = r.rec_id)) WHERE rank <= 10"""),
+    "leaf_hits": (["rec_score"], """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tree_path) AS rank FROM rec_score WHERE is_leaf)
+  WHERE rank <= 10"""),
+    "tree_ex": (["blocks"], """SELECT item_id AS example_id, lecture_key, [{'s': (item_id * 37 % n) * 10.0::DOUBLE, 'e': (item_id * 37 % n) * 10.0::DOUBLE + 25},
+  {'s': (item_id * 101 % n) * 10.0::DOUBLE + 3, 'e': (item_id * 101 % n) * 10.0::DOUBLE + 18}] AS ranges
+  FROM benchmark JOIN (SELECT lecture_key, count(*) AS n FROM blocks GROUP BY 1) ON lecture_key = CAST(item_id % 10 AS VARCHAR)"""),
     # --- segmentation of the embedding lectures against slides ---
     "bslides": (["blocks"], """SELECT lecture_key, row_number() OVER (PARTITION BY lecture_key ORDER BY i) - 1 AS slide_index, i * 10.0::DOUBLE + 5 AS "end"
   FROM blocks WHERE vec_id % 6 = 0"""),

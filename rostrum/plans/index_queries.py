@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as tx
 from rostrum.operators import bm25 as bm
 from rostrum.operators import context as cx
+from rostrum.operators import evaluation as ev
 from rostrum.operators import phrases as kp
+from rostrum.operators import report as rp
 from rostrum.operators import search as se
 from rostrum.operators import slides as sl
 from rostrum.operators import tree as tr
@@ -443,6 +445,55 @@ for _first in (False, True):
         return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "tree_path", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+_OVERLAP = """CASE WHEN ov <= 0 OR greatest(0, "end" - start) + greatest(0, e - s) - ov <= 0 THEN 0.0 ELSE ov / (greatest(0, "end" - start) + greatest(0, e - s) - ov) END"""
+_RETRIEVAL = _NODE_TEXT + f""", sc AS (SELECT nt.*, {_JAC.replace('@x@', 'nt.x')} AS s FROM nt JOIN benchmark q ON q.item_id = nt.query_id),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM sc),
+fo AS (SELECT query_id, 1::BIGINT AS r, [tree_path] AS kept FROM rr WHERE r = 1
+  UNION ALL SELECT h.query_id, h.r, CASE WHEN len(list_filter(f.kept, lambda k: starts_with(k, h.tree_path) OR starts_with(h.tree_path, k))) > 0
+    THEN f.kept ELSE list_append(f.kept, h.tree_path) END FROM fo f JOIN rr h ON h.query_id = f.query_id AND h.r = f.r + 1),
+fk AS (SELECT query_id, unnest(k) AS tree_path, unnest(range(1, len(k) + 1)) AS rank FROM (SELECT query_id, arg_max(kept, r) AS k FROM fo GROUP BY 1)),
+one AS (SELECT 'tree_summary' AS system, fk.query_id, fk.rank, h.start, h."end" FROM fk JOIN tree_hits h USING (query_id, tree_path) WHERE fk.rank <= 5
+  UNION ALL SELECT 'tree_leaf', query_id, r, start, "end" FROM (SELECT q.query_id, q.start, q."end", row_number() OVER (PARTITION BY q.query_id ORDER BY s DESC, rank) AS r FROM (
+    SELECT q.*, {_JAC.replace('q.text', 'q.question').replace('@x@', "('Segment:' || chr(10) || " + _SPOKEN.replace('@', 'q.text') + " || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>')")} AS s FROM leaf_hits q) q) WHERE r <= 5
+  UNION ALL SELECT 'token_windows', query_id, r, start, "end" FROM (SELECT q.query_id, q.start, q."end", row_number() OVER (PARTITION BY q.query_id ORDER BY s DESC, rank) AS r FROM (
+    SELECT q.*, {_JAC.replace('q.text', 'q.question').replace('@x@', "('Segment:' || chr(10) || q.text || chr(10) || chr(10) || 'Slide OCR:' || chr(10) || '<blank>')")} AS s FROM win_hits q) q) WHERE r <= 5),
+cand AS (SELECT 'tree_summary' AS system, lecture_key, tree_path AS id, start, "end" FROM tree_rec UNION ALL SELECT 'tree_leaf', lecture_key, tree_path, start, "end" FROM tree_rec WHERE is_leaf
+  UNION ALL SELECT 'token_windows', lecture_key, rec_id::VARCHAR, start, "end" FROM win_rec),
+hr AS (SELECT system, query_id, rank, max({_OVERLAP}) AS iou, min(CASE WHEN ov > 0 THEN 0.0 WHEN "end" < s THEN s - "end" ELSE start - e END) AS dist FROM (
+  SELECT *, greatest(0.0, least("end", e) - greatest(start, s)) AS ov FROM (SELECT one.*, unnest(ranges).s AS s, unnest(ranges).e AS e FROM one JOIN tree_ex ON example_id = query_id)) GROUP BY 1, 2, 3),
+cr AS (SELECT system, example_id, id, round_even(100 * max({_OVERLAP}), 0) AS g FROM (SELECT *, greatest(0.0, least("end", e) - greatest(start, s)) AS ov FROM (
+  SELECT c.*, example_id, unnest(ranges).s AS s, unnest(ranges).e AS e FROM cand c JOIN tree_ex USING (lecture_key))) GROUP BY 1, 2, 3),
+ro AS (SELECT *, row_number() OVER (PARTITION BY system, example_id ORDER BY g DESC) AS r FROM cr),
+idl AS (SELECT system, example_id, """ + ", ".join(f"sum(CASE WHEN r <= {k} THEN g / log2(r + 1) ELSE 0 END) AS i{k}" for k in (1, 3, 5)) + """ FROM ro GROUP BY 1, 2),
+me AS (SELECT s.system, x.example_id, """ + ", ".join(f"""coalesce(max(CASE WHEN rank <= {k} AND iou > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 0) AS recall{k}, avg(CASE WHEN rank <= {k} THEN dist END) AS dist{k},
+  coalesce(max(CASE WHEN rank <= {k} THEN iou END), 0) AS iou{k}, sum(CASE WHEN rank <= {k} THEN round_even(100 * iou, 0) / log2(rank + 1) ELSE 0 END) AS d{k}""" for k in (1, 3, 5)) + """
+  FROM tree_ex x CROSS JOIN (SELECT DISTINCT system FROM cand) s LEFT JOIN hr ON hr.system = s.system AND hr.query_id = x.example_id GROUP BY 1, 2),
+al AS (SELECT me.*, """ + ", ".join(f"CASE WHEN coalesce(i{k}, 0) > 0 THEN coalesce(d{k}, 0) / i{k} ELSE 0.0 END AS ndcg{k}" for k in (1, 3, 5)) + """
+  FROM me LEFT JOIN idl USING (system, example_id))
+"""
+
+
+def _retrieval(t: Tables):
+    leaves_only = t.tree_records.where("is_leaf")
+    systems = {"tree_leaf": (leaves_only, False), "tree_summary": (t.tree_records, True), "token_windows": (t.window_records, False)}
+    return ev.retrieval_scores(systems, t.tree_questions, t.tree_examples, first=10)
+
+
+@query("retrieval_scores", ctes("tree_hits", "leaf_hits", "win_hits", "tree_ex", body=_RETRIEVAL + "SELECT system, example_id, " + ", ".join(
+    f'recall{k} AS "recall@{k}", round(dist{k}, 6) AS "mean_temporal_distance@{k}", round(iou{k}, 6) AS "max_iou@{k}", round(ndcg{k}, 6) AS "ndcg@{k}"' for k in (1, 3, 5)) + " FROM al"))
+def _(t: Tables):
+    r = _retrieval(t)
+    return r.withColumns({c: F.round(F.nanvl(f"`{c}`", F.lit(None).cast("double")), 6) for c in r.columns if "@" in c and not c.startswith("recall")})
+
+
+@query("retrieval_evaluation", ctes("tree_hits", "leaf_hits", "win_hits", "tree_ex", body=_RETRIEVAL + "SELECT system, count(*) AS question_count, " + ", ".join(
+    f'round(avg(recall{k}), 6) AS "recall@{k}", round(avg(dist{k}), 6) AS "mean_temporal_distance@{k}", round(avg(iou{k}), 6) AS "max_iou@{k}", round(avg(ndcg{k}), 6) AS "ndcg@{k}"' for k in (1, 3, 5)) + " FROM al GROUP BY 1"))
+def _(t: Tables):
+    names = [f"{m}@{k}" for k in (1, 3, 5) for m in ("recall", "mean_temporal_distance", "max_iou", "ndcg")]
+    means = rp.system_means(_retrieval(t), names, skip_nan=True)
+    return means.withColumns({c: F.round(f"`{c}`", 6) for c in names})
+
+
 _HEAD = """'[' || h.rank || '] score=' || printf('%.3f', h.score) || ' ' || h.lecture_key || ' ' || CASE WHEN h.is_leaf THEN 'leaf' ELSE 'summary-node' END
   || ' depth=' || h.depth || ' path=' || h.tree_path || CASE WHEN h.is_leaf THEN ' seg=' || h.segment_id ELSE '' END
   || ' time=' || h.start::VARCHAR || '-' || h."end"::VARCHAR || 's'"""
