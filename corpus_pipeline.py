@@ -1,7 +1,8 @@
 """From documents to packed token windows: drop toxic texts and near copies, drop benchmark text, mask personal data, pack.
 
-All stages but the last return the columns of their input. Nulls in any column are kept;
-an empty table passes through empty.
+All stages but the last return the columns of their input. Stages decide on rows, not on ids: rows without an id
+and rows that repeat one are judged by their own text. A null text is empty, so it is kept until it is packed; nulls in
+other columns stay; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -24,9 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every group over shingles of five words."""
-    copies = stored(near_dups.near_duplicates(docs, size=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of every group over shingles of five words: that with the smallest id, ids before none.
+
+    Rows get a number of their own, which is written with them, so equal rows are told apart. Rows without words are
+    in no group, and all stay.
+    """
+    key = next(n for n in ("_row", *(f"_row{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = near_dups.near_duplicates(rows, size=5, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key))
+    ids = rows.select(key, "doc_id").join(groups, key).groupBy("component_id").agg(first.alias("f")).select(F.col("f")[key].alias(key))
+    return rows.join(stored(ids), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -430,3 +430,40 @@ def test_lexicon_does_not_depend_on_the_cap_of_the_sample(spark, monkeypatch):
     few, _ = toxicity.fit(docs, known)
     assert set(few) == set(whole) == {toxicity.folded("vilething")}
     assert toxicity.choose({" a ": 100}, {" a ": 60}, 100, 1000) and not toxicity.choose({" a ": 100}, {" a ": 60}, 100, 1000, 3.0)
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, masked string, _row int"
+
+
+def test_pipeline_stages_judge_rows(spark):
+    """Null and repeated ids, null and empty texts, columns named as those that the stages add."""
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    a, b = ([f"w{rnd.randrange(10**6)}" for _ in range(150)] for _ in range(2))
+    near = [*a[:-1], "changed"]
+    rows = [(1, a), (1, a), (None, near), (2, near), (3, None), (None, []), (5, b), (5, a), (None, None), (8, ["tiny"])]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t), None, "s", None, "r", None, "m", 7) for i, t in rows], PIPELINE).repartition(3)
+    want = sorted([" ".join(a), " ".join(b), "tiny", "", None, None], key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["near_duplicates"](spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    assert sorted((r.text for r in out.collect()), key=str) == want
+    assert [r.doc_id for r in out.collect() if r.text == " ".join(a)] == [1]
+    for name in ("toxicity", "benchmark_decontamination", "personal_data"):
+        out = stages[name](spark, docs, FOLDER)
+        assert out.columns == docs.columns and out.count() == len(rows)
+        assert sorted((r.text for r in out.collect()), key=str) == sorted((None if t is None else " ".join(t) for _, t in rows), key=str)
+        assert all((r.row, r.masked, r._row) == ("r", "m", 7) for r in out.collect())
+    pieces = stages["packing"](spark, docs, FOLDER).collect()
+    assert sum(p.start == 0 for p in pieces) == len(rows)
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], PIPELINE)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.count() == 0 and out.columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 0
