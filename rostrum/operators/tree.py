@@ -15,7 +15,7 @@ from rostrum.functions.text import BLANK, ordered_text, strip, word_tokens
 from rostrum.functions.vectors import add, dot, subtract, unit
 from rostrum.plans import ordered
 from rostrum.plans.ordered import (
-    Rows, ancestors, attach_per_key, has_long_key, map_sorted_groups, ordered_scan, pick, row_block,
+    Rows, ancestors, attach_per_key, deal, has_long_key, map_sorted_groups, ordered_scan, pick, row_block,
 )
 from rostrum.session import materialize
 
@@ -268,15 +268,19 @@ def node_rows(nodes: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def leaf_terms(nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """How often each term stands in each leaf, and what it weighs by how few leaves of the lecture hold it."""
+    """How often each term stands in each leaf."""
     cut = nodes.where("is_leaf").select(*KEY, F.col("path").alias("leaf"), "lo", "hi")
     total = cut.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_leaves"))
     at = cut.join(total, KEY).select(*KEY, "leaf", "n_leaves", F.explode(F.sequence("lo", "hi")).alias("idx"))
-    said = at.join(entries.select(*KEY, "idx", "composite"), [*KEY, "idx"])
+    said = deal(at.join(entries.select(*KEY, "idx", "composite"), [*KEY, "idx"]))
     toks = said.select(*KEY, "leaf", "n_leaves", F.explode(word_tokens("composite")).alias("term")).where(F.length("term") >= 3)
-    tf = toks.groupBy(*KEY, "leaf", "n_leaves", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return toks.groupBy(*KEY, "leaf", "n_leaves", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def weighed_terms(counts: DataFrame) -> DataFrame:
+    """The same with what each term weighs by how few leaves of its lecture hold it."""
     idf = F.log((F.max("n_leaves") + 1) / (F.count(F.lit(1)) + 1)) + 1
-    return tf.drop("n_leaves").join(tf.groupBy(*KEY, "term").agg(idf.alias("idf")), [*KEY, "term"])
+    return counts.drop("n_leaves").join(counts.groupBy(*KEY, "term").agg(idf.alias("idf")), [*KEY, "term"])
 
 
 def _best_terms(terms: int) -> Callable[[Rows], Rows]:
@@ -332,9 +336,9 @@ def key_terms(nodes: DataFrame, entries: DataFrame, *, terms: int = SUMMARY_TERM
     long = counts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (local_rows or LOCAL_TERM_ROWS)).select(*KEY)
     large = long.limit(1).count() > 0
     small = counts.join(long, KEY, "left_anti") if large else counts
-    best = map_sorted_groups(small, KEY, ["leaf"], _best_terms(terms), "lecture_key string, path string, content string")
+    best = map_sorted_groups(weighed_terms(small), KEY, ["leaf"], _best_terms(terms), "lecture_key string, path string, content string")
     if large:
-        best = best.unionByName(_summed_terms(counts.join(long, KEY, "left_semi"), terms))
+        best = best.unionByName(_summed_terms(weighed_terms(counts.join(long, KEY, "left_semi")), terms))
     return inner.join(best, [*KEY, "path"], "left").withColumn("content", F.coalesce("content", F.lit(BLANK)))
 
 
@@ -390,12 +394,13 @@ def _with_summaries(shape: DataFrame, entries: DataFrame, summaries: DataFrame |
     ``node_rows`` gives the text of any node on demand. Counts and times of an inner node come from the
     first and the last entry of its range, so no text and no row per entry moves to an ancestor.
     """
-    leaf = node_rows(shape.where("is_leaf"), entries).withColumnRenamed("text", "raw_text")
+    leaf = node_rows(leaves(shape), entries).withColumnRenamed("text", "raw_text")
     inner = shape.where(~F.col("is_leaf"))
     times = entries.select(*KEY, "idx", "start", "end")
     inner = (inner.join(times.select(*KEY, F.col("idx").alias("lo"), "start"), [*KEY, "lo"])
              .join(times.select(*KEY, F.col("idx").alias("hi"), "end"), [*KEY, "hi"])
-             .withColumns({"n_utterances": F.col("hi") - F.col("lo") + 1, "raw_text": F.lit(None).cast("string")}))
+             .withColumns({"n_utterances": F.col("hi") - F.col("lo") + 1, "raw_text": F.lit(None).cast("string"),
+                           "segment_id": F.lit(None).cast("long")}))
     out = leaf.unionByName(inner.select(*leaf.columns)).join(descendant_leaves(shape), [*KEY, "path"])
     if summaries is None:
         return out.withColumn("summary_text", F.lit(None).cast("string"))
@@ -403,10 +408,8 @@ def _with_summaries(shape: DataFrame, entries: DataFrame, summaries: DataFrame |
 
 
 def tree_records(rolled: DataFrame) -> DataFrame:
-    """Searchable records of a rolled-up tree; leaves are numbered left to right."""
-    numbers = leaves(rolled).select(*KEY, "path", "segment_id")
-    rec = rolled.join(numbers, [*KEY, "path"], "left")
-    return rec.select(
+    """Searchable records of a rolled-up tree; its leaves are numbered left to right."""
+    return rolled.select(
         *KEY, F.lit("summary_tree").alias("index_kind"), F.col("path").alias("tree_path"), "segment_id", "is_leaf", "depth",
         F.col("lo").alias("utterance_start"), F.col("hi").alias("utterance_end"), "n_utterances", "start", "end",
         F.when(F.col("is_leaf"), F.col("raw_text")).otherwise(F.col("summary_text")).alias("text"),
