@@ -135,10 +135,6 @@ def token_count(x: str | Column) -> Column:
     return F.size(text_tokens(x)).cast("long")
 
 
-def decode_tokens(tokens: Column) -> Column:
-    return F.array_join(tokens, " ")
-
-
 def ocr_terms(x: str | Column, *, min_len: int = 2) -> Column:
     """Set of lower-case ASCII terms of slide text, short ones dropped."""
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

@@ -15,8 +15,7 @@ from rostrum.functions.times import clock, strip_key
 from rostrum.operators.metrics import min_gap_boundaries
 from rostrum.plans.ordered import Rows, Step, ordered_fold, ordered_scan, pick
 
-# Word classes kept as text, and classes glued to their neighbours.
-PLAIN_CLASSES = ("W", "TRUNCW", "ABBR", "LET", "CD")
+# Word classes glued to their neighbours, and quotes.
 NO_LEFT_SPACE = ("CM", ".", "APOSS")
 QUOTES = ("LQUOTE", "RQUOTE", "QUOTE")
 SENTENCE_END = r"[.!?]$"

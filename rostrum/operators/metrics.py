@@ -335,12 +335,3 @@ def min_gap_boundaries(positions: DataFrame, *, min_size: int = 5, keys: list[st
         return str(exits[-1 if state is None else min(first - int(state), min_size) - 1])
 
     return ordered_fold(positions.select(*keys, "i"), keys, "i", fold, schema, step=Step(make, apply))
-
-
-def flags_from_positions(sizes: DataFrame, positions: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Dense 0/1 flags of each lecture (``n`` rows) from its boundary positions."""
-    keys = keys or KEY
-    every = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    return every.join(positions.select(*keys, "i").withColumn(name, F.lit(1)), [*keys, "i"], "left").fillna(0, [name])
-
-

@@ -529,6 +529,16 @@ def _(t: Tables):
     return _with_evidence(t).select("query_id", F.col("rank").cast("long").alias("rank"), F.md5(cx.tree_transcript_block()).alias("block_md5"))
 
 
+@query("leaf_transcript_blocks", ctes("tree_hits", body=r"""SELECT query_id, rank, md5(hd || chr(10) || 'Transcript:' || chr(10) || tx) AS block_md5,
+  md5(hd || chr(10) || 'Transcript:' || chr(10) || tx || chr(10) || 'Slide OCR:' || chr(10) || '<blank>') AS with_slide_md5 FROM (
+  SELECT *, '[' || rank || '] seg=' || segment_id || ' time=' || printf('%.2f', start) || '-' || printf('%.2f', "end") || 's' AS hd,
+    coalesce(nullif(trim(regexp_replace(text, '@WS@+', ' ', 'g')), ''), '<blank>') AS tx FROM tree_hits WHERE is_leaf)"""))
+def _(t: Tables):
+    return _tree_hits(t).where("is_leaf").select(
+        "query_id", F.col("rank").cast("long").alias("rank"), F.md5(cx.transcript_block()).alias("block_md5"),
+        F.md5(cx.transcript_block(include_ocr=True)).alias("with_slide_md5"))
+
+
 @query("context_texts", ctes("tree_hits", body=_SUPPORT + r""", x AS (SELECT query_id, rank, 0 AS j, CASE WHEN is_leaf THEN trim(regexp_replace(text, '@WS@+', ' ', 'g')) ELSE rtrim(summary_text) END AS s FROM tree_hits
   UNION ALL SELECT u.query_id, h.rank, u.support_rank, trim(regexp_replace(u.text, '@WS@+', ' ', 'g')) FROM su u JOIN tree_hits h ON h.query_id = u.query_id AND h.tree_path = u.node)
 SELECT query_id, count(*) AS n_texts, md5(string_agg(s, '|' ORDER BY rank, j)) AS texts_md5 FROM x WHERE s <> '' GROUP BY 1"""))
