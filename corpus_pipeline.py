@@ -27,15 +27,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of every group over shingles of five words: that with the smallest id, ids before none.
 
-    Rows get a number of their own, which is written with them, so equal rows are told apart. Rows without words are
-    in no group, and all stay.
+    The first row of an id goes by it; rows that repeat an id, or have none, go by a number beyond all ids that is
+    written with the rows. Rows without words are in no group, and all stay.
     """
     key = next(n for n in ("_row", *(f"_row{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
     rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
-    groups = near_dups.near_duplicates(rows, size=5, id_col=key).select(F.col("doc_id").alias(key), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key))
-    ids = rows.select(key, "doc_id").join(groups, key).groupBy("component_id").agg(first.alias("f")).select(F.col("f")[key].alias(key))
-    return rows.join(stored(ids), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = rows.where(F.col("doc_id").isNotNull()).select("doc_id", key)
+    several = ids.groupBy("doc_id").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1 OR doc_id >= 1L << 62")
+    later = stored(ids.join(several, "doc_id").where((F.col(key) != F.col("_first")) | (F.col("doc_id") >= 1 << 62)).select(key, F.lit(True).alias("_later")))
+    own = F.when(F.col("doc_id").isNull() | F.col("_later"), F.col(key) + (1 << 62)).otherwise(F.col("doc_id"))
+    marked = rows.join(later, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], own.alias(key))
+    copies = stored(near_dups.near_duplicates(marked, size=5, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key)))
+    return marked.join(copies, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
