@@ -22,3 +22,21 @@ def test_key_ranges_beyond_a_million_equal_their_sql(spark, tmp_path):
     name = "expanded_key_ranges"
     rows, _, bad, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
     assert bad is None and rows > 1000
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_phrases_shuffle_nothing_and_do_not_depend_on_chunks(spark, monkeypatch):
+    from rostrum.operators import phrases as kp
+
+    rnd = random.Random(3)
+    vocabulary = ["of", "the", "Graph", "graphs", "graphed", "NODE", "node", "tree", "wide", "x1", "Ärger", "naïve"]
+    texts = [(i, ". ".join(" ".join(rnd.choices(vocabulary, k=rnd.randrange(9))) for _ in range(rnd.randrange(7)))) for i in range(120)]
+    df = spark.createDataFrame([*texts, (900, None), (901, "...")], "doc_id long, text string")
+    assert "Exchange" not in plan_of(kp.key_phrases(df, ["doc_id"]))
+    whole = sorted(map(tuple, kp.key_phrases(df, ["doc_id"]).collect()))
+    monkeypatch.setattr(kp, "CHUNK_WORDS", 10)
+    assert sorted(map(tuple, kp.key_phrases(df, ["doc_id"]).collect())) == whole
+    assert len({r[0] for r in whole}) > 80 and not {900, 901} & {r[0] for r in whole}
