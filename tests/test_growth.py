@@ -1,6 +1,6 @@
 """What shows only on larger tables: keys beyond a million, work that must not grow faster than its input."""
 
-import os
+import math
 import random
 
 import duckdb
@@ -40,3 +40,70 @@ def test_key_phrases_shuffle_nothing_and_do_not_depend_on_chunks(spark, monkeypa
     monkeypatch.setattr(kp, "CHUNK_WORDS", 10)
     assert sorted(map(tuple, kp.key_phrases(df, ["doc_id"]).collect())) == whole
     assert len({r[0] for r in whole}) > 80 and not {900, 901} & {r[0] for r in whole}
+
+
+@pytest.fixture(scope="module")
+def lecture(spark):
+    """One lecture whose tree leans: blocks, entries and nodes."""
+    from rostrum.operators import tree as tr
+
+    rnd = random.Random(8)
+    blocks = spark.createDataFrame([("a", i, [rnd.gauss(i ** 0.5, 1.0), rnd.gauss(0.0, 1.0)]) for i in range(150)],
+                                   "lecture_key string, i long, embedding array<double>")
+    words = [f"word{i}" for i in range(80)]
+    entries = spark.createDataFrame([("a", i, float(i), i + 1.0, " ".join(rnd.choices(words, k=i % 13))) for i in range(150)],
+                                    "lecture_key string, idx long, start double, end double, composite string")
+    return tr.segment_tree(blocks).cache(), entries.cache()
+
+
+def test_terms_of_a_long_lecture_make_no_row_per_ancestor(spark, lecture, monkeypatch):
+    from rostrum.operators import tree as tr
+
+    nodes, entries = lecture
+    want = {r.path: r.content for r in tr.key_terms(nodes, entries, terms=4).collect()}
+    rows = [(r.path, r.content) for r in tr.key_terms(nodes, entries, terms=4).collect()]
+
+    def never(path):
+        raise AssertionError("a row per ancestor")
+
+    monkeypatch.setattr(tr, "ancestors", never)
+    assert {r.path: r.content for r in tr.key_terms(nodes, entries, terms=4, local_rows=40).collect()} == want
+    terms = {(r.leaf, r.term): r.tf for r in tr.leaf_terms(nodes, entries).collect()}
+    leaves, n_leaves = {leaf for leaf, _ in terms}, nodes.where("is_leaf").count()
+    for path, content in rows:
+        tf = {}
+        for (leaf, term), n in terms.items():
+            if leaf.startswith(path):
+                tf[term] = tf.get(term, 0) + n
+        idf = {t: math.log((n_leaves + 1) / (sum((leaf, t) in terms for leaf in leaves) + 1)) + 1 for t in tf}
+        assert content == " ".join(sorted(tf, key=lambda t: (-round(tf[t] * idf[t], 6), t))[:4])
+
+
+def test_evidence_is_ranked_without_its_texts(spark, lecture):
+    from rostrum.operators import search as se
+    from rostrum.operators import tree as tr
+
+    records = tr.hashed_embedding(tr.tree_records(tr.tree_rollup(*lecture))).cache()
+    queries = tr.hashed_embedding(spark.createDataFrame([(q, "a", f"word{q} word{q + 9}") for q in range(6)],
+                                                        "query_id long, lecture_key string, question string"), "question")
+    hits = queries.select("query_id", "lecture_key").join(records.drop("embedding"), "lecture_key").withColumn("rank", F.lit(1))
+    got = se.expand_supporting_leaves(hits, records, queries)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(i for i, x in enumerate(plan) if "Window [row_number" in x)
+    depth = len(plan[top]) - len(plan[top].lstrip(" :+-"))
+    below = []
+    for x in plan[top + 1:]:
+        if len(x) - len(x.lstrip(" :+-")) <= depth:
+            break
+        below.append(x)
+    assert below and not any(x.lstrip(" :+-").startswith("Project") and " text#" in x for x in below)
+
+    # Brute force over the lists of leaves that the records hold.
+    table = {r.tree_path: r for r in records.collect()}
+    asked = {r.query_id: r.embedding for r in queries.collect()}
+    for r in got.select("query_id", "tree_path", "is_leaf", "descendant_leaf_tree_paths", "supporting_leaves").collect():
+        score = lambda p: round(sum(x * y for x, y in zip(asked[r.query_id], table[p].embedding)), 9)  # noqa: B023, E731
+        want = [] if r.is_leaf else sorted(r.descendant_leaf_tree_paths, key=lambda p: (-score(p), p))[:3]
+        assert [x.tree_path for x in r.supporting_leaves] == want
+        assert all(x.text == table[x.tree_path].text for x in r.supporting_leaves)
+    records.unpersist()
