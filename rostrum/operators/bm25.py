@@ -10,10 +10,15 @@ looked up for the records that other terms have found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rostrum.functions.text import word_tokens
 from rostrum.session import materialize
@@ -21,6 +26,8 @@ from rostrum.session import materialize
 # The usual saturation and length parameters.
 K1, B = 1.2, 0.75
 PLACES = 9
+#: Words and scopes, and terms of queries, that are sent to the postings: at most so many rows (some 10 MB).
+MEMORY_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -37,25 +44,70 @@ def _scope(scoped: bool) -> Column:
     return F.col("lecture_key") if scoped else F.lit("")
 
 
-def build_index(records: DataFrame, *, text: str = "text", scoped: bool = False, k: int = 10, k1: float = K1, b: float = B) -> Index:
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """Marked as sent to all tasks if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``scope, rec_id, len, term, tf`` from ``scope, rec_id`` and the words of a record, counted within its row."""
+    kinds = docs.schema
+    out = T.StructType([T.StructField("scope", kinds["scope"].dataType), T.StructField("rec_id", kinds["rec_id"].dataType),
+                        T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            if not size.sum():
+                continue
+            coded = lists.flatten().dictionary_encode()
+            n = len(coded.dictionary)
+            pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * n + np.asarray(coded.indices), return_counts=True)
+            row = pair // n
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(size[row], arrow.field("len").type),
+                 coded.dictionary.take(pa.array(pair % n)), pa.array(tf, arrow.field("tf").type)], schema=arrow)
+
+    return docs.mapInArrow(run, out)
+
+
+def asked_words(queries: DataFrame, question: str = "question") -> DataFrame:
+    return queries.select(F.explode(word_tokens(question)).alias("term")).distinct()
+
+
+def build_index(
+    records: DataFrame, *, text: str = "text", scoped: bool = False, k: int = 10, k1: float = K1, b: float = B, words: DataFrame | None = None
+) -> Index:
     """Index of ``lecture_key, rec_id`` and a text; with ``scoped`` every lecture has its own statistics.
 
     Records without words count as records, but are never found. Null texts are empty, null lectures in no scope.
+    ``words`` (``term``) names the words that will be asked for, see ``asked_words``: others get no postings, though
+    they count in the length of their records. The words of a record are counted within its row; counts are only
+    brought together where an id repeats.
     """
     docs = records.select(_scope(scoped).alias("scope"), "rec_id", word_tokens(text).alias("_w")).where("scope IS NOT NULL")
-    sizes = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("mean"))
-    tf = docs.select("scope", "rec_id", F.size("_w").alias("len"), F.explode("_w").alias("term"))
-    tf = tf.groupBy("scope", "rec_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).join(sizes, "scope")
+    lengths = materialize(docs.select("scope", "rec_id", F.size("_w").alias("len")))
+    sizes = materialize(lengths.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")))
+    sizes = _sent(sizes, MEMORY_ROWS)
+    tf = _counted(docs)
+    if words is not None:
+        tf = tf.join(_sent(words.select("term").distinct(), MEMORY_ROWS), "term", "left_semi")
+    if lengths.groupBy("scope", "rec_id", "len").count().where("count > 1").limit(1).count():
+        tf = tf.groupBy("scope", "rec_id", "len", "term").agg(F.sum("tf").alias("tf"))
+    tf = tf.join(sizes, "scope")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    rows = materialize(tf.select("scope", "term", "rec_id", "n", weight.alias("weight")))
-    idf = F.log(1 + (F.first("n") - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5))
-    by_term = rows.groupBy("scope", "term").agg(idf.alias("idf"), F.max("weight").alias("most"))
+    rows = materialize(tf.select("scope", "term", "rec_id", weight.alias("weight")))
+    by_term = rows.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("_df"), F.max("weight").alias("most")).join(sizes, "scope")
+    idf = F.log(1 + (F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    by_term = by_term.select("scope", "term", idf.alias("idf"), "most")
     order = F.row_number().over(Window.partitionBy("scope", "term").orderBy(F.desc("weight")))
     kth = rows.select("scope", "term", "weight").withColumn("_r", order).where(F.col("_r") <= k).groupBy("scope", "term").agg(
         F.min(F.when(F.col("_r") == k, F.col("weight"))).alias("kth"))
     terms = by_term.join(kth, ["scope", "term"]).select(
         "scope", "term", "idf", (F.col("idf") * F.col("most")).alias("most"), F.coalesce(F.col("idf") * F.col("kth"), F.lit(0.0)).alias("floor"))
-    return Index(rows.drop("n"), materialize(terms), scoped, k)
+    return Index(rows, materialize(terms), scoped, k)
 
 
 def query_terms(index: Index, queries: DataFrame, question: str = "question") -> DataFrame:
@@ -74,8 +126,9 @@ def query_terms(index: Index, queries: DataFrame, question: str = "question") ->
 
 def score_pairs(index: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score that ``terms`` (``query_id, scope, term, idf``) give the records of ``query_id, scope, rec_id``, where above 0."""
+    some = _sent(terms.select("scope", "term").distinct(), MEMORY_ROWS)
     wanted = pairs.join(terms.select("query_id", "scope", "term", "idf"), ["query_id", "scope"])
-    found = wanted.join(index.postings, ["scope", "term", "rec_id"])
+    found = wanted.join(index.postings.join(some, ["scope", "term"], "left_semi"), ["scope", "term", "rec_id"])
     return found.groupBy("query_id", "scope", "rec_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("part"))
 
 
@@ -88,7 +141,9 @@ def search(index: Index, queries: DataFrame, *, question: str = "question", top_
     if top_k > index.k:
         raise ValueError(f"the index was built for {index.k} results")
     terms = materialize(query_terms(index, queries, question))
-    first = terms.where("essential").select("query_id", "scope", "term", "idf", "_floor").join(index.postings, ["scope", "term"])
+    asked = _sent(terms.where("essential").select("query_id", "scope", "term", "idf", "_floor"), MEMORY_ROWS)
+    # The postings of a record come from one task, so most of its sum is made before the shuffle.
+    first = index.postings.join(asked, ["scope", "term"])
     first = first.groupBy("query_id", "scope", "rec_id", "_floor").agg(F.sum(F.col("idf") * F.col("weight")).alias("part"))
     rest = terms.where("NOT essential").groupBy("query_id", "scope").agg(F.sum("most").alias("_rest"))
     likely = first.join(rest, ["query_id", "scope"], "left").where(

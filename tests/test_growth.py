@@ -107,3 +107,26 @@ def test_evidence_is_ranked_without_its_texts(spark, lecture):
         assert [x.tree_path for x in r.supporting_leaves] == want
         assert all(x.text == table[x.tree_path].text for x in r.supporting_leaves)
     records.unpersist()
+
+
+def test_bm25_counts_within_rows_and_keeps_asked_words(spark):
+    from rostrum.operators import bm25
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = [("a", i, " ".join(rnd.choices(words, k=rnd.randrange(30)))) for i in range(90)]
+    docs += [("a", 7, docs[7][2]), ("b", 7, "w1 w1 w2"), ("a", 500, None), (None, 501, "w1")]
+    asked = spark.createDataFrame([(q, "a", " ".join(rnd.sample(words[:12], 3))) for q in range(12)], "query_id long, lecture_key string, question string")
+    records = spark.createDataFrame(docs, "lecture_key string, rec_id long, text string")
+    listed = records.select(F.lit("").alias("scope"), "rec_id", F.split("text", " ").alias("_w"))
+    assert "Exchange" not in plan_of(bm25._counted(listed))
+    known = bm25.asked_words(asked)
+    for scoped in (False, True):
+        whole, part = (bm25.build_index(records, scoped=scoped, k=4, words=w) for w in (None, known))
+        found = [sorted(map(tuple, bm25.search(x, asked).collect())) for x in (whole, part)]
+        assert found[0] == found[1] and len(found[0]) == 48
+        assert {r.term for r in part.postings.collect()} <= {r.term for r in known.collect()}
+        assert part.postings.count() < whole.postings.count()
+    # An id that repeats with one text counts as one record of twice the words, as in the SQL.
+    twice = whole.postings.where("scope = 'a' AND rec_id = 7").count()
+    assert twice == len(set(docs[7][2].split()))
