@@ -189,7 +189,7 @@ SELECT lecture_key, count(*) AS n_trials, round(avg(wd), 6) AS wd_mean, round(st
   round(stddev_pop(pk), 6) AS pk_std FROM wd GROUP BY 1"""))
 def _(t: Tables):
     draws = mt.random_boundaries(t.sizes, trials=TRIALS).withColumn("hyp", F.lit(1))
-    every = t.boundary_flags.select("lecture_key", "i", "ref").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
+    every = t.refs.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
     flags = every.join(draws, ["lecture_key", "trial", "i"], "left").fillna(0, ["hyp"])
     # A trial has one row per utterance, and a lecture no more utterances than words.
     errors = mt.boundary_errors(flags, keys=["lecture_key", "trial"], long=has_long_key(t.words, ["lecture_key"]))

@@ -130,3 +130,8 @@ def test_bm25_counts_within_rows_and_keeps_asked_words(spark):
     # An id that repeats with one text counts as one record of twice the words, as in the SQL.
     twice = whole.postings.where("scope = 'a' AND rec_id = 7").count()
     assert twice == len(set(docs[7][2].split()))
+
+
+def test_random_trials_start_from_stored_flags(spark):
+    plan = plan_of(entry.queries()["random_boundary_trials"](spark, SMALL))
+    assert plan.count("Exchange") <= 12 and "parquet" not in plan.lower()
