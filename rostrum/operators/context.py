@@ -109,7 +109,8 @@ def build_context(hits: DataFrame, block: Column, *, max_chars: int | None = MAX
     characters of separator; the sum only grows, so the first block that does not fit ends
     the context. A query has no more blocks than the hits kept for it.
     """
-    rows = hits.withColumn("_b", block).where(F.col("_b") != "")
+    # Exploding a one-element array keeps a block from being made once per use.
+    rows = hits.withColumn("_b", F.explode(F.array(block))).where(F.col("_b") != "")
     so_far = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_used", F.sum(F.length("_b") + 2).over(so_far) - 2)
     if max_chars is not None:

@@ -135,3 +135,82 @@ def test_bm25_counts_within_rows_and_keeps_asked_words(spark):
 def test_random_trials_start_from_stored_flags(spark):
     plan = plan_of(entry.queries()["random_boundary_trials"](spark, SMALL))
     assert plan.count("Exchange") <= 12 and "parquet" not in plan.lower()
+
+
+def test_a_group_of_many_batches_is_joined_once(monkeypatch):
+    import pandas as pd
+
+    from rostrum.plans import ordered
+
+    class Plain:
+        """The batches of one task; what Spark does before is left out."""
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    copied, plain = [], pd.concat
+    monkeypatch.setattr(ordered.pd, "concat", lambda parts, **kw: copied.append(sum(map(len, parts))) or plain(parts, **kw))
+    seen = []
+    run = ordered.map_sorted_groups(Plain(), ["k"], ["i"], lambda r: seen.append((r["k"][0], r["i"].tolist())) or {"k": r["k"][:1]}, "k string")
+    rows = [("a", i) for i in range(7)] + [("b", i) for i in range(2000)] + [("c", 0), ("d", 0), ("d", 1)]
+    batches = [pd.DataFrame(rows[at:at + 10], columns=["k", "i"]) for at in range(0, len(rows), 10)]
+    got = [k for df in run([batches[0].iloc[:0], *batches]) for k in df["k"]]
+    assert got == ["a", "b", "c", "d"] and [(k, len(i)) for k, i in seen] == [("a", 7), ("b", 2000), ("c", 1), ("d", 2)]
+    assert all(i == list(range(len(i))) for _, i in seen)
+    assert sum(copied) <= len(rows)
+
+
+def test_terms_of_a_deep_tree_score_what_rises(monkeypatch):
+    import numpy as np
+
+    from rostrum.operators import tree as tr
+
+    n = 300  # the tree takes off one leaf after the other
+    leaves = ["*" + "R" * i + "L" for i in range(n - 1)] + ["*" + "R" * (n - 1)]
+    tables = [{f"t{i}{j}": 1 + j % 3 for j in range(20)} | {"all": 2, f"some{i % 7}": 3} for i in range(n)]
+    terms = [(leaf, t, k) for leaf, table in zip(leaves, tables) for t, k in sorted(table.items())]
+    scored, plain = [], np.round
+    monkeypatch.setattr(tr.np, "round", lambda x, d: scored.append(len(x)) or plain(x, d))
+    rows = {"lecture_key": np.array(["a"] * n), "leaf": np.array(leaves, dtype=object), "n_leaves": np.full(n, n)}
+    for name in ("terms", "tf"):
+        rows[name] = np.empty(n, dtype=object)
+        rows[name][:] = [np.array([(t, k)[name == "tf"] for x, t, k in terms if x == leaf]) for leaf in leaves]
+    out = tr._best_terms(4)(rows)
+    df = {t: sum(t in table for table in tables) for table in tables for t in table}
+    for path, got in list(zip(out["path"], out["terms"]))[::37]:
+        tf = {}
+        for leaf, table in zip(leaves, tables):
+            for t, k in table.items() if leaf.startswith(path) else ():
+                tf[t] = tf.get(t, 0) + k
+        score = {t: plain(tf[t] * (math.log((n + 1) / (df[t] + 1)) + 1), 6) for t in tf}
+        assert got == sorted(tf, key=lambda t: (-score[t], t))[:4]
+    assert len(out["path"]) == n - 1 and sum(scored) <= 4 * len(terms)
+
+
+def test_leaf_words_are_counted_where_their_text_is(spark, lecture):
+    from rostrum.operators import tree as tr
+
+    leaf = tr._leaf_texts(*lecture).localCheckpoint()
+    assert "Exchange" not in plan_of(tr._leaf_counts(leaf))
+    assert "md5(" not in plan_of(tr.hashed_embedding(leaf))
+
+
+def test_only_texts_of_hits_are_moved(spark):
+    from rostrum.operators import search as se
+
+    records = spark.createDataFrame([("a", i, f"text {i}", [1.0, float(i)]) for i in range(50)],
+                                    "lecture_key string, rec_id long, text string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "a", [0.0, 1.0])], "query_id long, lecture_key string, embedding array<double>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = se.with_payload(se.knn_search(queries, records, top_k=2), records)
+        assert "SortMergeJoin" not in plan_of(hits)
+        assert sorted(r.text for r in hits.collect()) == ["text 48", "text 49"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
