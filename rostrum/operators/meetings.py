@@ -109,18 +109,18 @@ def words_in_ranges(ranges: DataFrame, words: DataFrame) -> DataFrame:
     return each.drop("_from", "_to").join(words.drop("word_key"), [*KEYS, "pos"]).where(F.col("text").isNotNull())
 
 
-def join_spaced(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Text of each group with a space only where both neighbours allow one."""
-    scan = ordered_scan(rows, keys, "pos", lags={"_r": (F.col("rspace"), False)})
+def join_spaced(rows: DataFrame, keys: list[str], *, long: bool | None = None) -> DataFrame:
+    """Text of each group with a space only where both neighbours allow one. ``long`` passes on what is known about the keys."""
+    scan = ordered_scan(rows, keys, "pos", long=long, lags={"_r": (F.col("rspace"), False)})
     piece = F.concat(F.when(F.col("_r") & F.col("lspace"), F.lit(" ")).otherwise(F.lit("")), "text")
     return scan.withColumn("_p", piece).groupBy(*keys).agg(
         ordered_text("_p", "", "pos").alias("text"), F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"))
 
 
-def split_sentences(rows: DataFrame, keys: list[str]) -> DataFrame:
+def split_sentences(rows: DataFrame, keys: list[str], *, long: bool | None = None) -> DataFrame:
     """Number the sentences of each group; one ends with the word that ends in ``. ! ?``."""
     ends = F.col("text").rlike(SENTENCE_END).cast("int")
-    scan = ordered_scan(rows.withColumn("_e", ends), keys, "pos", running={"_n": ("sum", F.col("_e"))})
+    scan = ordered_scan(rows.withColumn("_e", ends), keys, "pos", long=long, running={"_n": ("sum", F.col("_e"))})
     return scan.withColumn("sentence", F.col("_n") - F.col("_e")).drop("_n", "_e")
 
 
