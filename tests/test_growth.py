@@ -214,3 +214,32 @@ def test_only_texts_of_hits_are_moved(spark):
         assert sorted(r.text for r in hits.collect()) == ["text 48", "text 49"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_packing_finds_tokens_once_and_sentences_are_split_once(spark, monkeypatch):
+    from rostrum.operators import chunks as ck
+    from rostrum.operators import meetings as me
+    from rostrum.plans import ordered
+
+    units = spark.createDataFrame([("a", i, f"w{i} x . y", float(i), i + 1.0, None) for i in range(40)],
+                                  "lecture_key string, idx long, text string, start double, end double, slide_index long")
+    got = ck.pack_units(units, size=7)
+    assert "regexp_extract_all" not in plan_of(got)
+    assert sum(r.token_count for r in got.collect()) == 40 * 5  # a no-break space that nobody cleaned is a mark
+    words = spark.createDataFrame([("m", i, w, float(i), i + 1.0) for i, w in enumerate(["One", "two", ".", "Three", "!"])],
+                                  "meeting string, pos long, text string, start double, end double")
+    asked = []
+    monkeypatch.setattr(ordered, "has_long_key", lambda df, keys: asked.append(list(keys)) or False)
+    parts = me.split_sentences(me.space_plain_words(words), ["meeting"], long=False)
+    said = me.join_spaced(parts, ["meeting", "sentence"], long=False)
+    assert sorted(r.text for r in said.collect()) == ["One two.", "Three!"] and not asked
+
+
+def test_plain_words_are_tokens_without_a_search(spark):
+    from rostrum.operators import chunks as ck
+
+    said = ["Plain", "x_1", "it's", " ", "", None, " A b ", "Ärger", "plain\n", "a b"]
+    words = spark.createDataFrame([("a", i, w, float(i), i + 1.0) for i, w in enumerate(said)],
+                                  "lecture_key string, ord long, word string, start double, end double")
+    got = ck.token_windows(words, size=50).first()
+    assert got.text == "plain x_1 it ' s a b ärger plain a b" and got.token_count == 11 and got.source_item_end == 6
