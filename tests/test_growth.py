@@ -243,3 +243,34 @@ def test_plain_words_are_tokens_without_a_search(spark):
                                   "lecture_key string, ord long, word string, start double, end double")
     got = ck.token_windows(words, size=50).first()
     assert got.text == "plain x_1 it ' s a b ärger plain a b" and got.token_count == 11 and got.source_item_end == 6
+
+
+def test_keyword_profile_moves_no_row_per_text_and_term(spark, monkeypatch):
+    from rostrum.operators import tree as tr
+
+    rnd = random.Random(6)
+    words = [f"word{i}" for i in range(30)] + ["ab", "Ärger"]
+    texts = [(i % 55, " ".join(rnd.choices(words, k=rnd.randrange(40)))) for i in range(60)] + [(70, None), (71, "lone")]
+    want = []
+    for key in {k for k, _ in texts}:
+        tf = {}
+        for k, text in texts:
+            for w in (text or "").lower().split() if k == key else ():
+                tf[w] = tf.get(w, 0) + (len(w) >= 3)
+        want.append((key, {w: n for w, n in tf.items() if n}))
+    df = {w: sum(w in tf for _, tf in want) for _, tf in want for w in tf}
+    best = set()
+    for key, tf in want:
+        score = {w: round(n * (math.log((len(texts) + 1) / (df[w] + 1)) + 1), 6) for w, n in tf.items()}
+        best |= {(key, r, w, tf[w], df[w]) for r, w in enumerate(sorted(tf, key=lambda w: (-score[w], w))[:5], 1)}
+    table = spark.createDataFrame(texts, "k long, text string")
+    for known in (0, 9, 1 << 17):
+        monkeypatch.setattr(tr, "KNOWN_TERMS", known)
+        assert {(r.k, r.rank, r.term, r.tf, r.df) for r in tr.keyword_profile(table, ["k"]).collect()} == best
+    once = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "k long, text string")
+    pairs = tr.counted_words(once, "text", ["k"]).selectExpr("sum(size(terms))").first()[0]
+    plan = tr.keyword_profile(once, ["k"])
+    kept, plain = [], tr.attach_per_key
+    monkeypatch.setattr(tr, "attach_per_key", lambda df, *a, **k: kept.append(df.count()) or plain(df, *a, **k))
+    tr.keyword_profile(once, ["k"])
+    assert kept[0] < pairs / 2 and plan.count() <= 5 * len(texts)
