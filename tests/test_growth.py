@@ -274,3 +274,27 @@ def test_keyword_profile_moves_no_row_per_text_and_term(spark, monkeypatch):
     monkeypatch.setattr(tr, "attach_per_key", lambda df, *a, **k: kept.append(df.count()) or plain(df, *a, **k))
     tr.keyword_profile(once, ["k"])
     assert kept[0] < pairs / 2 and plan.count() <= 5 * len(texts)
+
+
+def test_windows_of_texts_make_no_row_per_word(spark, monkeypatch):
+    from rostrum.operators import chunks as ck
+    from rostrum.plans.fixtures import Tables
+
+    rnd = random.Random(11)
+    words = ["Alpha", "it's", "x", "ÄRGER", "(b)", "", "--", "9.5", "a b", "Σας", "ΟΔΟΣ"]
+    rows = [("abc"[i % 3], i, float(i), i + 1.0, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 30])))) for i in range(60)]
+    rows.append(("d", 0, 0.0, 1.0, None))
+    texts = spark.createDataFrame(rows, "lecture_key string, idx long, start double, end double, text string")
+    each = [(key, 1000 * i + p, s, e, w) for key, i, s, e, t in rows for p, w in enumerate((t or "").split(" "))]
+    flat = spark.createDataFrame(each, "lecture_key string, ord long, start double, end double, word string")
+    cols = ["lecture_key", "chunk_id", "text", "start", "end", "token_count"]
+    made = []
+    plain = ck._with_tokens
+    monkeypatch.setattr(ck, "_with_tokens", lambda r, *a: made.append(r) or plain(r, *a))
+    for size, overlap in ((7, 2), (16, 0), (5, 4), (500, 50)):
+        want = sorted(map(tuple, ck.token_windows(flat, size=size, overlap=overlap).select(*cols).collect()))
+        made.clear()
+        got = ck.text_windows(texts, size=size, overlap=overlap)
+        assert sorted(map(tuple, got.select(*cols).collect())) == want and len(want) >= 3
+        assert made[0].count() == len(rows)  # a row per text
+    assert "text_windows" in Tables.window_records.func.__code__.co_names  # what retrieval_scores searches
