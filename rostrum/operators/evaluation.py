@@ -69,10 +69,7 @@ def segmentation_errors(
         none = F.lit(None).cast("double")
         errors.append(mt.boundary_errors(flags, long=long).select(
             *KEY, F.lit(method).alias("method"), "wd", "pk", none.alias("wd_std"), none.alias("pk_std")))
-    draws = mt.random_boundaries(able.select(*KEY, "n", "n_boundaries"), trials=trials, seed=seed).withColumn("hyp", F.lit(1))
-    every = ref.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    flags = every.join(draws, [*KEY, "trial", "i"], "left").fillna(0, ["hyp"])
-    tried = mt.boundary_errors(flags, keys=[*KEY, "trial"], long=long)
+    tried = mt.trial_errors(ref, able.select(*KEY, "n", "n_ref", "n_boundaries"), trials=trials, seed=seed, long=long)
     errors.append(tried.groupBy(*KEY).agg(
         F.lit("random").alias("method"), F.avg("wd").alias("wd"), F.avg("pk").alias("pk"),
         F.stddev_pop("wd").alias("wd_std"), F.stddev_pop("pk").alias("pk_std")))

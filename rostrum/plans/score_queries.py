@@ -188,11 +188,8 @@ fl AS (SELECT r.lecture_key, 'random' AS method, t.trial, r.i, r.ref, (d.i IS NO
 SELECT lecture_key, count(*) AS n_trials, round(avg(wd), 6) AS wd_mean, round(stddev_pop(wd), 6) AS wd_std, round(avg(pk), 6) AS pk_mean,
   round(stddev_pop(pk), 6) AS pk_std FROM wd GROUP BY 1"""))
 def _(t: Tables):
-    draws = mt.random_boundaries(t.sizes, trials=TRIALS).withColumn("hyp", F.lit(1))
-    every = t.refs.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))))
-    flags = every.join(draws, ["lecture_key", "trial", "i"], "left").fillna(0, ["hyp"])
-    # A trial has one row per utterance, and a lecture no more utterances than words.
-    errors = mt.boundary_errors(flags, keys=["lecture_key", "trial"], long=has_long_key(t.words, ["lecture_key"]))
+    # A trial has at most four rows per utterance, and a lecture no more utterances than words.
+    errors = mt.trial_errors(t.refs, t.sizes.withColumn("n_ref", F.col("n_boundaries")), trials=TRIALS, long=has_long_key(t.words, ["lecture_key"]))
     return _rounded(rp.trial_summary(errors), "wd_mean", "wd_std", "pk_mean", "pk_std")
 
 

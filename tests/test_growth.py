@@ -298,3 +298,33 @@ def test_windows_of_texts_make_no_row_per_word(spark, monkeypatch):
         assert sorted(map(tuple, got.select(*cols).collect())) == want and len(want) >= 3
         assert made[0].count() == len(rows)  # a row per text
     assert "text_windows" in Tables.window_records.func.__code__.co_names  # what retrieval_scores searches
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_trials_equal_flags_at_every_position_and_make_no_row_for_each(spark, monkeypatch, long):
+    from rostrum.operators import metrics as mt
+    from rostrum.plans import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 8)
+    rnd = random.Random(4)
+    refs = [(key, i, int(rnd.random() < share)) for key, n, share in (("a", 60, 0.2), ("b", 7, 0.9), ("c", 5, 0.0), ("d", 1, 0.0), ("e", 2, 0.5), ("f", 30, 0.05))
+            for i in range(n)]
+    ref = spark.createDataFrame(refs, "lecture_key string, i long, ref int")
+    sizes = ref.groupBy("lecture_key").agg(F.count(F.lit(1)).alias("n"), F.sum("ref").alias("n_ref"))
+    sizes = sizes.withColumn("n_boundaries", F.when(F.col("lecture_key") == "f", 0).otherwise(F.col("n_ref") + 1).cast("long"))
+    draws = mt.random_boundaries(sizes, trials=4).withColumn("hyp", F.lit(1))
+    every = ref.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    flags = every.join(draws, ["lecture_key", "trial", "i"], "left").fillna(0, ["hyp"])
+    cols = ["lecture_key", "trial", "k", "wd", "pk"]
+    want = sorted(map(tuple, mt.boundary_errors(flags, keys=["lecture_key", "trial"], long=False).select(*cols).collect()))
+    scanned = []
+    plain = ordered.ordered_scan
+    monkeypatch.setattr(mt, "ordered_scan", lambda df, *a, **kw: scanned.append(df) or plain(df, *a, **kw))
+    got = mt.trial_errors(ref, sizes, trials=4, long=long)
+    assert sorted(map(tuple, got.select(*cols).collect())) == want and len(want) == 24 and any(r[3] > 0 for r in want)
+    many = scanned[0].count()
+    longer = ref.where("lecture_key = 'f'").unionByName(spark.createDataFrame([("f", i, 0) for i in range(30, 3000)], ref.schema))
+    scanned.clear()
+    n = sizes.where("lecture_key = 'f'").withColumn("n", F.lit(3000).cast("long"))
+    mt.trial_errors(longer, n, trials=4, long=long)
+    assert scanned[0].count() <= 8 * sum(r for *_, r in refs) < many  # as many rows as boundaries, not as positions
