@@ -328,3 +328,17 @@ def test_trials_equal_flags_at_every_position_and_make_no_row_for_each(spark, mo
     n = sizes.where("lecture_key = 'f'").withColumn("n", F.lit(3000).cast("long"))
     mt.trial_errors(longer, n, trials=4, long=long)
     assert scanned[0].count() <= 8 * sum(r for *_, r in refs) < many  # as many rows as boundaries, not as positions
+
+
+def test_a_lecture_that_one_task_can_hold_is_not_split_by_jobs(spark, monkeypatch):
+    from rostrum.operators import tree as tr
+
+    blocks = spark.range(20_000).select(F.lit("a").alias("lecture_key"), F.col("id").alias("i"),
+                                        F.array(F.sqrt("id"), F.sin("id")).alias("embedding"))
+    splits = []
+    plain = tr._split_large
+    monkeypatch.setattr(tr, "_split_large", lambda *a: splits.append(a[-1]) or plain(*a))
+    whole = {(r.path, r.lo, r.hi) for r in tr.segment_tree(blocks).collect()}
+    assert not splits and len(whole) > 4000
+    monkeypatch.setattr(tr, "LOCAL_NODE_VALUES", 24_000)  # vectors are counted by their numbers
+    assert {(r.path, r.lo, r.hi) for r in tr.segment_tree(blocks).collect()} == whole and splits == [12_000]
