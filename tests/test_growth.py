@@ -342,3 +342,26 @@ def test_a_lecture_that_one_task_can_hold_is_not_split_by_jobs(spark, monkeypatc
     assert not splits and len(whole) > 4000
     monkeypatch.setattr(tr, "LOCAL_NODE_VALUES", 24_000)  # vectors are counted by their numbers
     assert {(r.path, r.lo, r.hi) for r in tr.segment_tree(blocks).collect()} == whole and splits == [12_000]
+
+
+def test_overlaps_need_no_list_of_leaves(spark, lecture, monkeypatch):
+    from rostrum.operators import search as se
+    from rostrum.operators import tree as tr
+
+    nodes, entries = lecture
+    rec = tr.tree_records(tr.tree_rollup(nodes, entries))
+    hits = rec.selectExpr("*", "hash(tree_path) % 4 AS query_id").withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY md5(tree_path))"))
+    kept = sorted(map(tuple, se.drop_overlapping_hits(hits).select("query_id", "rank", "tree_path").collect()))
+    pairs = sorted(map(tuple, se.overlap_pairs(hits).collect()))
+    bare = hits.drop("descendant_leaf_tree_paths")
+    assert sorted(map(tuple, se.drop_overlapping_hits(bare).select("query_id", "rank", "tree_path").collect())) == kept
+    assert sorted(map(tuple, se.overlap_pairs(bare).collect())) == pairs and {True, False} == {p[-1] for p in pairs}
+
+    def never(*a):
+        raise AssertionError("a path per leaf and ancestor")
+
+    monkeypatch.setattr(tr, "descendant_leaves", never)
+    cols = [c for c in rec.columns if c != "descendant_leaf_tree_paths"]
+    lean = tr.tree_records(tr.tree_rollup(nodes, entries, below=False))
+    assert sorted(map(str, lean.select(*cols).collect())) == sorted(map(str, rec.select(*cols).collect()))
+    entry.queries()["tree_statistics"](spark, SMALL).collect()
