@@ -467,3 +467,28 @@ def test_pipeline_of_nothing(spark):
         out = stage(spark, docs, FOLDER)
         assert out.count() == 0 and out.columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 0
+
+
+def test_words_of_a_batch_are_hashed_once(monkeypatch):
+    texts = [b"One two\tTHREE one", b"", b"  two\x0b\n", "Ärger one two".encode(), b"three" * 30 + b" one"] * 40
+    plain, hashed = ps.xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(ps, "CHUNK", 64)
+    monkeypatch.setattr(ps.xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or plain(w))
+    got = ps.hashes_of(pa.array(texts, pa.binary()))
+    assert sorted(hashed) == sorted({w for t in texts for w in t.lower().split()})
+    assert [h.tolist() for h in got] == [[plain(w) for w in t.lower().split()] for t in texts]
+    assert [len(h) for h in ps.hashes_of(pa.array([None, "Q a", " "]))] == [0, 2, 0] and ps.hashes_of(pa.array([], pa.string())) == []
+
+
+def test_equal_stretches_are_not_aligned_word_by_word(monkeypatch):
+    x = np.arange(600, dtype="<u2")
+    y = np.concatenate([x[:300], np.arange(9000, 9004, dtype="<u2"), x[300:]])
+    at = np.arange(0, 590, 16)
+    p, q = at, at + np.where(at >= 300, 4, 0)
+    inside = (at < 290) | (at >= 300)
+    asked, plain = [], ps.subsequence
+    monkeypatch.setattr(ps, "subsequence", lambda a, b: asked.append(len(a)) or plain(a, b))
+    i, j = ps.aligned(x, y, p[inside], q[inside])
+    assert i.tolist() == list(range(600)) and j.tolist() == [k + (4 if k >= 300 else 0) for k in range(600)]
+    assert len(asked) <= 1  # only where the chain changes its distance
+    assert ps.segments(i, j, 50, 0.8) == [(0, 600, 0, 604, 600)]
