@@ -132,6 +132,38 @@ def test_bm25_counts_within_rows_and_keeps_asked_words(spark):
     assert twice == len(set(docs[7][2].split()))
 
 
+@pytest.mark.parametrize("scoped", [False, True])
+def test_bm25_moves_no_row_per_query_and_record(spark, monkeypatch, scoped):
+    from rostrum.operators import bm25
+
+    rnd = random.Random(12)
+    words = ["the"] * 25 + [f"w{i}" for i in range(50)]
+    docs = [(rnd.choice(["a", "b"]), i, " ".join(rnd.choices(words, k=rnd.randrange(30)))) for i in range(120)]
+    docs += [(k, i, " ".join(rnd.choices(words, k=n))) for k, i, _ in docs[:20] for n in (6, 6, 11)] + [("a", None, "w1 w2"), ("a", None, "w3"), ("b", 400, None)]
+    asked = [(q, rnd.choice(["a", "b"]), " ".join(["the", *rnd.sample(words[25:], 4)])) for q in range(30)] + [(3, "a", "w1 w4")]
+    records = spark.createDataFrame(docs, "lecture_key string, rec_id long, text string").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, lecture_key string, question string")
+    con = duckdb.connect()
+    con.register("d", records.toPandas().astype({"rec_id": "Int64"}))
+    con.register("b", queries.toPandas())
+    con.execute("CREATE VIEW documents AS SELECT rec_id AS doc_id, lecture_key AS source, text FROM d")
+    con.execute("CREATE VIEW benchmark AS SELECT query_id AS item_id, lecture_key, question AS text FROM b")
+    from rostrum.plans.index_queries import _BM25_TOP, _bm25_sql
+
+    sql = (_bm25_sql("source", "lecture_key") if scoped else _bm25_sql("''", "''")).replace("FROM documents", "FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)")
+    top = _BM25_TOP.replace("score DESC, rec_id", "score DESC, rec_id NULLS FIRST").replace("rank <= 10", "rank <= 7")
+    want = sorted(con.execute(sql + top).fetchall(), key=str)
+    for few in (1 << 17, 8):  # sent to the records, and met in a grid of small blocks
+        monkeypatch.setattr(bm25, "MEMORY_ROWS", few)
+        monkeypatch.setattr(bm25, "RECORD_ROWS", 1 << 18 if few > 8 else 16)
+        monkeypatch.setattr(bm25, "SCORES", 1 << 20 if few > 8 else 64)
+        index = bm25.build_index(records, scoped=scoped, k=7, words=bm25.asked_words(queries))
+        assert index.records.count() == len({r[:2] if scoped else r[1] for r in docs})
+        found = bm25.search(index, queries)
+        assert not [x for x in plan_of(found).splitlines() if "Exchange hashpartitioning" in x and "query_id" in x and "rec_id" in x]
+        assert sorted(map(tuple, found.withColumn("score", F.round("score", 6)).collect()), key=str) == want
+
+
 def test_random_trials_start_from_stored_flags(spark):
     plan = plan_of(entry.queries()["random_boundary_trials"](spark, SMALL))
     assert plan.count("Exchange") <= 12 and "parquet" not in plan.lower()
