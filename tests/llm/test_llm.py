@@ -494,3 +494,41 @@ def test_equal_stretches_are_not_aligned_word_by_word(monkeypatch):
     assert i.tolist() == list(range(600)) and j.tolist() == [k + (4 if k >= 300 else 0) for k in range(600)]
     assert len(asked) <= 1  # only where the chain changes its distance
     assert ps.segments(i, j, 50, 0.8) == [(0, 600, 0, 604, 600)]
+
+
+def test_passages_at_every_identity_are_found(spark):
+    rnd = random.Random(21)
+    word = lambda: f"w{int(30000 ** rnd.random())}"
+    words = lambda n: [word() for _ in range(n)]
+    rows, want = [], set()
+    for n in (55, 60, 100):
+        for identity in (0.81, 0.85, 0.9):
+            for how in ("even", "random", "mixed"):
+                for _ in range(5):
+                    passage = words(n)
+                    edits = int((1 - identity) * n)
+                    changed = list(passage)
+                    at = [int((k + 0.5) * n / edits) for k in range(edits)] if how == "even" else rnd.sample(range(n), edits)
+                    for i in sorted(at, reverse=True):
+                        changed[i:i + 1] = [[f"new{rnd.random()}"], [], [changed[i], f"new{rnd.random()}"]][rnd.randrange(3) if how == "mixed" and n > 60 else 0]
+                    doc = len(rows)
+                    rows += [(doc, " ".join([*words(80), *passage, *words(70)])), (doc + 1, " ".join([*words(30), *changed, *words(90)]))]
+                    want.add((doc + 1, doc))
+    got = ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+    assert all(r.identity >= 0.8 and r.end_word - r.start_word >= 50 for r in got)
+
+
+def test_copies_of_many_versions_are_not_all_compared(spark):
+    rnd = random.Random(22)
+    base = [f"w{rnd.randrange(100000)}" for _ in range(300)]
+    rows = []
+    for doc in range(60):
+        text = list(base)
+        for place in rnd.sample(range(20, 280, 13), 5):
+            text[place] = f"version{rnd.randrange(3)}"
+        rows.append((doc, " ".join(text)))
+    got = ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r.doc_id for r in got if r.other_id == 0 and r.end_word - r.start_word == 300}
+    assert whole == set(range(1, 60))
+    assert len({(r.doc_id, r.other_id) for r in got if r.identity < 0.9}) == 0
